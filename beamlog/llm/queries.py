@@ -5,10 +5,14 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op8_source_mixing
 from .secrets import OP9_SQL, op9_secret_scan
+from .substring_dedup import OP3_SQL, op3_substring_dedup
+from .suffix_dedup import op6_suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_substring_dedup": op3_substring_dedup,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_secret_scan": op9_secret_scan,
@@ -16,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_secret_scan": OP9_SQL}
