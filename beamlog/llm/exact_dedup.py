@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column], text: str = "text", d
         "hashed",
     )
     best = F.min(F.struct((-F.col("_xd_points")).alias("p"), F.col("_xd_id").isNull().alias("z"), F.col("_xd_id").alias("i"), F.col("_xd_row").alias("r")))
-    groups = lean.where("_xd_full is not null").groupBy("_xd_len", "_xd_full").agg(best.alias("_xd_best"), F.count(F.lit(1)).alias("_xd_size"))
+    groups = stored(lean.where("_xd_full is not null").groupBy("_xd_len", "_xd_full").agg(best.alias("_xd_best"), F.count(F.lit(1)).alias("_xd_size")), "groups")
     alone = F.col("_xd_best").isNull()
     return lean.join(groups, ["_xd_len", "_xd_full"], "left").select(
         *[F.col(f"_xd_c{i}").alias(name) for i, name in enumerate(carry)],
@@ -50,6 +50,15 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column], text: str = "text", d
     )
 
 
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents, one of each group of equal texts, in their own columns; of fully repeated rows, one."""
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    keep = exact_dedup(docs, {"_xk_id": F.col(doc_id), "_xk_key": key}, text, doc_id).where("kept").select("_xk_id", "_xk_key")
+    rows = docs.withColumns({"_xr_id": F.col(doc_id), "_xr_key": key})
+    kept = rows.join(keep, (F.col("_xr_key") == F.col("_xk_key")) & F.col("_xr_id").eqNullSafe(F.col("_xk_id")), "left_semi")
+    return kept.dropDuplicates(["_xr_id", "_xr_key"]).select(docs.columns)
+
+
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = exact_dedup(docs, {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(squeezed(F.col("text")), 256)})

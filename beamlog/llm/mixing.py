@@ -147,6 +147,17 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     )
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The documents with at least one copy, in their own columns plus size, source_size, target, taken and copies."""
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    of = mix_sources(docs.select(F.col(doc_id).alias("_my_id"), F.col(text).alias("_my_text"), F.col(source).alias("_my_source"), key.alias("_my_key")),
+                     "_my_text", "_my_id", "_my_source", carry=["_my_id", "_my_key"]).where("copies > 0").dropDuplicates(["_my_id", "_my_key"])
+    rows = docs.withColumns({"_mz_id": F.col(doc_id), "_mz_key": key})
+    added = [c for c in ("size", "source_size", "target", "taken", "copies") if c not in docs.columns]
+    return rows.join(of.select("_my_id", "_my_key", *[F.col(c).alias(f"_my_{c}") for c in added]), (F.col("_mz_key") == F.col("_my_key")) & F.col("_mz_id").eqNullSafe(F.col("_my_id"))).select(
+        *docs.columns, *[F.col(f"_my_{c}").alias(c) for c in added])
+
+
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+from .decontamination import OP1_SQL, op1_benchmark_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language import op5_language_id
 from .mixing import op8_source_mixing
 from .secrets import OP9_SQL, op9_secret_scan
+from .simhash_dedup import op2_simhash_near_dedup
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
+from .toxicity import op4_toxicity
+from .warc import OP10_SQL, op10_warc_revisits
 
 
 def queries() -> dict:
     return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_toxicity": op4_toxicity,
+        "op5_language_id": op5_language_id,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_secret_scan": op9_secret_scan,
+        "op10_warc_revisits": op10_warc_revisits,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_secret_scan": OP9_SQL}
+    return {
+        "op1_benchmark_decontamination": OP1_SQL,
+        "op3_substring_dedup": OP3_SQL,
+        "op7_exact_dedup": OP7_SQL,
+        "op9_secret_scan": OP9_SQL,
+        "op10_warc_revisits": OP10_SQL,
+    }
