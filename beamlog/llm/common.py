@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, label: str = "table", release: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files behind the table are garbage from then on. Spark's cleaner drops them when the driver's
+    collector finds their owners, which a driver with an idle heap may put off for half an hour; ``release``
+    asks for it now, after a moment for the events of the finished job to pass.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_remove_tables)
     _written.append((spark, path))
+    if release:
+        time.sleep(0.3)
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +59,29 @@ def _remove_tables() -> None:
             return
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once an application: a cluster's workers need not have it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    bundle = Path(tempfile.mkdtemp(prefix="beamlog-")) / "beamlog.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    context.addPyFile(str(bundle))  # the driver serves it to each executor
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with the package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def squeezed(text: Column) -> Column:
     """The text without any of the six white-space characters; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, "")

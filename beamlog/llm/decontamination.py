@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, chunks, merged, mix, text_bytes, word_bounds, word_hashes
+from .common import ALNUM, LOWER, chunks, map_batches, merged, mix, text_bytes, word_bounds, word_hashes
 
 WINDOW_WORDS = 10
 #: Text bytes of the items of one automaton; a larger benchmark is taken in blocks, one after the other.
@@ -196,7 +196,7 @@ def _scan(docs: DataFrame, carry: list[str], text: str, automaton: ItemAutomaton
                      pa.array([[{"start": s, "end": e} for s, e in merged(p[0])] for p in per], _SPANS_ARROW), pa.array([sorted(p[1]) for p in per], pa.list_(pa.string())), pa.array([p[2] for p in per], pa.int32())],
                     names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def benchmark_blocks(bench: DataFrame, text: str, item_id: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:

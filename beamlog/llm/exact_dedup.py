@@ -37,7 +37,7 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column], text: str = "text", d
             F.when(F.col("_xd_again"), F.sha2(norm, 256)).alias("_xd_full"), F.monotonically_increasing_id().alias("_xd_row"),
             *[c.alias(f"_xd_c{i}") for i, c in enumerate(carry.values())],
         ),
-        "hashed",
+        "hashed", release=True,
     )
     best = F.min(F.struct((-F.col("_xd_points")).alias("p"), F.col("_xd_id").isNull().alias("z"), F.col("_xd_id").alias("i"), F.col("_xd_row").alias("r")))
     groups = stored(lean.where("_xd_full is not null").groupBy("_xd_len", "_xd_full").agg(best.alias("_xd_best"), F.count(F.lit(1)).alias("_xd_size")), "groups")

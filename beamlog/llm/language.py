@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, text_bytes
+from .common import chunks, map_batches, text_bytes
 from .subword import ngrams, word_buffer
 from .toxicity import held_out_by_id
 
@@ -184,7 +184,7 @@ def language_predictions(docs: DataFrame, carry: list[str], model: LanguageModel
                     [*[batch.column(f"_g_c{c}").slice(i, j - i) for c in range(len(carry))], pa.array([x if y else "und" for x, y in zip(lang, ok[i:j])], pa.string()), pa.array(np.where(ok[i:j], score, 0.0))],
                     names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*carry, "lang_pred", "score")
+    return map_batches(rows, run, schema).toDF(*carry, "lang_pred", "score")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NON_SPACE, chunks, stored, text_bytes, word_bounds
+from .common import LOWER, NON_SPACE, chunks, map_batches, stored, text_bytes, word_bounds
 from .windows import joined_words
 
 SHINGLE_WORDS = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text") -> DataF
                 fp = _chunk_fingerprints(data[lo:hi], offsets[i : j + 1] - lo)
                 yield pa.RecordBatch.from_arrays([*[batch.column(f"_s_c{c}").slice(i, j - i) for c in range(len(carry))], pa.array(fp.view(np.int64))], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*carry, "fp")
+    return map_batches(rows, run, schema).toDF(*carry, "fp")
 
 
 def deletion_variants(fp: Column) -> Column:
@@ -166,11 +166,11 @@ def near_links(distinct: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     variants link each member with the least of its variant, found by a grouped minimum.
     """
     variants = distinct.select(F.explode(deletion_variants(F.col("fp"))).alias("key"), "fp")
-    found = stored(variants.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _group_links(batches, limit), "a long, b long").distinct(), "links")
+    found = stored(map_batches(variants.repartition("key").sortWithinPartitions("key"), lambda batches: _group_links(batches, limit), "a long, b long").distinct(), "links", release=True)
     links = found.where("b is not null")
     members = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if members.head(1):
-        wild = stored(members.mapInArrow(_two_wildcards, "mask int, rest long, fp long"), "wild")
+        wild = stored(map_batches(members, _two_wildcards, "mask int, rest long, fp long"), "wild", release=True)
         least = wild.groupBy("mask", "rest").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         links = links.unionByName(wild.join(least, ["mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct())
     return links
@@ -206,7 +206,7 @@ def simhash_components(docs: DataFrame, carry: list[str], text: str = "text", do
     """
     rows = stored(fingerprints(docs.select(*[F.col(c).alias(f"_h_c{i}") for i, c in enumerate(carry)], F.col(doc_id).alias("_h_id"), F.col(text).alias("_h_text")),
                                [*[f"_h_c{i}" for i in range(len(carry))], "_h_id"], "_h_text"), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("_h_id").alias("least")), "distinct-fingerprints")
+    distinct = stored(rows.groupBy("fp").agg(F.min("_h_id").alias("least")), "distinct-fingerprints", release=True)
     roots = components(near_links(distinct.select("fp")))
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import NON_SPACE, chunks, text_bytes, word_bounds
+from .common import NON_SPACE, chunks, map_batches, text_bytes, word_bounds
 from .windows import SHARD_BYTES, Windows, covered, joined_words, repeated_spans, with_spans
 
 WINDOW_WORDS = 35
@@ -112,7 +112,7 @@ def substring_dedup(docs: DataFrame, carry: list[str], text: str = "text", doc_i
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([*[batch.column(f"_w_c{c}").slice(i, j - i) for c in range(len(carry))], pa.array(n), pa.array(n - np.diff(before)), values], names=schema.names)
 
-    return rows.mapInArrow(finish, schema)
+    return map_batches(rows, finish, schema)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, mix, text_bytes
+from .common import chunks, map_batches, mix, text_bytes
 from .windows import SHARD_BYTES, Windows, covered, repeated_spans, with_spans
 
 WINDOW_BYTES = 400
@@ -226,7 +226,7 @@ def suffix_dedup(docs: DataFrame, carry: list[str], text: str = "text", doc_id:
                 values = pa.array([hashlib.sha256(t).hexdigest() for t in texts]) if digest else pa.array(texts, pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(f"_w_c{c}").slice(i, j - i) for c in range(len(carry))], pa.array(np.diff(first)), pa.array(np.diff(removed)), pa.array(np.diff(starts)), values], names=schema.names)
 
-    return rows.mapInArrow(finish, schema)
+    return map_batches(rows, finish, schema)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, text_bytes
+from .common import chunks, map_batches, text_bytes
 from .subword import counts_of, ngrams, word_buffer, word_sums
 
 SIZES = (3, 4, 5, 6)
@@ -208,7 +208,7 @@ def toxicity_scores(docs: DataFrame, carry: list[str], model: ToxicityModel, tex
                 score = shared.value.chunk_scores(data[int(offsets[i]) : int(offsets[j])], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*[batch.column(f"_t_c{c}").slice(i, j - i) for c in range(len(carry))], pa.array(score)], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*carry, "score")
+    return map_batches(rows, run, schema).toDF(*carry, "score")
 
 
 def fitted_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NON_SPACE, chunks, mix, sliding_min, stored, text_bytes, word_bounds, word_hashes
+from .common import NON_SPACE, chunks, map_batches, mix, sliding_min, stored, text_bytes, word_bounds, word_hashes
 
 #: Text bytes of distinct stretches that one shard holds on average; an anchor with more is settled by window.
 SHARD_BYTES = 4 << 20
@@ -160,10 +160,10 @@ def stretches(docs: DataFrame, kind: Windows, text: str, doc_id: str) -> DataFra
                              pa.nulls(len(pick), _SPANS_ARROW) if ivals is None else pa.array(ivals, _SPANS_ARROW)],
                             names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
-_CONTENT = T.StructType([*[T.StructField(x, T.LongType()) for x in ("h", "c1", "c2", "n")], T.StructField("off", T.IntegerType()), T.StructField("nwin", T.IntegerType()), T.StructField("content", T.BinaryType())])
+_CONTENT = T.StructType([*[T.StructField(x, T.LongType()) for x in ("h", "c1", "c2", "n")], T.StructField("crowded", T.BooleanType()), T.StructField("off", T.IntegerType()), T.StructField("nwin", T.IntegerType()), T.StructField("content", T.BinaryType())])
 _FOUND = T.StructType([T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("z", T.IntegerType())])
 
 
@@ -179,7 +179,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(lo), 8192):
             part = slice(i, i + 8192)
             content = pa.array([data[s:e].tobytes() for s, e in zip(lo[part], hi[part])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[fields[x].slice(i, 8192) for x in ("h", "c1", "c2", "n", "off", "nwin")], content], names=_CONTENT.names)
+            yield pa.RecordBatch.from_arrays([*[fields[x].slice(i, 8192) for x in ("h", "c1", "c2", "n", "crowded", "off", "nwin")], content], names=_CONTENT.names)
 
 
 def _window_rows(kind: Windows) -> Callable:
@@ -208,30 +208,31 @@ def repeated_spans(docs: DataFrame, kind: Windows, find: Callable[[pa.Table], pa
     """
     every = stored(stretches(docs, kind, text, doc_id), "stretches")
     often = every.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select("h")
-    again = stored(every.join(often, "h", "left_semi"), "recurring")
+    again = stored(every.join(often, "h", "left_semi"), "recurring", release=True)
 
     least = F.min(F.struct("k", "id", "b", "bl", "off", "nwin"))
-    distinct = stored(again.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), least.alias("r")), "distinct")
-    total = distinct.agg(F.sum("r.bl")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    wanted = distinct.groupBy(F.col("r.k").alias("k"), F.col("r.id").alias("id")).agg(F.collect_list(F.struct("h", "c1", "c2", "n", F.col("r.off").alias("off"), F.col("r.nwin").alias("nwin"), F.col("r.b").alias("b"), F.col("r.bl").alias("bl"))).alias("want"))
+    distinct = stored(again.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), least.alias("r")), "distinct", release=True)
+    shards = max(1, -(-(distinct.agg(F.sum("r.bl")).first()[0] or 0) // shard_bytes))
+    large = stored(distinct.groupBy("h").agg(F.sum("r.bl").alias("bytes")).where(F.col("bytes") > shard_bytes).select("h", F.lit(True).alias("crowded")), "crowded")
+    crowded = bool(large.head(1))
+    distinct = distinct.join(large, "h", "left") if crowded else distinct.withColumn("crowded", F.lit(None).cast("boolean"))
+    fields = F.struct("h", "c1", "c2", "n", "crowded", F.col("r.off").alias("off"), F.col("r.nwin").alias("nwin"), F.col("r.b").alias("b"), F.col("r.bl").alias("bl"))
     texts = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("tk"), F.col(doc_id).alias("tid"), F.col(text).alias("text"))
-    contents = texts.join(wanted, (F.col("tk") == F.col("k")) & F.col("tid").eqNullSafe(F.col("id"))).select("text", "want").mapInArrow(_slices, _CONTENT)
 
-    large = distinct.groupBy("h").agg(F.sum("r.bl").alias("bytes")).where(F.col("bytes") > shard_bytes).select("h")
-    crowded = bool(large.head(1))
-    if crowded:
-        contents = stored(contents, "contents")
-    dealt = contents.join(large, "h", "left_anti") if crowded else contents
+    wanted = distinct.groupBy(F.col("r.k").alias("k"), F.col("r.id").alias("id")).agg(F.collect_list(fields).alias("want"))
+    asked = texts.join(wanted, (F.col("tk") == F.col("k")) & F.col("tid").eqNullSafe(F.col("id"))).select("text", "want")
+    # Stretches overlap, so a document's take little room one after the other in a compressed file.
+    contents = stored(map_batches(asked, _slices, _CONTENT), "contents", release=True)
 
     def shard(table: pa.Table) -> pa.Table:
         return find(_first_of_each(table.drop_columns("shard")))
 
-    found = dealt.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInArrow(shard, _FOUND)
+    dealt = contents.where("crowded is null").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    found = stored(dealt.groupBy("shard").applyInArrow(shard, _FOUND), "found", release=True)
     if crowded:
-        windows = stored(contents.join(large, "h", "left_semi").dropDuplicates(["h", "c1", "c2"]).mapInArrow(_window_rows(kind), "w1 long, w2 long, n long, c1 long, c2 long, i int"), "windows")
+        windows = stored(map_batches(contents.where("crowded").dropDuplicates(["h", "c1", "c2"]), _window_rows(kind), "w1 long, w2 long, n long, c1 long, c2 long, i int"), "windows", release=True)
         repeats = windows.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
-        found = found.unionByName(windows.join(repeats, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("i").alias("a"), F.col("i").alias("z")))
+        found = found.unionByName(stored(windows.join(repeats, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("i").alias("a"), F.col("i").alias("z")), "found"))
 
     spans = again.where("ivals is null").select("id", "k", "c1", "c2", "start").join(found, ["c1", "c2"]).select("id", "k", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("z") + kind.length).alias("e"))
     inner = again.where("ivals is not null").select("id", "k", F.explode("ivals").alias("x")).select("id", "k", "x.s", "x.e")
