@@ -117,6 +117,8 @@ def linear_svm(owner: np.ndarray, bucket: np.ndarray, value: np.ndarray, sign: n
 def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
     """Fits on whole texts with one language each. Features are n-gram frequencies of whole texts, scaled to about unit norm."""
     present = sorted(set(langs))
+    if not present:
+        return LanguageModel([], {}, [], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0))
     families = sorted({family_of(x) for x in present})
     languages = {f: [x for x in present if family_of(x) == f] for f in families}
     blobs = [t.encode() for t in texts]
