@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, map_batches, text_bytes
+from .common import chunks, map_batches, stored, text_bytes
 from .subword import ngrams, word_buffer
 from .toxicity import held_out_by_id
 
@@ -20,6 +20,8 @@ SIZES = (2, 3, 4)
 BITS = 16
 #: Rows of each language that the machines are fitted on, at most; taken in order of a hash of the id.
 SAMPLE_ROWS = 800
+#: Languages that a model tells apart, at most; the most frequent ones.
+MAX_LANGUAGES = 100
 EPOCHS = 60
 RIDGE = 1e-4
 
@@ -158,7 +160,8 @@ def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
 def language_sample(docs: DataFrame, eligible: Column, rows: int = SAMPLE_ROWS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> tuple[list[str], list[str]]:
     """Whole texts and languages of at most ``rows`` eligible rows of each language, in order of a hash of the id."""
     known = docs.where(eligible & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(doc_id).alias("_l_id"), F.col(lang).alias("_l_lang"))
-    names = [r[0] for r in known.groupBy("_l_lang").count().orderBy(F.desc("count"), "_l_lang").limit(100).select("_l_lang").collect()]
+    known = stored(known, "eligible")  # one scan of the texts, whatever the number of languages
+    names = [r[0] for r in known.groupBy("_l_lang").count().orderBy(F.desc("count"), "_l_lang").limit(MAX_LANGUAGES).select("_l_lang").collect()]
     ids = None
     for name in names:  # a bounded top-k per language instead of one ranking that a large language would skew
         part = known.where(F.col("_l_lang") == name).orderBy(F.xxhash64("_l_id"), "_l_id").limit(rows)

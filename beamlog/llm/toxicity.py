@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, map_batches, text_bytes
+from .common import chunks, map_batches, stored, text_bytes
 from .subword import counts_of, ngrams, word_buffer, word_sums
 
 SIZES = (3, 4, 5, 6)
@@ -188,11 +189,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Co
     """
     of = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_l_id"), (F.col(label) > 0).cast("int").alias("_l_y"))
     known = of.join(docs.where(eligible & F.col(text).isNotNull()).select(F.col(doc_id).alias("_l_id")).distinct(), "_l_id", "left_semi")
+    known = stored(known, "labelled")
     by_hash = lambda y: known.where(F.col("_l_y") == y).distinct().orderBy(F.xxhash64("_l_id"), "_l_id").limit(rows)
     ids = by_hash(0).unionByName(by_hash(1))
     got = docs.select(F.col(doc_id).alias("_l_id"), F.col(text).alias("_l_text")).where("_l_text is not null").join(F.broadcast(ids), "_l_id").dropDuplicates(["_l_id", "_l_y"])
-    pairs = sorted(((r["_l_id"], r["_l_y"], r["_l_text"]) for r in got.collect()), key=lambda r: (hash(r[0]), r[1]))
-    return [t for _, _, t in pairs], [y for _, y, _ in pairs]
+    pairs = sorted(((zlib.crc32(str(r["_l_id"]).encode()), str(r["_l_id"]), r["_l_y"], r["_l_text"]) for r in got.collect()))  # classes mixed, the same every run
+    return [t for *_, t in pairs], [y for *_, y, _ in pairs]
 
 
 def toxicity_scores(docs: DataFrame, carry: list[str], model: ToxicityModel, text: str = "text") -> DataFrame:

@@ -187,15 +187,19 @@ def _window_rows(kind: Windows) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {x: batch.column(x).to_pylist() for x in ("c1", "c2", "n", "nwin", "content")}
-            for c1, c2, n, nwin, content in zip(*cols.values()):
-                if kind.unit == "word":
-                    words = content.split()
-                    keys = [xxhash.xxh3_128_digest(b" ".join(words[i : i + kind.length])) for i in range(nwin)]
-                else:
-                    keys = [xxhash.xxh3_128_digest(content[i : i + kind.length]) for i in range(nwin)]
+            nwin = batch.column("nwin").to_numpy()
+            for i in range(0, len(nwin), 1024):
+                keys = []
+                for content, windows in zip(batch.column("content").slice(i, 1024).to_pylist(), nwin[i : i + 1024].tolist()):
+                    if kind.unit == "word":
+                        words = content.split()
+                        keys += [xxhash.xxh3_128_digest(b" ".join(words[k : k + kind.length])) for k in range(windows)]
+                    else:
+                        keys += [xxhash.xxh3_128_digest(content[k : k + kind.length]) for k in range(windows)]
                 both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(nwin, n)), pa.array(np.full(nwin, c1)), pa.array(np.full(nwin, c2)), pa.array(np.arange(nwin, dtype=np.int32))], names=["w1", "w2", "n", "c1", "c2", "i"])
+                row = np.repeat(np.arange(i, min(i + 1024, len(nwin))), nwin[i : i + 1024])
+                index = np.arange(len(row)) - np.repeat(np.cumsum(nwin[i : i + 1024]) - nwin[i : i + 1024], nwin[i : i + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *[batch.column(c).take(pa.array(row)) for c in ("n", "c1", "c2")], pa.array(index.astype(np.int32))], names=["w1", "w2", "n", "c1", "c2", "i"])
 
     return run
 
