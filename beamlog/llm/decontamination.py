@@ -304,9 +304,9 @@ words AS (SELECT side, id, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x
 bench AS (SELECT id, ws, least(len(ws), {WINDOW_WORDS}) AS n FROM words WHERE side = 'b' AND len(ws) > 0),
 windows AS (SELECT DISTINCT id, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM bench)),
 docs AS (SELECT doc_id, ws FROM words WHERE side = 'd'),
-at AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
+placed AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
        FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs CROSS JOIN (SELECT DISTINCT n FROM windows))),
-hits AS (SELECT a.doc_id, a.n, a.i, w.id FROM at a JOIN windows w ON a.k = w.k AND a.n = w.n),
+hits AS (SELECT a.doc_id, a.n, a.i, w.id FROM placed a JOIN windows w ON a.k = w.k AND a.n = w.n),
 per AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids FROM hits GROUP BY doc_id),
 hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,

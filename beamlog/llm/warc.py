@@ -116,21 +116,21 @@ _CANONICAL_SQL = rf"""
 """
 
 OP10_SQL = rf"""
-WITH p AS (SELECT page_id AS p, url, md5(coalesce(html, '')) AS digest, 1704067200000000 + page_id * 60000000 AS at FROM pages),
-c AS (SELECT 2 * p AS record_id, url, at, true AS full, digest, '"' || digest || '"' AS etag, 'day ' || (p % 28) AS modified FROM p
+WITH p AS (SELECT page_id AS p, url, md5(coalesce(html, '')) AS digest, 1704067200000000 + page_id * 60000000 AS t FROM pages),
+c AS (SELECT 2 * p AS record_id, url, t, true AS is_full, digest, '"' || digest || '"' AS etag, 'day ' || (p % 28) AS modified FROM p
   UNION ALL
   SELECT 2 * p + 1, regexp_replace(regexp_replace(url, '^http:', 'https:'), '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=crawl',
-         at + CASE WHEN p % 11 = 0 THEN -86400000000 * 700 ELSE 86400000000 * 60 END, false, NULL,
+         t + CASE WHEN p % 11 = 0 THEN -86400000000 * 700 ELSE 86400000000 * 60 END, false, NULL,
          CASE WHEN p % 7 = 3 THEN NULL WHEN p % 5 = 4 THEN 'W/"changed"' ELSE 'W/"' || digest || '"' END, 'day ' || (p % 28) FROM p),
 r AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS rest FROM c),
 q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({VISIT_PARAMETERS})(=|$)'))) AS kept FROM r),
 u AS (SELECT *, {_CANONICAL_SQL} AS canonical_url FROM q),
-f AS (SELECT v.record_id, v.canonical_url, v.at, v.etag, v.modified, arg_max(s.record_id, (s.at, s.record_id)) AS ref_id
-      FROM u v LEFT JOIN u s ON s.full AND s.canonical_url = v.canonical_url AND s.at < v.at WHERE NOT v.full GROUP BY ALL),
+f AS (SELECT v.record_id, v.canonical_url, v.t, v.etag, v.modified, arg_max(s.record_id, (s.t, s.record_id)) AS ref_id
+      FROM u v LEFT JOIN u s ON s.is_full AND s.canonical_url = v.canonical_url AND s.t < v.t WHERE NOT v.is_full GROUP BY ALL),
 j AS (SELECT f.*, s.digest, s.etag AS s_etag, s.modified AS s_modified,
              s.record_id IS NOT NULL AND coalesce(CASE WHEN f.etag IS NOT NULL THEN regexp_replace(s.etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') ELSE s.modified = f.modified END, false) AS good
       FROM f LEFT JOIN u s ON s.record_id = f.ref_id)
-SELECT record_id, canonical_url, at AS captured_us, ref_id,
+SELECT record_id, canonical_url, t AS captured_us, ref_id,
        CASE WHEN ref_id IS NULL THEN 'no_response' WHEN good THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
        CASE WHEN good THEN digest END AS digest,
        CASE WHEN good THEN 'cache-control=max-age=60;content-type=text/html;date=second;etag=' || coalesce(etag, s_etag) || ';last-modified=' || modified END AS headers
