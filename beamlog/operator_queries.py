@@ -16,7 +16,7 @@ from .plans.language import build, parse, render
 from .plans.planner import Scope, log_rollup_fits, metric_rollup_fits, plan
 from .queries import ORG, comparable
 from .sources import collectors, ingest, otlp
-from .sources.adapters import NOW, observations
+from .sources.adapters import NOW, observations, utc
 
 FIVE = 300 * 10**9
 LOGS, METRICS = observations_sql("logs"), observations_sql("metrics")
@@ -165,7 +165,7 @@ def _batches(spark, d) -> DataFrame:
     """Metrics of each source stream as batches of records."""
     record = F.struct(*[F.col(f.name) for f in ingest.m.RECORD])
     return _metrics(spark, d).groupBy("source_id", "stream_id", "sequence").agg(F.array_sort(F.collect_list(F.struct("record_index", record.alias("r"))), lambda a, b: a["record_index"] - b["record_index"]).alias("x")).select(
-        F.lit(1).alias("version"), "source_id", "stream_id", "sequence", F.lit(NOW).cast("timestamp").alias("observed_at"), F.lit("metrics").alias("signal"), F.transform("x", lambda e: e["r"]).alias("records"))
+        F.lit(1).alias("version"), "source_id", "stream_id", "sequence", F.lit(f"{NOW}+00:00").cast("timestamp").alias("observed_at"), F.lit("metrics").alias("signal"), F.transform("x", lambda e: e["r"]).alias("records"))
 
 
 def flatten_batches(spark, d):
@@ -298,7 +298,7 @@ def deny_keys(spark, d):
 
 def json_lines_web(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
-    line = F.to_json(F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/"), "event_type", F.lit("?a=1#f")).alias("uri"), F.lit("10.0.0.1").alias("remote_ip")).alias("request"),
+    line = F.to_json(F.struct((F.unix_micros(utc("ts")) / 1e6).alias("ts"), F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/"), "event_type", F.lit("?a=1#f")).alias("uri"), F.lit("10.0.0.1").alias("remote_ip")).alias("request"),
                               (F.lit(200) + F.col("event_id") % 400).alias("status"), F.col("user_id").alias("size"), F.col("value").alias("duration"), F.lit("x").alias("password")))
     lines = events.select(F.when(F.col("event_id") % 10 == 0, "{broken").when(F.col("event_id") % 10 == 1, '{"status": 200}').otherwise(line).alias("line"))
     got = collectors.web_access(lines, frozenset({"query"}))
@@ -359,7 +359,7 @@ def _payload(events: DataFrame, top: str, inner: str, item: str, record) -> Data
 
 def otlp_json_logs(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
-    record = F.struct((F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string").alias("timeUnixNano"), F.lit(17).alias("severityNumber"), F.struct(F.col("event_type").alias("stringValue")).alias("body"),
+    record = F.struct((F.unix_micros(utc("ts")) * 1000).cast("string").alias("timeUnixNano"), F.lit(17).alias("severityNumber"), F.struct(F.col("event_type").alias("stringValue")).alias("body"),
                       F.array(_kv("level", F.lit("record")), _kv("auth.token", F.lit("t"))).alias("attributes"), F.lpad(F.hex("event_id"), 32, "0").alias("traceId"))
     got = otlp.logs(_payload(events, "resourceLogs", "scopeLogs", "logRecords", record))
     get = lambda k: F.try_element_at("attributes", F.lit(k))
@@ -371,7 +371,7 @@ _OTLP_LOGS = "SELECT 'otlp.log' AS name, 'ERROR' AS severity, event_type AS body
 
 def otlp_json_metrics(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string").alias("timeUnixNano")
+    at = (F.unix_micros(utc("ts")) * 1000).cast("string").alias("timeUnixNano")
     which = F.col("event_id") % 3
     point = F.struct(at, F.when(which == 0, F.col("value")).alias("asDouble"), F.when(which == 1, F.col("user_id").cast("string")).alias("asInt"), F.when(F.col("event_id") % 7 == 0, 1).alias("flags"))
     histogram = F.struct(at, F.lit("3").alias("count"), F.col("value").alias("sum"), F.array(F.lit("1"), F.lit("2")).alias("bucketCounts"), F.array(F.lit(1.5)).alias("explicitBounds"))
@@ -389,7 +389,7 @@ _OTLP_METRICS = """SELECT 'm.' || event_type AS name, CASE WHEN event_id % 3 = 2
 
 def otlp_json_traces(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
-    start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    start = F.unix_micros(utc("ts")) * 1000
     took = F.when(F.col("event_id") % 10 == 0, -5).otherwise(F.col("user_id") * 1000)
     record = F.struct(F.col("event_type").alias("name"), F.lpad(F.hex("event_id"), 32, "0").alias("traceId"), F.lpad(F.hex("event_id"), 16, "0").alias("spanId"), start.cast("string").alias("startTimeUnixNano"), (start + took).cast("string").alias("endTimeUnixNano"), F.lit(2).alias("kind"))
     got = otlp.traces(_payload(events, "resourceSpans", "scopeSpans", "spans", record))
@@ -421,7 +421,7 @@ _RETENTION_ROLLUPS = f"""SELECT count(*) AS n, min({bucket_sql(FIVE)}) AS oldest
 
 def segments_to_cold(spark, d):
     hot = lifecycle.segments_of(_logs(spark, d)).withColumns({"tier": F.lit("hot"), "projected": F.col("sequence") % 7 != 0})
-    early = _logs(spark, d).where(F.col("timestamp") < F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    early = _logs(spark, d).where(F.col("timestamp") < F.lit("2024-01-20 00:00:00+00:00").cast("timestamp"))
     hot = hot.unionByName(lifecycle.segments_of(early.withColumn("stream_id", F.concat(F.lit("early-"), "stream_id"))).withColumns({"tier": F.lit("hot"), "projected": F.col("sequence") % 7 != 0}))
     return lifecycle.tiers(hot, KEEP, NOW).groupBy("next_tier").agg(F.count(F.lit(1)).alias("segments"), F.sum("records").alias("records"))
 
@@ -435,7 +435,7 @@ _HOT_COLD = "logs | window 720h | summarize count(), max(duration) by route | li
 
 def hot_cold_union(spark, d):
     """Rows split into tiers by age, read as one: the exact row path and every row once."""
-    logs, cut = _logs(spark, d), F.lit("2024-01-21 00:00:00").cast("timestamp")
+    logs, cut = _logs(spark, d), F.lit("2024-01-21 00:00:00+00:00").cast("timestamp")
     got = rollups.answer(logs.where(F.col("timestamp") >= cut), parse(_HOT_COLD), ORG, NOW, cold=logs.where(F.col("timestamp") < cut))
     assert got.plan.path == "rows" and got.plan.sources[-1].endswith("/cold:raw")
     return comparable(rows.ranked(got))
@@ -486,7 +486,7 @@ _ORGANIZATIONS = " UNION ".join(f"SELECT project_id AS organization_id FROM ({ob
 def _evaluations(spark, d):
     """Rows per hour and event type: a rule a type, evaluated hourly."""
     events = spark.read.parquet(f"{d}/events.parquet")
-    return events.groupBy(F.col("event_type").alias("rule_id"), F.date_trunc("hour", "ts").alias("at")).agg(F.count_if(F.col("value") > 50).alias("rows"))
+    return events.groupBy(F.col("event_type").alias("rule_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at")).agg(F.count_if(F.col("value") > 50).alias("rows"))
 
 
 _EVALUATIONS = """e AS (SELECT event_type AS rule_id, date_trunc('hour', ts) AS "at", count(*) FILTER (value > 50) AS rows FROM events GROUP BY ALL)"""
