@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..model import SCOPE
 from ..plans.fields import Registry, canonical
 from ..plans.language import SECOND, Query
 from ..plans.planner import ROLLUP_SECONDS, Plan, Scope, plan
-from .query import PERCENTILES, Result, finish, matches, run, scan, since
+from .query import PERCENTILES, Result, field_value, finish, matches, run, scan, since
 
 WIDTH = ROLLUP_SECONDS * SECOND
 LOG_KEYS = [*SCOPE, "bucket_start", "status", "route", "route_present"]
@@ -70,7 +70,7 @@ def query_log_rollup(rollup: DataFrame, observations: DataFrame, query: Query, s
 
 def dimensions(registry: Registry) -> Column:
     """The attributes a metric rollup keeps, under their canonical names."""
-    kept = [d for d in registry.rollup_dimensions()]
+    kept = registry.rollup_dimensions()
     named = [F.struct(F.lit(d.name).alias("k"), F.try_element_at("attributes", F.lit(d.name)).alias("v"), typed(F.try_element_at("attributes", F.lit(d.name)), d.type).isNotNull().alias("ok")) for d in kept]
     present = F.filter(F.array(*named), lambda e: e["v"].isNotNull() & e["ok"])
     return F.map_from_entries(F.transform(F.array_sort(present), lambda e: F.struct(e["k"], e["v"])))
@@ -122,8 +122,6 @@ def query_metric_rollup(rollup: DataFrame, observations: DataFrame, query: Query
 
     Percentiles are read from the merged histograms and are approximate; all else is exact.
     """
-    from .query import field_value
-
     registry = registry or Registry()
     parts = rollup
     if query.window:
