@@ -366,7 +366,7 @@ def otlp_json_logs(spark, d):
     return comparable(got.groupBy("name", "severity", "body", get("level").alias("level"), get("otel.scope.name").alias("scope"), get("auth.token").alias("token")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.countDistinct("trace_id").alias("traces")))
 
 
-_OTLP_LOGS = "SELECT 'otlp.log' AS name, 'ERROR' AS severity, event_type AS body, 'record' AS level, 'lib' AS scope, NULL AS token, count(*) AS n, min(ts) AS first_at, count(*) AS traces FROM events GROUP BY ALL"
+_OTLP_LOGS = "SELECT 'otlp.log' AS name, 'ERROR' AS severity, event_type AS body, 'record' AS level, 'lib' AS scope, CAST(NULL AS VARCHAR) AS token, count(*) AS n, min(ts) AS first_at, count(*) AS traces FROM events GROUP BY ALL"
 
 
 def otlp_json_metrics(spark, d):

@@ -93,7 +93,7 @@ def query_sql(query: Query, scope: Scope, now: str = "2024-01-31 00:00:00", regi
         made = {}
         for a in s.aggregates:
             v = field_sql(query.signal, a.field, registry) if a.field else ""
-            made[a.alias] = {"count": "count(*)", "min": f"min({v})", "max": f"max({v})", "sum": f"round(sum({v}), 6)", "avg": f"round(avg({v}), 6)",
+            made[a.alias] = {"count": "count(*)", "min": f"min({v})", "max": f"max({v})", "sum": f"round(CAST(sum({v}) AS DOUBLE), 6)", "avg": f"round(avg({v}), 6)",
                              "p50": f"quantile_disc({v}, 0.5)", "p95": f"quantile_disc({v}, 0.95)", "p99": f"quantile_disc({v}, 0.99)"}[a.function]
             if a.function not in ("count", "sum", "avg"):
                 made[a.alias] = f"CAST({made[a.alias]} AS DOUBLE)"
