@@ -19,7 +19,7 @@ from .toxicity import held_out_by_id
 SIZES = (2, 3, 4)
 BITS = 16
 #: Rows of each language that the machines are fitted on, at most; taken in order of a hash of the id.
-SAMPLE_ROWS = 800
+SAMPLE_ROWS = 600
 #: Languages that a model tells apart, at most; the most frequent ones.
 MAX_LANGUAGES = 100
 EPOCHS = 60

@@ -52,13 +52,13 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, max_rate: float = MAX_R
     leave the bracket of the root fall back to its middle. Sources at their cap need no tilt (all rates are
     max_rate), sources without tokens keep one copy.
     """
-    mean = F.col("source_size") / F.col("m")
-    lam = stored(
-        sizes.where("size > 0").groupBy("source").agg(F.sum("n").alias("m")).join(F.broadcast(targets) if targets.count() < 10_000 else targets, F.lit(True) & sizes["source"].eqNullSafe(targets["source"])).select(
-            sizes["source"], "source_size", "target", mean.alias("mean"), F.lit(0.0).alias("tilt"),
-            F.lit(-1e3).alias("low"), F.lit(1e3).alias("high"), (F.col("target") >= max_rate * F.col("source_size") * (1 - 1e-12)).alias("done"),
-        ), "tilts")
     hist = sizes.where("size > 0")
+    documents, g = hist.groupBy("source").agg(F.sum("n").alias("m")).alias("c"), targets.alias("g")
+    capped = F.col("target") >= max_rate * F.col("source_size") * (1 - 1e-12)
+    start = documents.join(g, F.col("c.source").eqNullSafe(F.col("g.source"))).select(
+        "c.source", "source_size", "target", (F.col("source_size") / F.col("m")).alias("mean"), F.lit(0.0).alias("tilt"),
+        F.lit(-1e3).alias("low"), F.lit(1e3).alias("high"), capped.alias("done"))
+    lam = stored(start, "tilts")
     for _ in range(MAX_STEPS):
         # Explicit names keep the null source apart in the equi-join below.
         h, t = hist.alias("h"), lam.where("not done").alias("t")
@@ -73,7 +73,7 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, max_rate: float = MAX_R
         gap = F.col("s.got") - F.col("l.target")
         low = F.when(gap < 0, F.col("l.tilt")).otherwise(F.col("l.low"))
         high = F.when(gap > 0, F.col("l.tilt")).otherwise(F.col("l.high"))
-        newton = F.col("l.tilt") - gap / F.col("s.slope")
+        newton = F.col("l.tilt") - F.try_divide(gap, F.col("s.slope"))  # null where no rate can move
         step = F.when((F.col("s.slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         met = F.col("l.done") | (F.abs(gap) <= TOLERANCE * F.col("l.target"))
         lam = stored(
@@ -84,7 +84,6 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, max_rate: float = MAX_R
             ), "tilts")
         if not lam.where("not done").head(1):
             break
-    capped = F.col("target") >= max_rate * F.col("source_size") * (1 - 1e-12)
     return lam.select("source", "mean", "tilt", capped.alias("capped"))
 
 

@@ -19,8 +19,10 @@ SIZES = (3, 4, 5, 6)
 BITS = 17
 DIM = 8
 #: Labelled rows of each class that the model is fitted on, at most; taken in order of a hash of the id.
-SAMPLE_ROWS = 2_500
+SAMPLE_ROWS = 1_000
 EPOCHS = 120
+#: Words whose n-grams are laid out at once; bounds the driver's memory.
+SLICE_WORDS = 20_000
 #: Weight of an edited spelling against a labelled text.
 EDIT_WEIGHT = 1.0
 RATE = 0.15
@@ -85,8 +87,8 @@ def fit_toxicity(texts: list[str], labels: list[int], seed: int = 7) -> Toxicity
         buffer, place, first = word_buffer(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         raw, at = buffer.tobytes(), place.tolist()
         for a, b in zip(first[:-1], first[1:]):
-            own = {raw[at[k] + 1 : at[k + 1]] for k in range(a, b)}
-            docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in own], np.int64))
+            own = sorted({raw[at[k] + 1 : at[k + 1]] for k in range(a, b)})
+            docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in own], np.int32))
     words = list(vocab)
     rng = np.random.default_rng(seed)
     train = np.arange(len(y)) % 5 != 4
@@ -95,13 +97,16 @@ def fit_toxicity(texts: list[str], labels: list[int], seed: int = 7) -> Toxicity
 
     def table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of all words' n-grams, word by word, and how many each word has."""
-        joined = b" ".join(words)
-        buffer, place, _ = word_buffer(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
-        word_at = np.repeat(np.arange(len(words)), np.diff(place))
-        got = [(word_at[valid], bucket[valid]) for _, bucket, valid in ngrams(buffer, place, SIZES, BITS)]
-        owner, bucket = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int32)
-        order = np.argsort(owner, kind="stable")
-        return bucket[order], np.bincount(owner, minlength=len(words))
+        buckets, sizes = [], []
+        for i in range(0, len(words), SLICE_WORDS):
+            joined = b" ".join(words[i : i + SLICE_WORDS])
+            buffer, place, _ = word_buffer(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
+            word_at = np.repeat(np.arange(len(place) - 1), np.diff(place))
+            got = [(word_at[valid], bucket[valid].astype(np.int32)) for _, bucket, valid in ngrams(buffer, place, SIZES, BITS)]
+            owner, bucket = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+            buckets.append(bucket[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner, minlength=len(place) - 1))
+        return np.concatenate(buckets), np.concatenate(sizes)
 
     E = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     u, bias = rng.normal(0, 0.5, DIM).astype(np.float32), -5.0
@@ -136,10 +141,13 @@ def fit_toxicity(texts: list[str], labels: list[int], seed: int = 7) -> Toxicity
         pull = np.where(target == 1, -(1 - p) / np.maximum(p, 1e-9), 1.0) * weight
         grad = np.bincount(flat, pull[owner], minlength=len(words)) * _sigmoid(z) / len(picked)
         active = np.flatnonzero(np.abs(grad) > 1e-5 * np.abs(grad).max())  # clean words soon pull on nothing
-        span = n[active]
-        ids = np.repeat(starts[active] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-        per = np.repeat((grad[active] / span).astype(np.float32), span)
-        on_bucket = np.bincount(bucket[ids], per, minlength=1 << BITS).astype(np.float32)
+        on_bucket = np.zeros(1 << BITS)
+        for i in range(0, len(active), SLICE_WORDS):
+            some = active[i : i + SLICE_WORDS]
+            span = n[some]
+            ids = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+            on_bucket += np.bincount(bucket[ids], np.repeat(grad[some] / span, span), minlength=1 << BITS)
+        on_bucket = on_bucket.astype(np.float32)
         hit = np.flatnonzero(on_bucket)
         du = on_bucket[hit] @ E[hit]
         GE[hit] += on_bucket[hit] ** 2 * float(u @ u)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NON_SPACE, chunks, map_batches, mix, sliding_min, stored, text_bytes, word_bounds, word_hashes
+from .common import NON_SPACE, chunks, discard, map_batches, mix, sliding_min, stored, text_bytes, word_bounds, word_hashes
 
 #: Text bytes of distinct stretches that one shard holds on average; an anchor with more is settled by window.
 SHARD_BYTES = 4 << 20
@@ -213,9 +213,10 @@ def repeated_spans(docs: DataFrame, kind: Windows, find: Callable[[pa.Table], pa
     every = stored(stretches(docs, kind, text, doc_id), "stretches")
     often = every.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select("h")
     again = stored(every.join(often, "h", "left_semi"), "recurring", release=True)
+    discard(every)
 
     least = F.min(F.struct("k", "id", "b", "bl", "off", "nwin"))
-    distinct = stored(again.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), least.alias("r")), "distinct", release=True)
+    facts = distinct = stored(again.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), least.alias("r")), "distinct", release=True)
     shards = max(1, -(-(distinct.agg(F.sum("r.bl")).first()[0] or 0) // shard_bytes))
     large = stored(distinct.groupBy("h").agg(F.sum("r.bl").alias("bytes")).where(F.col("bytes") > shard_bytes).select("h", F.lit(True).alias("crowded")), "crowded")
     crowded = bool(large.head(1))
@@ -227,6 +228,7 @@ def repeated_spans(docs: DataFrame, kind: Windows, find: Callable[[pa.Table], pa
     asked = texts.join(wanted, (F.col("tk") == F.col("k")) & F.col("tid").eqNullSafe(F.col("id"))).select("text", "want")
     # Stretches overlap, so a document's take little room one after the other in a compressed file.
     contents = stored(map_batches(asked, _slices, _CONTENT), "contents", release=True)
+    discard(facts)
 
     def shard(table: pa.Table) -> pa.Table:
         return find(_first_of_each(table.drop_columns("shard")))
@@ -238,6 +240,7 @@ def repeated_spans(docs: DataFrame, kind: Windows, find: Callable[[pa.Table], pa
         repeats = windows.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
         found = found.unionByName(stored(windows.join(repeats, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("i").alias("a"), F.col("i").alias("z")), "found"))
 
+    discard(contents)
     spans = again.where("ivals is null").select("id", "k", "c1", "c2", "start").join(found, ["c1", "c2"]).select("id", "k", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("z") + kind.length).alias("e"))
     inner = again.where("ivals is not null").select("id", "k", F.explode("ivals").alias("x")).select("id", "k", "x.s", "x.e")
     return spans.unionByName(inner).groupBy("id", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
