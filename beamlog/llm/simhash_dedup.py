@@ -198,30 +198,35 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def simhash_components(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``carry`` columns, fp and component_id: the least id reachable over links of at most 2 differing bits.
-
-    Rows of one fingerprint are one component, among them all rows without words; ids that are null count as
-    larger than any other, and a component of null ids only has a null component_id. Repeated rows repeat.
-    """
+def simhash_roots(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """As ``simhash_components``, with root: one fingerprint of the component, which names it where ids do not."""
     rows = stored(fingerprints(docs.select(*[F.col(c).alias(f"_h_c{i}") for i, c in enumerate(carry)], F.col(doc_id).alias("_h_id"), F.col(text).alias("_h_text")),
                                [*[f"_h_c{i}" for i in range(len(carry))], "_h_id"], "_h_text"), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("_h_id").alias("least")), "distinct-fingerprints", release=True)
     roots = components(near_links(distinct.select("fp")))
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stored(placed.join(lowest, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(of, "fp").select(*[F.col(f"_h_c{i}").alias(c) for i, c in enumerate(carry)], "fp", "component_id")
+    of = stored(placed.join(lowest, "root").select("fp", "component_id", "root"), "fingerprint-components")
+    return rows.join(of, "fp").select(*[F.col(f"_h_c{i}").alias(c) for i, c in enumerate(carry)], "fp", "component_id", "root")
+
+
+def simhash_components(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``carry`` columns, fp and component_id: the least id reachable over links of at most 2 differing bits.
+
+    Rows of one fingerprint are one component, among them all rows without words; ids that are null count as
+    larger than any other, and a component of null ids only has a null component_id. Repeated rows repeat.
+    """
+    return simhash_roots(docs, carry, text, doc_id).drop("root")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents, one of each near-duplicate component: the row of its least id (of repeated ids, one row)."""
+    """The documents, one of each near-duplicate component: the row of its least id, null last (of repeated ids, the least text hash)."""
     names = docs.columns
     key = F.xxhash64(F.col(doc_id), F.col(text))
     marked = docs.select(*[F.col(c).alias(f"_n_c{i}") for i, c in enumerate(names)], F.col(doc_id).alias("_n_id"), key.alias("_n_k"), F.col(text).alias("_n_text"))
-    got = simhash_components(marked, ["_n_id", "_n_k"], "_n_text", "_n_id")
-    keep = got.where(F.col("_n_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_n_k").alias("k"))
-    kept = marked.join(keep, (F.col("_n_k") == F.col("k")) & F.col("_n_id").eqNullSafe(F.col("component_id")), "left_semi").dropDuplicates(["_n_id", "_n_k"])
+    got = simhash_roots(marked, ["_n_id", "_n_k"], "_n_text", "_n_id")
+    keep = got.groupBy("root").agg(F.min(F.struct(F.col("_n_id").isNull().alias("none"), F.col("_n_id").alias("id"), F.col("_n_k").alias("k"))).alias("least")).select("least.id", "least.k")
+    kept = marked.join(keep, (F.col("_n_k") == F.col("k")) & F.col("_n_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["_n_id", "_n_k"])
     return kept.select(*[F.col(f"_n_c{i}").alias(c) for i, c in enumerate(names)])
 
 

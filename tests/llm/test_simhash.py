@@ -80,3 +80,12 @@ def test_fingerprints_and_components(spark, tmp_path):
     kept = near_dedup(df).collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in want.values()}) and {r.fp for r in kept} == {"x"}
     assert simhash_components(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_near_dedup_keeps_one_of_each_component_whatever_its_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(2000)}" for _ in range(300))
+    nulls, shared, twin = [text() for _ in range(4)], [text() for _ in range(3)], text()
+    docs = [(None, t) for t in nulls] + [(7, t) for t in shared] + [(7, shared[0]), (None, twin), (9, twin + "\n")]
+    kept = near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(kept) == 8 and {tuple(r) for r in kept} == {(None, t) for t in nulls} | {(7, t) for t in shared} | {(9, twin + "\n")}
