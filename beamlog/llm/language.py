@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,10 @@ SIZES = (2, 3, 4)
 BITS = 16
 #: Rows of each language that the machines are fitted on, at most; taken in order of a hash of the id.
 SAMPLE_ROWS = 600
-#: Languages that a model tells apart, at most; the most frequent ones.
-MAX_LANGUAGES = 100
+#: Rows of all languages together, which so many languages share that each has fewer than SAMPLE_ROWS; each keeps LEAST_ROWS.
+SAMPLE_TOTAL, LEAST_ROWS = 60_000, 20
+#: Names that one vote tells apart, at most; more are put in groups of at most GROUP that resemble each other.
+WIDEST, GROUP = 12, 4
 EPOCHS = 60
 RIDGE = 1e-4
 
@@ -54,49 +56,63 @@ def chunk_sums(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tu
     return sums, count
 
 
+@dataclass
+class Vote:
+    """A one-versus-one vote among ``below``: languages, or votes among more. ``first`` is its first machine's column."""
+
+    below: list[Vote | str]
+    first: int
+
+    @property
+    def columns(self) -> slice:
+        return slice(self.first, self.first + len(self.below) * (len(self.below) - 1) // 2)
+
+
 @dataclass
 class LanguageModel:
-    """Machines (a, b) in two layers: between families, then between the languages of one family.
+    """Machines in layers: between families (or groups of them), then between the languages of one family.
 
-    ``weights`` has a column per machine and a zero row at the end; positive margins vote for ``a``.
+    ``weights`` has a column per machine and a zero row at the end; positive margins vote for the earlier name.
     """
 
     families: list[str]
-    languages: dict[str, list[str]]
-    machines: list[tuple[str, str]]
+    top: Vote | str | None
     weights: np.ndarray
     bias: np.ndarray
 
-    def vote(self, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def winners(names: int, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Winner by one-versus-one votes, ties by summed margins, and a confidence from 0 to 1."""
-        if len(names) == 1:
-            return np.zeros(len(margins), int), np.ones(len(margins))
-        votes, total, least = (np.zeros((len(margins), len(names))) for _ in range(3))
+        votes, total, least = (np.zeros((len(margins), names)) for _ in range(3))
         least[:] = np.inf
-        for k, (a, b) in enumerate(self.machines):
-            if a in names and b in names:
-                i, j, m = names.index(a), names.index(b), margins[:, k]
-                votes[:, i] += m > 0
-                votes[:, j] += m <= 0
-                total[:, i] += m
-                total[:, j] -= m
-                least[:, i], least[:, j] = np.minimum(least[:, i], m), np.minimum(least[:, j], -m)
+        for k, (i, j) in enumerate(combinations(range(names), 2)):
+            m = margins[:, k]
+            votes[:, i] += m > 0
+            votes[:, j] += m <= 0
+            total[:, i] += m
+            total[:, j] -= m
+            least[:, i], least[:, j] = np.minimum(least[:, i], m), np.minimum(least[:, j], -m)
         best = np.argmax(votes + 1e-3 * np.tanh(total), axis=1)
         return best, 1 / (1 + np.exp(-2 * np.clip(least[np.arange(len(best)), best], -30, 30)))
 
     def chunk_predictions(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        if not self.families:
-            return ["und"] * (len(offsets) - 1), np.zeros(len(offsets) - 1)
-        sums, count = chunk_sums(data, offsets, self.weights)
-        margins = sums / np.maximum(1, count)[:, None] + self.bias
-        family, sure = self.vote(self.families, margins)
-        out = np.empty(len(count), object)
-        for f, name in enumerate(self.families):
-            mine = np.flatnonzero(family == f)
-            own = self.languages[name]
-            best, also = self.vote(own, margins[mine])
-            out[mine] = [own[b] for b in best]
-            sure[mine] *= also
+        n = len(offsets) - 1
+        if self.top is None:
+            return ["und"] * n, np.zeros(n)
+        out, sure = np.empty(n, object), np.ones(n)
+        todo = [(self.top, np.arange(n))]
+        while todo:
+            vote, mine = todo.pop()
+            if isinstance(vote, str):
+                out[mine] = vote
+            elif len(mine):
+                size = offsets[mine + 1] - offsets[mine]
+                own = np.concatenate([[0], np.cumsum(size)])
+                part = data if len(mine) == n else data[np.repeat(offsets[mine] - own[:-1], size) + np.arange(own[-1])]
+                sums, count = chunk_sums(part, own, self.weights[:, vote.columns])
+                best, also = self.winners(len(vote.below), sums / np.maximum(1, count)[:, None] + self.bias[vote.columns])
+                sure[mine] *= also
+                todo += [(b, mine[best == k]) for k, b in enumerate(vote.below)]
         return list(out), np.clip(sure, 0, 1)
 
 
@@ -120,9 +136,8 @@ def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
     """Fits on whole texts with one language each. Features are n-gram frequencies of whole texts, scaled to about unit norm."""
     present = sorted(set(langs))
     if not present:
-        return LanguageModel([], {}, [], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0))
+        return LanguageModel([], None, np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0))
     families = sorted({family_of(x) for x in present})
-    languages = {f: [x for x in present if family_of(x) == f] for f in families}
     blobs = [t.encode() for t in texts]
     data, offsets = np.frombuffer(b"".join(blobs), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in blobs])])
     parts = []
@@ -138,36 +153,62 @@ def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
     owner, bucket = key >> BITS, key & ((1 << BITS) - 1)
     value = n / np.maximum(1, np.bincount(owner, n, minlength=len(texts)))[owner]
     scale = 1 / max(1e-9, float(np.sqrt(np.bincount(owner, value**2, minlength=len(texts)).mean())))  # rows of about unit norm
-    y = np.array(langs)
-    fam = np.array([family_of(x) for x in langs])
-    machines, weights, bias = [], [], []
-    for names, labels in [(families, fam), *[(languages[f], y) for f in families]]:
-        for a, b in combinations(names, 2):
-            rows = np.flatnonzero((labels == a) | (labels == b))
-            index = np.full(len(texts), -1)
-            index[rows] = np.arange(len(rows))
-            mine = index[owner] >= 0
-            w, c = linear_svm(index[owner[mine]], bucket[mine], value[mine] * scale, np.where(labels[rows] == a, 1.0, -1.0))
-            machines.append((a, b))
-            weights.append(w * scale)
-            bias.append(c)
-    table = np.zeros(((1 << BITS) + 1, len(machines)), np.float32)
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))  # owners ascend
+    rows_of = {x: [] for x in present}
+    for r, x in enumerate(langs):
+        rows_of[x].append(r)
+    weights, bias = [], []
+
+    def voted(items: list[tuple[np.ndarray, Vote | str]]) -> Vote | str:
+        """A vote among (rows, below) items; a single one needs none."""
+        if len(items) == 1:
+            return items[0][1]
+        vote = Vote([below for _, below in items], len(weights))
+        weights.extend([None] * (len(items) * (len(items) - 1) // 2))
+        bias.extend([0.0] * (len(items) * (len(items) - 1) // 2))
+        for k, ((a, _), (b, _)) in enumerate(combinations(items, 2), vote.first):
+            rows = np.sort(np.concatenate([a, b]))
+            held = ends[rows + 1] - ends[rows]
+            mine = np.repeat(ends[rows] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+            w, bias[k] = linear_svm(np.repeat(np.arange(len(rows)), held), bucket[mine], value[mine] * scale, np.where(np.isin(rows, a), 1.0, -1.0))
+            weights[k] = (w * scale).astype(np.float32)
+        return vote
+
+    def grouped(items: list[tuple[np.ndarray, Vote | str]]) -> Vote | str:
+        """A vote of at most WIDEST items; more of them first go into groups of neighbours in a chain of similar profiles."""
+        while len(items) > WIDEST:
+            profile = np.zeros((len(items), 1 << 12), np.float32)
+            for k, (rows, _) in enumerate(items):
+                for r in rows:
+                    np.add.at(profile[k], bucket[ends[r] : ends[r + 1]] & 0xFFF, value[ends[r] : ends[r + 1]])
+            profile /= np.maximum(1e-9, np.linalg.norm(profile, axis=1))[:, None]
+            chain, free = [0], np.ones(len(items), bool)
+            free[0] = False
+            while free.any():
+                chain.append(int(np.argmax(np.where(free, profile @ profile[chain[-1]], -np.inf))))
+                free[chain[-1]] = False
+            runs = np.array_split(chain, -(-len(items) // GROUP))
+            items = [(np.concatenate([items[k][0] for k in run]), voted([items[k] for k in run])) for run in runs]
+        return voted(items)
+
+    kin = [[x for x in present if family_of(x) == f] for f in families]
+    rows = {x: np.array(r) for x, r in rows_of.items()}
+    top = grouped([(np.concatenate([rows[x] for x in own]), grouped([(rows[x], x) for x in own])) for own in kin])
+    table = np.zeros(((1 << BITS) + 1, len(weights)), np.float32)
     for k, w in enumerate(weights):
         table[:-1, k] = w
-    return LanguageModel(families, languages, machines, table, np.array(bias))
+    return LanguageModel(families, top, table, np.array(bias))
 
 
 def language_sample(docs: DataFrame, eligible: Column, rows: int = SAMPLE_ROWS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """Whole texts and languages of at most ``rows`` eligible rows of each language, in order of a hash of the id."""
+    """Whole texts and languages of at most ``rows`` eligible rows of every language, in order of a hash of the id."""
     known = docs.where(eligible & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(doc_id).alias("_l_id"), F.col(lang).alias("_l_lang"))
     known = stored(known, "eligible")  # one scan of the texts, whatever the number of languages
-    names = [r[0] for r in known.groupBy("_l_lang").count().orderBy(F.desc("count"), "_l_lang").limit(MAX_LANGUAGES).select("_l_lang").collect()]
-    ids = None
-    for name in names:  # a bounded top-k per language instead of one ranking that a large language would skew
-        part = known.where(F.col("_l_lang") == name).orderBy(F.xxhash64("_l_id"), "_l_id").limit(rows)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
-        return [], []
+    names = known.select("_l_lang").distinct().count()
+    rows = min(rows, max(LEAST_ROWS, SAMPLE_TOTAL // max(1, names)))
+    # Spark keeps the first rows of each language before the shuffle already (WindowGroupLimit), so a large one does not skew it.
+    ranked = known.withColumn("_l_rank", F.row_number().over(Window.partitionBy("_l_lang").orderBy(F.xxhash64("_l_id"), "_l_id")))
+    ids = stored(ranked.where(F.col("_l_rank") <= rows).select("_l_id", "_l_lang"), "sample-ids")
     got = docs.select(F.col(doc_id).alias("_l_id"), F.col(lang).alias("_l_lang"), F.col(text).alias("_l_text")).join(F.broadcast(ids.distinct()), ["_l_id", "_l_lang"]).dropDuplicates(["_l_id", "_l_lang"])
     triples = sorted((r["_l_lang"], str(r["_l_id"]), r["_l_text"]) for r in got.collect())
     return [t for *_, t in triples], [name for name, *_ in triples]
