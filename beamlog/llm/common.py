@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -13,40 +12,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six ASCII white-space bytes that separate words and are dropped by the exact-duplicate key.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Text bytes handled at once by the numpy kernels; bounds a task's working memory.
-CHUNK_BYTES = 1 << 20
+#: Text bytes handled at once by the numpy kernels; bounds a task's working memory. Their 64-bit temporaries stay in cache.
+CHUNK_BYTES = 1 << 18
+#: Spark's own setting that drops a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="beamlog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, label: str = "table", release: bool = False) -> DataFrame:
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files behind the table are garbage from then on. Spark's cleaner drops them when the driver's
-    collector finds their owners, which a driver with an idle heap may put off for half an hour; ``release``
-    asks for it now, after a moment for the events of the finished job to pass.
+    The shuffle files behind the table serve nothing from then on, so Spark drops them as the write ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if not _written:
         atexit.register(_remove_tables)
     _written.append((spark, path))
-    if release:
-        time.sleep(0.3)
-        spark._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
@@ -227,6 +231,35 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Bits of a membership filter, at most: 32 MB are broadcast, whatever the corpus. Beyond that more rows pass than need to.
+FILTER_BITS = 1 << 28
+
+
+def bit_filter(values: DataFrame) -> tuple[DataFrame, int]:
+    """Bit maps of one column of longs, eight bits or more a value up to FILTER_BITS in all, and the number of bits."""
+    (name,) = values.columns
+    bits = min(FILTER_BITS, 1 << max(15, (8 * values.count()).bit_length()))
+    at = F.pmod(F.col(name), F.lit(bits))
+    maps = values.groupBy(F.bitmap_bucket_number(at).alias("_bit_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bit_map"))
+    return stored(maps, "bit-maps"), bits
+
+
+def may_hold(rows: DataFrame, value: Column, filter_bits: tuple[DataFrame, int], name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: false where ``value`` is surely none of the filter's; no row is shuffled."""
+    maps, bits = filter_bits
+    at = F.pmod(value, F.lit(bits))
+    both = rows.join(F.broadcast(maps), F.bitmap_bucket_number(at) == F.col("_bit_bucket"), "left")
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bit_map"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return both.withColumn(name, F.coalesce(F.bit_get(byte, place % 8) == 1, F.lit(False))).drop("_bit_bucket", "_bit_map")
+
+
+def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of one row for each value of ``keys``: that of the least hash over all columns that can be hashed."""
+    plain = [F.col(c) for c in columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("_one")).select("_one.*")
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has, so extra input columns never clash with ours."""
     have = {c.lower() for c in df.columns}

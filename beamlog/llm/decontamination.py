@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, chunks, map_batches, merged, mix, text_bytes, word_bounds, word_hashes
+from .common import ALNUM, LOWER, chunks, map_batches, merged, mix, stored, text_bytes, word_bounds, word_hashes
 
 WINDOW_WORDS = 10
 #: Text bytes of the items of one automaton; a larger benchmark is taken in blocks, one after the other.
@@ -172,28 +173,42 @@ def _matches(automaton: ItemAutomaton, data: np.ndarray, offsets: np.ndarray):
     return starts, ends, first, out
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+#: Of a matched passage: its words, and its code points in the text.
+_SPAN = ("start", "end", "at", "to")
+_SPANS = T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in _SPAN]))
+_SPANS_ARROW = pa.list_(pa.struct([(x, pa.int32()) for x in _SPAN]))
 
 
-def _scan(docs: DataFrame, carry: list[str], text: str, automaton: ItemAutomaton) -> DataFrame:
+def _placed(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, row_at: np.ndarray, found: dict[int, tuple]) -> dict[int, list[dict]]:
+    """The spans of each row with matches, with their code points."""
+    if not found:
+        return {}
+    points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+    out = {}
+    for r, (spans, _, _) in found.items():
+        base, zero = int(first[r]), int(points[row_at[r]])
+        out[r] = [{"start": s, "end": e, "at": int(points[starts[base + s]]) - zero, "to": int(points[ends[base + e - 1]]) - zero} for s, e in merged(spans)]
+    return out
+
+
+def _scan(docs: DataFrame, carry: list[str], text: str, shared: Broadcast) -> DataFrame:
+    """``shared``: an automaton on the executors."""
     rows = docs.select(*[F.col(c).alias(f"_d_c{i}") for i, c in enumerate(carry)], F.col(text).alias("_d_text"))
     fields = [rows.schema[f"_d_c{i}"] for i in range(len(carry))]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.IntegerType())])
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
             data, offsets = text_bytes(batch.column("_d_text"))
             for i, j in chunks(offsets):
-                at = offsets[i : j + 1] - offsets[i]
-                _, _, first, found = _matches(machine, data[int(offsets[i]) : int(offsets[j])], at)
-                none = ([], (), 0)
+                at, part = offsets[i : j + 1] - offsets[i], data[int(offsets[i]) : int(offsets[j])]
+                starts, ends, first, found = _matches(machine, part, at)
+                placed, none = _placed(part, starts, ends, first, at, found), ([], (), 0)
                 per = [found.get(r, none) for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(f"_d_c{c}").slice(i, j - i) for c in range(len(carry))], pa.array(np.diff(first)),
-                     pa.array([[{"start": s, "end": e} for s, e in merged(p[0])] for p in per], _SPANS_ARROW), pa.array([sorted(p[1]) for p in per], pa.list_(pa.string())), pa.array([p[2] for p in per], pa.int32())],
+                     pa.array([placed.get(r, []) for r in range(j - i)], _SPANS_ARROW), pa.array([sorted(p[1]) for p in per], pa.list_(pa.string())), pa.array([p[2] for p in per], pa.int32())],
                     names=schema.names)
 
     return map_batches(rows, run, schema)
@@ -210,7 +225,9 @@ def benchmark_blocks(bench: DataFrame, text: str, item_id: str, block_bytes: int
 
 
 def benchmark_matches(docs: DataFrame, bench: DataFrame, carry: list[str], text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``carry`` columns, n_words, spans (word intervals), items (ids, sorted) and longest match per document.
+    """``carry`` columns, n_words, spans, items (ids, sorted) and longest match per document.
+
+    A span is a word interval (start, end) and the code points (at, to) of it; both are end-exclusive.
 
     An item of ``window`` words or more matches by any ``window`` consecutive words of it, a shorter one only
     as a whole; items without words or without an id never match, and rows of one id count as one item. Null
@@ -220,35 +237,44 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, carry: list[str], text:
     """
     automata = (ItemAutomaton(items, window) for items in benchmark_blocks(bench, item_text, item_id, block_bytes))
     first, second = next(automata), next(automata, None)
+    share = docs.sparkSession.sparkContext.broadcast
     if second is None:
-        out = _scan(docs, carry, text, first)
+        out = _scan(docs, carry, text, share(first))
     else:
-        out = _merged_scan(docs, carry, text, itertools.chain([first, second], automata))
+        out = _merged_scan(docs, carry, text, share(first), itertools.chain([second], automata))
     return out.select(*[F.col(f"_d_c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "spans", "items", "longest")
 
 
-def _merged_scan(docs: DataFrame, carry: list[str], text: str, parts: Iterable[ItemAutomaton]) -> DataFrame:
-    """Every block over every row, one pass a block; a row's lists are joined as it goes from block to block."""
-    held = ["_b_spans", "_b_items", "_b_longest", "_b_words"]
-    rows = docs.select(*[F.col(c).alias(f"_e_c{i}") for i, c in enumerate(carry)], F.col(text).alias("_e_text")).withColumns(
-        {"_b_spans": F.array().cast(_SPANS), "_b_items": F.array().cast("array<string>"), "_b_longest": F.lit(0), "_b_words": F.lit(0).cast("long")})
-    names = [*[f"_e_c{i}" for i in range(len(carry))], "_e_text"]
-    for automaton in parts:
-        got = _scan(rows, [*names, *held], "_e_text", automaton)
-        old = {h: F.col(f"_d_c{len(names) + i}") for i, h in enumerate(held)}
-        rows = got.select(*[F.col(f"_d_c{i}").alias(n) for i, n in enumerate(names)], F.concat(old["_b_spans"], "spans").alias("_b_spans"),
-                          F.array_union(old["_b_items"], "items").alias("_b_items"), F.greatest(old["_b_longest"], "longest").alias("_b_longest"), F.col("n_words").alias("_b_words"))
-    return rows.select(*[F.col(f"_e_c{i}").alias(f"_d_c{i}") for i in range(len(carry))], F.col("_b_words").alias("n_words"), _union_of("_b_spans").alias("spans"), F.array_sort("_b_items").alias("items"), F.col("_b_longest").alias("longest"))
-
+def _merged_scan(docs: DataFrame, carry: list[str], text: str, first: Broadcast, rest: Iterable[ItemAutomaton]) -> DataFrame:
+    """Every block over every text, one pass a block and one automaton at a time; what a text matches is joined to its rows.
 
-def _union_of(spans: str):
+    Matches depend on the text alone, so 128 bits of its hash are the key and only texts with matches are kept.
+    """
+    own = [f"_e_c{i}" for i in range(len(carry))]
+    rows = docs.select(*[F.col(c).alias(n) for n, c in zip(own, carry)], F.xxhash64(text).alias("_e_k1"), F.xxhash64(F.lit(1), text).alias("_e_k2"), F.col(text).alias("_e_text"))
+    keys, parts = ["_e_k1", "_e_k2"], []
+    for automaton in rest:
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        got = _scan(rows, keys, "_e_text", shared).where(F.size("spans") > 0)
+        parts.append(stored(got.select(F.col("_d_c0").alias("k1"), F.col("_d_c1").alias("k2"), "spans", "items", "longest").dropDuplicates(["k1", "k2"]), "block-matches"))
+        shared.destroy()
+    lists = [F.flatten(F.collect_list(c)).alias(f"_m_{c}") for c in ("spans", "items")]  # one entry a block at most
+    more = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(*lists, F.max("longest").alias("_m_longest"))
+    main = _scan(rows, [*own, *keys], "_e_text", first)
+    at = len(own)
+    both = main.join(more, (F.col(f"_d_c{at}") == F.col("k1")) & (F.col(f"_d_c{at + 1}") == F.col("k2")), "left")
+    joined = lambda c, kind: F.concat(c, F.coalesce(f"_m_{c}", F.array().cast(kind)))
+    return both.select(*[f"_d_c{i}" for i in range(at)], "n_words", _union_of(joined("spans", _SPANS)).alias("spans"), F.array_sort(F.array_distinct(joined("items", "array<string>"))).alias("items"), F.greatest("longest", "_m_longest").alias("longest"))
+
+
+def _union_of(spans: Column) -> Column:
     """Merged intervals of an array of (start, end)."""
     start = F.array().cast(_SPANS)
 
     def add(done, x):
         last = F.element_at(done, -1)
         joins = (F.size(done) > 0) & (x["start"] <= last["end"])
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["at"].alias("at"), F.greatest(last["to"], x["to"]).alias("to"))
         return F.when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), wider)).otherwise(F.array_append(done, x))
 
     return F.aggregate(F.array_sort(spans), start, lambda done, x: F.when(F.size(done) == 0, F.array(x)).otherwise(add(done, x)))
@@ -269,23 +295,16 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", window:
     own = docs.select(*[F.col(c).alias(f"_p_{c}") for c in names])  # so that no column clashes with the result's
     got = benchmark_matches(own, bench, own.columns, f"_p_{text}", window=window)
     keep = got.where((F.col("n_words") == 0) | (hit_words() <= max_coverage * F.col("n_words")))
-    cut = F.pandas_udf(_cut, T.StringType())(F.col(f"_p_{text}"), F.col("spans"))
-    return keep.select(*[cut.alias(c) if c == text else F.col(f"_p_{c}").alias(c) for c in names])
-
-
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Each text without its spans of words."""
+    return keep.select(*[without_spans(F.col(f"_p_{text}"), F.col("spans")).alias(c) if c == text else F.col(f"_p_{c}").alias(c) for c in names])
 
-    def one(text: str, parts) -> str:
-        data = np.frombuffer(text.encode(), np.uint8)
-        starts, ends, _ = word_bounds(LOWER[data], np.array([0, len(data)]), ALNUM)
-        raw, at, out = data.tobytes(), 0, []
-        for p in parts:
-            out.append(raw[at : starts[p["start"]]])
-            at = ends[p["end"] - 1]
-        return b"".join([*out, raw[at:]]).decode()
 
-    return pd.Series([t if t is None or p is None or not len(p) else one(t, p) for t, p in zip(texts, spans)])
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without the code points of its spans, which are sorted and apart."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    piece = lambda a, b: F.substring(text, a + 1, b - a)
+    left = F.aggregate(spans, start, lambda s, x: F.struct(x["to"].alias("at"), F.concat(s["out"], piece(s["at"], x["at"])).alias("out")),
+                       lambda s: F.concat(s["out"], piece(s["at"], F.length(text))))
+    return F.when(F.size(spans) > 0, left).otherwise(text)
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -166,11 +166,11 @@ def near_links(distinct: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     variants link each member with the least of its variant, found by a grouped minimum.
     """
     variants = distinct.select(F.explode(deletion_variants(F.col("fp"))).alias("key"), "fp")
-    found = stored(map_batches(variants.repartition("key").sortWithinPartitions("key"), lambda batches: _group_links(batches, limit), "a long, b long").distinct(), "links", release=True)
+    found = stored(map_batches(variants.repartition("key").sortWithinPartitions("key"), lambda batches: _group_links(batches, limit), "a long, b long").distinct(), "links")
     links = found.where("b is not null")
     members = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if members.head(1):
-        wild = stored(map_batches(members, _two_wildcards, "mask int, rest long, fp long"), "wild", release=True)
+        wild = stored(map_batches(members, _two_wildcards, "mask int, rest long, fp long"), "wild")
         least = wild.groupBy("mask", "rest").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         links = links.unionByName(wild.join(least, ["mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct())
     return links
@@ -202,7 +202,7 @@ def simhash_roots(docs: DataFrame, carry: list[str], text: str = "text", doc_id:
     """As ``simhash_components``, with root: one fingerprint of the component, which names it where ids do not."""
     rows = stored(fingerprints(docs.select(*[F.col(c).alias(f"_h_c{i}") for i, c in enumerate(carry)], F.col(doc_id).alias("_h_id"), F.col(text).alias("_h_text")),
                                [*[f"_h_c{i}" for i in range(len(carry))], "_h_id"], "_h_text"), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("_h_id").alias("least")), "distinct-fingerprints", release=True)
+    distinct = stored(rows.groupBy("fp").agg(F.min("_h_id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(distinct.select("fp")))
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -212,11 +212,11 @@ def repeated_spans(docs: DataFrame, kind: Windows, find: Callable[[pa.Table], pa
     """
     every = stored(stretches(docs, kind, text, doc_id), "stretches")
     often = every.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select("h")
-    again = stored(every.join(often, "h", "left_semi"), "recurring", release=True)
+    again = stored(every.join(often, "h", "left_semi"), "recurring")
     discard(every)
 
     least = F.min(F.struct("k", "id", "b", "bl", "off", "nwin"))
-    facts = distinct = stored(again.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), least.alias("r")), "distinct", release=True)
+    facts = distinct = stored(again.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), least.alias("r")), "distinct")
     shards = max(1, -(-(distinct.agg(F.sum("r.bl")).first()[0] or 0) // shard_bytes))
     large = stored(distinct.groupBy("h").agg(F.sum("r.bl").alias("bytes")).where(F.col("bytes") > shard_bytes).select("h", F.lit(True).alias("crowded")), "crowded")
     crowded = bool(large.head(1))
@@ -227,16 +227,16 @@ def repeated_spans(docs: DataFrame, kind: Windows, find: Callable[[pa.Table], pa
     wanted = distinct.groupBy(F.col("r.k").alias("k"), F.col("r.id").alias("id")).agg(F.collect_list(fields).alias("want"))
     asked = texts.join(wanted, (F.col("tk") == F.col("k")) & F.col("tid").eqNullSafe(F.col("id"))).select("text", "want")
     # Stretches overlap, so a document's take little room one after the other in a compressed file.
-    contents = stored(map_batches(asked, _slices, _CONTENT), "contents", release=True)
+    contents = stored(map_batches(asked, _slices, _CONTENT), "contents")
     discard(facts)
 
     def shard(table: pa.Table) -> pa.Table:
         return find(_first_of_each(table.drop_columns("shard")))
 
     dealt = contents.where("crowded is null").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    found = stored(dealt.groupBy("shard").applyInArrow(shard, _FOUND), "found", release=True)
+    found = stored(dealt.groupBy("shard").applyInArrow(shard, _FOUND), "found")
     if crowded:
-        windows = stored(map_batches(contents.where("crowded").dropDuplicates(["h", "c1", "c2"]), _window_rows(kind), "w1 long, w2 long, n long, c1 long, c2 long, i int"), "windows", release=True)
+        windows = stored(map_batches(contents.where("crowded").dropDuplicates(["h", "c1", "c2"]), _window_rows(kind), "w1 long, w2 long, n long, c1 long, c2 long, i int"), "windows")
         repeats = windows.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
         found = found.unionByName(stored(windows.join(repeats, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("i").alias("a"), F.col("i").alias("z")), "found"))
 
