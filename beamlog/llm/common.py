@@ -185,6 +185,11 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse, modulo 2^64, for hashes that do not depend on place."""
+    return _power_table(_BASE, n), _power_table(_INVERSE, n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit of a 64-bit value; in place."""
     x ^= x >> np.uint64(32)

@@ -11,76 +11,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import NON_SPACE, chunks, map_batches, text_bytes, word_bounds
+from .common import NON_SPACE, chunks, map_batches, mix, power_tables, text_bytes, word_bounds
 from .windows import SHARD_BYTES, Windows, covered, joined_words, repeated_spans, with_spans
 
 WINDOW_WORDS = 35
 #: Words of a shard are numbered and written as one character each (two where one plane of code points is too few).
-_SURROGATES, _PLANE = 0xD800, 0x10F7FF
-
-
-def _spelled(texts: list[bytes]) -> tuple[list[str], int]:
-    """Each text as a string with one code (of the returned width) per word."""
-    codes: dict[bytes, str] = {}
-    numbered = [t.split() for t in texts]
-    for word in (w for words in numbered for w in words):
-        codes.setdefault(word, "")
-    width = 1 if len(codes) < _PLANE else 2
-    char = lambda i: chr(i if i < _SURROGATES else i + 0x800)
-    for i, word in enumerate(codes):
-        codes[word] = char(i) if width == 1 else char(i // 0x8000) + char(i % 0x8000)
-    return ["".join([codes[w] for w in words]) for words in numbered], width
-
-
-def recurring_passages(strings: list[str], weights: list[int], length: int, step: int) -> set[str]:
-    """Maximal runs of windows that occur more than once, over all strings; compared as whole words."""
-    seen: dict[str, int] = {}
-    span = length * step
-    for s, w in zip(strings, weights):
-        for i in range(0, len(s) - span + 1, step):
-            x = s[i : i + span]
-            seen[x] = seen.get(x, 0) + w
-    passages = set()
-    for s in strings:
-        begin = -1
-        for i in range(0, len(s) - span + 1, step):
-            if seen[s[i : i + span]] > 1:
-                if begin < 0:
-                    begin = i
-            elif begin >= 0:
-                passages.add(s[begin : i - step + span])
-                begin = -1
-        if begin >= 0:
-            passages.add(s[begin:])
-    return passages
+_SURROGATES, _PLANE = 0xD800, 0x10F7FE
+
+
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers from 1 on of the words of all texts, each text's first word (one entry more than texts), and how many numbers there are."""
+    numbers: dict[bytes, int] = {}
+    words = [t.split() for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    return np.array([numbers.setdefault(w, len(numbers) + 1) for ws in words for w in ws], np.int64), first, len(numbers)
+
+
+def _spelled(numbers: np.ndarray, width: int) -> str:
+    """One code point a number, surrogates left out; two where ``width`` is 2."""
+    parts = numbers[:, None] if width == 1 else np.stack([numbers // 0x8000, numbers % 0x8000], axis=1)
+    points = parts.ravel()
+    return np.where(points < _SURROGATES, points, points + 0x800).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def confirmed_passages(words: np.ndarray, first: np.ndarray, weights: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Recurring passages, each once, as (first word, end) in the first text that has it.
+
+    Windows are sorted by a hash and equal neighbours compared word by word. Windows of one text after the other
+    are one passage as long as each occurs wherever the one before it does and nowhere else, so that an occurrence
+    of any window of a passage lies in an occurrence of the whole passage, and no passage lies in another.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    per = np.maximum(0, np.diff(first) - length + 1)
+    at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())  # word position of each window
+    if not len(at):
+        return none
+    owner = np.repeat(np.arange(len(per)), per)
+    power, inverse = power_tables(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.astype(np.uint64) * power[: len(words)])])
+    key = mix((sums[at + length] - sums[at]) * inverse[at])
+    by = np.argsort(key, kind="stable")
+    same = key[by[1:]] == key[by[:-1]]
+    pair = np.flatnonzero(same)
+    left, right = at[by[pair]], at[by[pair + 1]]
+    equal = np.ones(len(pair), bool)
+    for k in range(length):
+        equal &= words[left + k] == words[right + k]
+    same[pair] = equal
+    group = np.empty(len(by), np.int64)
+    heads = np.append(True, ~same)
+    group[by] = np.cumsum(heads) - 1
+    again = np.bincount(group, weights[owner]) > 1
+
+    # The group of the window after and before each one in its text; -1 where there is none or it does not recur.
+    known = np.where(again[group], group, -1)
+    follows = np.append(owner[1:] == owner[:-1], False)
+    after = np.where(follows, np.append(known[1:], -1), -1)
+    before = np.where(np.append(False, follows[:-1]), np.append(-1, known[:-1]), -1)
+    starts = np.flatnonzero(heads)
+    only = lambda x: np.where((low := np.minimum.reduceat(x[by], starts)) == np.maximum.reduceat(x[by], starts), low, -1)
+    next_of, back_of = only(after), only(before)
+    grows = (next_of >= 0) & (back_of[next_of] == np.arange(len(starts)))  # and so the group after it, from below
+    first_seen = np.zeros(len(by), bool)
+    first_seen[by[starts]] = True
+    rep = np.flatnonzero(first_seen & again[group])
+    opens = ~((back_of[group[rep]] >= 0) & grows[back_of[group[rep]]])
+    closes = ~grows[group[rep]]
+    return at[rep[opens]], at[rep[closes]] + length
 
 
 def locate(table: pa.Table, length: int = WINDOW_WORDS) -> pa.Table:
-    """One shard: confirm its recurring passages, compile them, and stream every distinct stretch through."""
-    strings, step = _spelled(table.column("content").to_pylist())
-    passages = recurring_passages(strings, table.column("n").to_pylist(), length, step)
-    c1s, c2s = table.column("c1").to_pylist(), table.column("c2").to_pylist()
-    out: tuple[list, ...] = ([], [], [], [])
-    if passages:
+    """One shard: confirm its recurring passages, compile them, and stream all its stretches of documents through the automaton.
+
+    The automaton alone knows where passages occur: confirming keeps one place of each.
+    """
+    words, first, kinds = _numbered(table.column("content").to_pylist())
+    low, high = confirmed_passages(words, first, table.column("n").to_numpy(), length)
+    out = np.zeros((3, 0), np.int64)
+    if len(low):
+        width = 1 if kinds < _PLANE else 2
         automaton = ahocorasick.Automaton()
-        for p in passages:
-            automaton.add_word(p, len(p))
+        spelled = _spelled(words, width)
+        for a, b in zip(low.tolist(), high.tolist()):
+            automaton.add_word(spelled[a * width : b * width], b - a)
         automaton.make_automaton()
-        for c1, c2, s in zip(c1s, c2s, strings):
-            a, z = -1, -2
-            hits = sorted(((end + 1 - size) // step, (end + 1) // step - length) for end, size in automaton.iter(s) if (end + 1 - size) % step == 0)
-            for lo, hi in hits:
-                if lo > z + 1:
-                    if a >= 0:
-                        for k, v in zip(out, (c1, c2, a, z)):
-                            k.append(v)
-                    a, z = lo, hi
-                else:
-                    z = max(z, hi)
-            if a >= 0:
-                for k, v in zip(out, (c1, c2, a, z)):
-                    k.append(v)
-    return pa.table({"c1": pa.array(out[0], pa.int64()), "c2": pa.array(out[1], pa.int64()), "a": pa.array(out[2], pa.int32()), "z": pa.array(out[3], pa.int32())})
+        # All stretches in one string, with the number 0 between them, which no passage has.
+        stream = _spelled(np.insert(words, first[1:-1], 0), width)
+        hits = np.array([(end + 1, size) for end, size in automaton.iter(stream) if (end + 1) % width == 0], np.int64).reshape(-1, 2)
+        end, begin = hits[:, 0] // width, hits[:, 0] // width - hits[:, 1]
+        row = np.searchsorted(first + np.arange(len(first)), begin, side="right") - 1
+        a, z = begin - first[row] - row, end - first[row] - row - length
+        order = np.lexsort((a, row))
+        row, a, z = row[order], a[order], z[order]
+        fresh = np.append(True, (row[1:] != row[:-1]) | (a[1:] > z[:-1] + 1))  # passages of a text do not lie in each other
+        last = np.append(np.flatnonzero(fresh)[1:] - 1, len(a) - 1)
+        out = np.stack([row[fresh], a[fresh], z[last]])
+    row, a, z = out
+    c1, c2 = (table.column(c).to_numpy()[row] for c in ("c1", "c2"))
+    return pa.table({"c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "a": pa.array(a.astype(np.int32)), "z": pa.array(z.astype(np.int32))})
 
 
 def substring_dedup(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id", length: int = WINDOW_WORDS, digest: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:

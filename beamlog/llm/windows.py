@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 
 from .common import NON_SPACE, chunks, discard, map_batches, mix, sliding_min, stored, text_bytes, word_bounds, word_hashes
 
-#: Text bytes of distinct stretches that one shard holds on average; an anchor with more is settled by window.
+#: Text bytes of distinct stretches that one shard holds on average.
 SHARD_BYTES = 4 << 20
+#: An anchor with more than so many shards' bytes has no shard that could hold it and is settled by window.
+CROWDED_SHARDS = 4
 GRAM_WORDS = 3
 GRAM_BYTES = 16
 _C = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -218,7 +220,7 @@ def repeated_spans(docs: DataFrame, kind: Windows, find: Callable[[pa.Table], pa
     least = F.min(F.struct("k", "id", "b", "bl", "off", "nwin"))
     facts = distinct = stored(again.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), least.alias("r")), "distinct")
     shards = max(1, -(-(distinct.agg(F.sum("r.bl")).first()[0] or 0) // shard_bytes))
-    large = stored(distinct.groupBy("h").agg(F.sum("r.bl").alias("bytes")).where(F.col("bytes") > shard_bytes).select("h", F.lit(True).alias("crowded")), "crowded")
+    large = stored(distinct.groupBy("h").agg(F.sum("r.bl").alias("bytes")).where(F.col("bytes") > CROWDED_SHARDS * shard_bytes).select("h", F.lit(True).alias("crowded")), "crowded")
     crowded = bool(large.head(1))
     distinct = distinct.join(large, "h", "left") if crowded else distinct.withColumn("crowded", F.lit(None).cast("boolean"))
     fields = F.struct("h", "c1", "c2", "n", "crowded", F.col("r.off").alias("off"), F.col("r.nwin").alias("nwin"), F.col("r.b").alias("b"), F.col("r.bl").alias("bl"))
