@@ -100,52 +100,32 @@ def _forest(group: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _group_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """From (key, fp) sorted by key: verified links of each group, or the members of a group over the limit (b null)."""
+def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, fp) sorted by key: verified links of each group."""
     keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    crowded = None  # key whose members are passed on
-
-    def emit(a, b, known=True):
-        a = np.asarray(a, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.asarray(b, np.int64)) if known else pa.nulls(len(a), pa.int64())], names=["a", "b"])
 
     def settle(keys, fps):
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(heads, len(keys)))
         two = heads[sizes == 2]
         two = two[_near(fps[two], fps[two + 1])]
-        if len(two):
-            yield emit(fps[two], fps[two + 1])
-        links_a, links_b = [], []
+        a, b = fps[two].tolist(), fps[two + 1].tolist()
         for h, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            if n > limit:
-                yield emit(fps[h : h + n], [], known=False)
-                continue
             x, y = _forest(fps[h : h + n])
-            links_a += x
-            links_b += y
-        if links_a:
-            yield emit(links_a, links_b)
+            a += x
+            b += y
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
         keys = np.concatenate([keys, batch.column("key").to_numpy()])
         fps = np.concatenate([fps, batch.column("fp").to_numpy()])
-        if crowded is not None:
-            more = int(np.searchsorted(keys, crowded, side="right"))
-            if more:
-                yield emit(fps[:more], [], known=False)
-                keys, fps = keys[more:], fps[more:]
-        if not len(keys):
-            continue
-        last = int(np.searchsorted(keys, keys[-1], side="left"))  # the last group may go on
-        if last:
-            yield from settle(keys[:last], fps[:last])
-            keys, fps = keys[last:], fps[last:]
-        if len(keys) > limit:
-            yield emit(fps, [], known=False)
-            crowded, keys, fps = int(keys[-1]), keys[:0], fps[:0]
+        if len(keys):
+            last = int(np.searchsorted(keys, keys[-1], side="left"))  # the last group may go on
+            if last:
+                yield settle(keys[:last], fps[:last])
+                keys, fps = keys[last:], fps[last:]
     if len(keys):
-        yield from settle(keys, fps)
+        yield settle(keys, fps)
 
 
 def _two_wildcards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +141,17 @@ def _two_wildcards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def near_links(distinct: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all pairs within 2 bits.
 
-    Every link is verified. Within one variant's group only a spanning forest of its links is returned, so no
-    group yields all its pairs. Groups over ``limit`` pass their members on; among those, equal two-wildcard
-    variants link each member with the least of its variant, found by a grouped minimum.
+    Variants that one fingerprint alone has drop out by a grouped count; the others meet by an equality join with
+    those counts, which AQE may split. Every link is verified. Within one variant's group only a spanning forest of
+    its links is returned, so no group yields all its pairs. The members of groups over ``limit`` never come
+    together: equal two-wildcard variants link each of them with the least of its variant, by a grouped minimum.
     """
     variants = distinct.select(F.explode(deletion_variants(F.col("fp"))).alias("key"), "fp")
-    found = stored(map_batches(variants.repartition("key").sortWithinPartitions("key"), lambda batches: _group_links(batches, limit), "a long, b long").distinct(), "links")
-    links = found.where("b is not null")
-    members = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = stored(variants.join(shared, "key"), "variant-groups")
+    small = groups.where(F.col("n") <= limit).select("key", "fp")
+    links = stored(map_batches(small.repartition("key").sortWithinPartitions("key"), _group_links, "a long, b long").distinct(), "links")
+    members = groups.where(F.col("n") > limit).select("fp").distinct()
     if members.head(1):
         wild = stored(map_batches(members, _two_wildcards, "mask int, rest long, fp long"), "wild")
         least = wild.groupBy("mask", "rest").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
