@@ -2,45 +2,53 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import n_words, stored
+from .common import free_name, n_words, stored
 
 MAX_RATE = 3.0
 TOLERANCE = 1e-9
 MAX_STEPS = 60
-#: Documents of one (source, size) cell that one task ranks at most, on average.
-CELL_ROWS = 10_000
+#: Documents of one (source, size) cell that are ranked together, on average, and the parts that a cell is dealt to at most.
+CELL_ROWS, MAX_SPLITS = 256, 10_000
 #: Single-copy corrections of each source after the systematic rounding.
 FITS = 4
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """The distinct sources with their place (from 0) by code point, null last: sorted by ranges, each after the rows of those before."""
+    order = F.col("source").asc_nulls_last()
+    placed = sources.repartitionByRange(order).sortWithinPartitions(order).select("source", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth"))
+    placed = stored(placed, "sources")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # of one row a partition
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("k")).select("part", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("start"))
+    return placed.join(starts, "part").select("source", (F.col("start") + F.col("nth")).alias("place"))
+
+
 def source_targets(sizes: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """Per source: its size and target. ``sizes`` has (source, size, n); one row a source comes out.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating, and share the whole size. A target stops at
-    ``max_rate`` times its source's size and the excess goes to the others by weight: the fixed point is
-    min(cap, weight x level), where the sources in order of cap / weight fill up one by one. Only the
-    one-row-a-source table is ordered as a whole.
+    ``max_rate`` times its source's size and the excess goes to the others by weight, until none is above: each
+    round is two sums over the sources, and ends when no further source is full.
     """
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    ranked = per.withColumn("weight", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1).cast("double"))
-    by_fill = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy(F.lit(0))
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    filling = ranked.withColumns({
-        "cap": F.lit(max_rate) * F.col("source_size"),
-        "total": F.sum("source_size").over(whole),
-        "full": F.coalesce(F.sum(F.lit(max_rate) * F.col("source_size")).over(before), F.lit(0.0)),
-        "left": F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    level = filling.withColumn("level", (F.col("total") - F.col("full")) / F.col("left"))
-    # The first source, in filling order, that does not reach its cap sets the level of all behind it.
-    open_level = F.min(F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.struct(F.col("full"), F.col("level")))).over(whole)["level"]
-    return level.withColumn("open", open_level).select(
-        "source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("open")).alias("target")
-    )
+    p, r = per.alias("p"), _ranked(sizes.select("source").distinct()).alias("r")
+    weighed = p.join(r, F.col("p.source").eqNullSafe(F.col("r.source"))).select("p.source", "source_size", (F.col("place") % 3 + 1).cast("double").alias("weight"))
+    weighed = stored(weighed.withColumn("cap", F.lit(float(max_rate)) * F.col("source_size")), "source-weights")
+    total, level, full = weighed.agg(F.sum("source_size")).first()[0] or 0, None, -1
+    while True:
+        above = F.lit(False) if level is None else F.col("weight") * level >= F.col("cap")
+        count, held, weights = weighed.agg(F.count_if(above), F.sum(F.when(above, F.col("cap")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("weight")))).first()
+        if count == full or not weights:
+            break
+        full, level = count, (total - held) / weights
+    # Where all are full, as when the whole size is 0, every target is its cap.
+    return weighed.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level if level is not None else 0.0)).alias("target"))
 
 
 def balanced_rates(sizes: DataFrame, targets: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
@@ -84,6 +92,8 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, max_rate: float = MAX_R
             ), "tilts")
         if not lam.where("not done").head(1):
             break
+    else:
+        warnings.warn(f"the tilts of {lam.where('not done').count()} sources have not met their targets in {MAX_STEPS} steps", stacklevel=2)
     return lam.select("source", "mean", "tilt", capped.alias("capped"))
 
 
@@ -93,8 +103,8 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     Columns: ``carry`` (default: the id), size, source_size, target, copies, taken (= copies x size). Sizes
     are white-space separated words, 0 for null; documents of size 0 get one copy and take nothing. Rates are rounded by
     systematic sampling in order of size within a source, then single copies of fitting sizes close what is
-    left of the gap. Cells of equal (source, size) are split by a hash of the id before ranking; the ranks of a cell
-    decide which of its equal-sized documents get the extra copy, ties by a hash of the text. Reruns agree.
+    left of the gap, up to FITS of them. Cells of equal (source, size) are split by a hash of id and text before
+    ranking; the ranks of a cell decide which of its equal-sized documents get the extra copy. Reruns agree.
     An empty table gives an empty result.
     """
     carry = carry or [doc_id]
@@ -111,7 +121,7 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
         F.least(F.lit(max_rate), F.exp(F.least(F.col("t.tilt") * F.col("h.size") / F.col("t.mean"), F.lit(50.0)))))
     cells = h.join(g, F.col("h.source").eqNullSafe(F.col("g.source"))).join(t, F.col("h.source").eqNullSafe(F.col("t.source")), "left").select(
         F.col("h.source").alias("source"), F.col("h.size").alias("size"), F.col("h.n").alias("n"), "g.source_size", "g.target", rate.alias("rate"))
-    cells = cells.withColumns({"whole": F.floor("rate"), "part": F.col("rate") - F.floor("rate"), "splits": F.ceil(F.col("n") / CELL_ROWS)})
+    cells = cells.withColumns({"whole": F.floor("rate"), "part": F.col("rate") - F.floor("rate"), "splits": F.least(F.ceil(F.col("n") / CELL_ROWS), F.lit(MAX_SPLITS))})
     # At most one row per size in a source, whatever the number of documents.
     so_far = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("part") * F.col("n")).over(so_far), F.lit(0.0)) + 0.5
@@ -131,7 +141,7 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
 
     d, c = lean.alias("d"), cells.alias("c")
     placed = d.join(c, F.col("d._mx_source").eqNullSafe(F.col("c.source")) & (F.col("d._mx_size") == F.col("c.size"))).select(
-        "d.*", "source", "size", "source_size", "target", "whole", "extra", F.pmod(F.col("_mx_a"), F.col("splits")).alias("split"))
+        "d.*", "source", "size", "source_size", "target", "whole", "extra", F.pmod(F.col("_mx_b"), F.col("splits")).alias("split"))
     counts = placed.groupBy("source", "size", "split").agg(F.count(F.lit(1)).alias("k"))
     at_split = Window.partitionBy("source", "size").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("ahead", F.coalesce(F.sum("k").over(at_split), F.lit(0))).drop("k")
@@ -147,14 +157,29 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The documents with at least one copy, in their own columns plus size, source_size, target, taken and copies."""
-    key = F.xxhash64(F.col(doc_id), F.col(text))
-    of = mix_sources(docs.select(F.col(doc_id).alias("_my_id"), F.col(text).alias("_my_text"), F.col(source).alias("_my_source"), key.alias("_my_key")),
-                     "_my_text", "_my_id", "_my_source", carry=["_my_id", "_my_key"]).where("copies > 0").dropDuplicates(["_my_id", "_my_key"])
-    rows = docs.withColumns({"_mz_id": F.col(doc_id), "_mz_key": key})
-    added = [c for c in ("size", "source_size", "target", "taken", "copies") if c not in docs.columns]
-    return rows.join(of.select("_my_id", "_my_key", *[F.col(c).alias(f"_my_{c}") for c in added]), (F.col("_mz_key") == F.col("_my_key")) & F.col("_mz_id").eqNullSafe(F.col("_my_id"))).select(
-        *docs.columns, *[F.col(f"_my_{c}").alias(c) for c in added])
+    """The documents with at least one copy, in their own columns plus size, source_size, target, taken and copies.
+
+    An input column of one of these names (in any case) is kept and the added one gets underscores in front. Of
+    rows of one id and text, each has its own copies: they are numbered and so told apart.
+    """
+    names = free_name(docs, "size", "source_size", "target", "taken", "copies")
+    own = [f"_my_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, own)], F.col(doc_id).alias("_my_id"), F.col(text).alias("_my_text"), F.col(source).alias("_my_source"))
+    keys = {"_my_k1": F.xxhash64("_my_id", "_my_text"), "_my_k2": F.xxhash64(F.lit(1), "_my_id", "_my_text", "_my_source")}
+    rows = rows.withColumns(keys)
+    got = stored(mix_sources(rows.select("_my_id", "_my_text", "_my_source", *keys), "_my_text", "_my_id", "_my_source", carry=list(keys)), "copies")
+    # Rows with the same id, text and source are alike in all that the mix looks at: only how many get which copies matters.
+    shares = got.groupBy(*keys, "size", "source_size", "target", "copies", "taken").agg(F.count(F.lit(1)).alias("_my_n"))
+    upto = F.sum("_my_n").over(Window.partitionBy(*keys).orderBy(F.col("copies").desc()).rowsBetween(Window.unboundedPreceding, 0))  # a row for each number of copies
+    shares = stored(shares.withColumn("_my_upto", upto), "copy-shares")
+    several = shares.groupBy(*keys).agg(F.sum("_my_n").alias("m")).where("m > 1").select(*keys, F.lit(True).alias("_my_several"))
+    added = [F.col(c).alias(n) for c, n in zip(("size", "source_size", "target", "taken", "copies"), names)]
+    kept = [F.col(n).alias(c) for c, n in zip(docs.columns, own)]
+    alone = shares.where("copies > 0").join(several, list(keys), "left_anti")
+    out = rows.join(alone, list(keys)).select(*kept, *added)
+    repeated = rows.join(several, list(keys)).withColumn("_my_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[c for c in own if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]))))
+    told = repeated.join(shares, list(keys)).where("copies > 0 and _my_nth <= _my_upto and _my_nth > _my_upto - _my_n")
+    return out.unionByName(told.select(*kept, *added))
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
