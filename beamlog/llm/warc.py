@@ -13,6 +13,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 VISIT_PARAMETERS = "utm_[a-z]+|gclid|fbclid|ref|sessionid"
 #: Records per time slice, on average; a URL's records are ordered within a slice, and slices among each other.
 SLICE_ROWS = 50_000
+#: Equal parts of the records' time range whose counts decide where slices end.
+MOMENTS = 1 << 16
 
 
 def canonical_url(url: Column) -> Column:
@@ -51,17 +53,22 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     time or URL has none). outcome is resolved, validator_mismatch or no_response; only a resolved row has
     the reference's digest and its headers, renewed by the revisit's permitted ones. Repeated rows repeat.
 
-    URLs are cut into time slices: a grouped maximum per (URL, slice) and a running maximum over a URL's slices
-    bring the latest response before the slice, a window inside (URL, slice) those within it. A URL that
-    holds a third of all records is thus ordered in many tasks. Payloads are never shuffled, only digests.
+    Of full responses, or of revisits, that share a record_id, the one of the least hash of headers and digest
+    counts. URLs are cut into time slices of about ``slice_rows`` records: a grouped maximum per (URL, slice) and a
+    running maximum over a URL's slices bring the latest response before the slice, a window inside (URL, slice)
+    those within it. A URL that holds a third of all records is thus ordered in many tasks, those of a burst too.
+    Payloads are never shuffled, only digests.
     """
     rows = records.where(F.col("status").isin(200, 304)).select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), "captured_at", F.unix_micros(F.col("captured_at").cast("timestamp")).alias("at"),
         (F.col("status") == 200).alias("full"), lower_names(F.col("headers")).alias("own"), F.col("digest").alias("own_digest"))
     rows = stored(rows, "captures")
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("at"), F.max("at")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, -(-(n or 0) // slice_rows)))
-    placed = rows.select("record_id", "canonical_url", "captured_at", "at", "full", F.floor((F.col("at") - F.lit(low or 0)) / width).alias("slice"))
+    low, high = (x or 0 for x in rows.agg(F.min("at"), F.max("at")).first())
+    moment = F.floor((F.col("at") - F.lit(low)) / F.lit(max(1, -(-(high - low + 1) // MOMENTS))))
+    counts = rows.where("at is not null").groupBy(moment.alias("moment")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("moment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # MOMENTS rows at most
+    slices = stored(counts.select("moment", F.floor(before / slice_rows).alias("slice")), "moments")
+    placed = rows.select("record_id", "canonical_url", "captured_at", "at", "full", moment.alias("moment")).join(F.broadcast(slices), "moment", "left").drop("moment")
     response = F.when(F.col("full"), F.struct("at", "record_id"))
     known = placed.where("canonical_url is not null and at is not null")
     ends = known.groupBy("canonical_url", "slice").agg(F.max(response).alias("latest"))
@@ -72,8 +79,11 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     found = seen.join(carried, ["canonical_url", "slice"], "left").select("record_id", "canonical_url", "captured_at", F.coalesce("within", "before")["record_id"].alias("ref_id"))
     found = found.unionByName(placed.where("not full and (canonical_url is null or at is null)").select("record_id", "canonical_url", "captured_at", F.lit(None).cast(placed.schema["record_id"].dataType).alias("ref_id")))
 
-    revisits = rows.where("not full").select(F.col("record_id").alias("v_id"), F.col("own").alias("v_headers")).dropDuplicates(["v_id"])
-    full = rows.where("full").select(F.col("record_id").alias("f_id"), F.col("own").alias("f_headers"), F.col("own_digest").alias("f_digest")).dropDuplicates(["f_id"])
+    # Stored, so that nothing stands between exchange and join and AQE may split a reference that most revisits share.
+    hashed = F.xxhash64(F.array_sort(F.map_entries("own")), "own_digest")
+    one = lambda part, name: rows.where(part).groupBy(F.col("record_id").alias(f"{name}_id")).agg(F.min_by(F.struct("own", "own_digest"), hashed).alias("x"))
+    revisits = stored(one("not full", "v").select("v_id", F.col("x.own").alias("v_headers")), "revisits")
+    full = stored(one("full", "f").select("f_id", F.col("x.own").alias("f_headers"), F.col("x.own_digest").alias("f_digest")), "responses")
     both = found.join(revisits, F.col("record_id").eqNullSafe(F.col("v_id")), "left").join(full, F.col("ref_id") == F.col("f_id"), "left")
     permitted = F.map_filter("v_headers", lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("f_headers", lambda k, _: ~F.map_contains_key(permitted, k)), permitted)
