@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .common import chunks, map_batches, stored, text_bytes
 from .subword import ngrams, word_buffer
-from .toxicity import held_out_by_id
+from .toxicity import held_out_by_id, within_bytes
 
 SIZES = (2, 3, 4)
 BITS = 16
@@ -22,6 +22,8 @@ BITS = 16
 SAMPLE_ROWS = 600
 #: Rows of all languages together, which so many languages share that each has fewer than SAMPLE_ROWS; each keeps LEAST_ROWS.
 SAMPLE_TOTAL, LEAST_ROWS = 60_000, 20
+#: Text bytes of the sample, at most; the driver holds them.
+SAMPLE_BYTES = 64 << 20
 #: Names that one vote tells apart, at most; more are put in groups of at most GROUP that resemble each other.
 WIDEST, GROUP = 12, 4
 EPOCHS = 60
@@ -200,16 +202,22 @@ def fit_languages(texts: list[str], langs: list[str]) -> LanguageModel:
     return LanguageModel(families, top, table, np.array(bias))
 
 
-def language_sample(docs: DataFrame, eligible: Column, rows: int = SAMPLE_ROWS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """Whole texts and languages of at most ``rows`` eligible rows of every language, in order of a hash of the id."""
-    known = docs.where(eligible & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(doc_id).alias("_l_id"), F.col(lang).alias("_l_lang"))
+def language_sample(docs: DataFrame, eligible: Column, rows: int = SAMPLE_ROWS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", size: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
+    """Whole texts and languages of at most ``rows`` eligible rows of every language, in order of a hash of the id.
+
+    All languages together take ``size`` bytes of text at most, each an equal share of them (its first row always).
+    Of rows that share id and language, the text of the least hash counts.
+    """
+    hashed = F.struct(F.xxhash64(F.col(text)).alias("key"), F.octet_length(F.col(text)).alias("bytes"))
+    texts = docs.where(eligible & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(doc_id).alias("_l_id"), F.col(lang).alias("_l_lang"), hashed.alias("_l_of"))
+    known = texts.groupBy("_l_id", "_l_lang").agg(F.min("_l_of").alias("_l_of")).select("_l_id", "_l_lang", F.col("_l_of.key").alias("_l_key"), F.col("_l_of.bytes").cast("long").alias("_l_bytes"))
     known = stored(known, "eligible")  # one scan of the texts, whatever the number of languages
-    names = known.select("_l_lang").distinct().count()
-    rows = min(rows, max(LEAST_ROWS, SAMPLE_TOTAL // max(1, names)))
+    names = max(1, known.select("_l_lang").distinct().count())
+    rows = min(rows, max(LEAST_ROWS, SAMPLE_TOTAL // names))
     # Spark keeps the first rows of each language before the shuffle already (WindowGroupLimit), so a large one does not skew it.
-    ranked = known.withColumn("_l_rank", F.row_number().over(Window.partitionBy("_l_lang").orderBy(F.xxhash64("_l_id"), "_l_id")))
-    ids = stored(ranked.where(F.col("_l_rank") <= rows).select("_l_id", "_l_lang"), "sample-ids")
-    got = docs.select(F.col(doc_id).alias("_l_id"), F.col(lang).alias("_l_lang"), F.col(text).alias("_l_text")).join(F.broadcast(ids.distinct()), ["_l_id", "_l_lang"]).dropDuplicates(["_l_id", "_l_lang"])
+    ranked = known.withColumn("_l_rank", F.row_number().over(Window.partitionBy("_l_lang").orderBy(F.xxhash64("_l_id"), "_l_id"))).where(F.col("_l_rank") <= rows)
+    ids = stored(within_bytes(ranked, size // names, "_l_lang").select("_l_id", "_l_lang", "_l_key"), "sample-ids")
+    got = docs.select(F.col(doc_id).alias("_l_id"), F.col(lang).alias("_l_lang"), F.xxhash64(F.col(text)).alias("_l_key"), F.col(text).alias("_l_text")).join(F.broadcast(ids), ["_l_id", "_l_lang", "_l_key"]).dropDuplicates(["_l_id", "_l_lang", "_l_key"])
     triples = sorted((r["_l_lang"], str(r["_l_id"]), r["_l_text"]) for r in got.collect())
     return [t for *_, t in triples], [name for name, *_ in triples]
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ BITS = 17
 DIM = 8
 #: Labelled rows of each class that the model is fitted on, at most; taken in order of a hash of the id.
 SAMPLE_ROWS = 1_000
+#: Text bytes of each class in the sample, at most; the driver holds them.
+SAMPLE_BYTES = 32 << 20
 EPOCHS = 120
 #: Words whose n-grams are laid out at once; bounds the driver's memory.
 SLICE_WORDS = 20_000
@@ -118,7 +120,7 @@ def fit_toxicity(texts: list[str], labels: list[int], seed: int = 7) -> Toxicity
     for epoch in range(EPOCHS):
         if epoch in (EPOCHS // 3, 2 * EPOCHS // 3):
             z = np.add.reduceat((E @ u)[bucket], np.concatenate([[0], np.cumsum(n)[:-1]])) / n + bias
-            toxic = np.flatnonzero(z[: len(vocab)] > 0)[:5_000]
+            toxic = np.flatnonzero(z[: len(vocab)] > 0)
             calm = np.flatnonzero(z[: len(vocab)] <= -1)
             clean = rng.choice(calm, min(len(calm), max(1_000, len(toxic))), replace=False)
             more = [(_edited(words[v], rng), lab) for ids, lab in ((np.repeat(toxic, 6), 1.0), (np.repeat(clean, 6), 0.0)) for v in ids]
@@ -190,19 +192,29 @@ def held_out_by_id(doc_id: str, parts: int, left_out: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == left_out, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, rows: int = SAMPLE_ROWS, text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most ``rows`` eligible rows of each class, in order of a hash of the id.
+def within_bytes(ranked: DataFrame, limit: int, by: str) -> DataFrame:
+    """Rows (_l_rank, _l_bytes) of each ``by`` in order of rank until their texts together exceed ``limit`` bytes; the first always."""
+    so_far = F.sum("_l_bytes").over(Window.partitionBy(by).orderBy("_l_rank").rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("_l_sum", so_far).where((F.col("_l_sum") <= limit) | (F.col("_l_rank") == 1)).drop("_l_sum")
 
-    Ids are picked from the labels first; at most 2 x ``rows`` of them are broadcast to the scan of the texts.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, eligible: Column, rows: int = SAMPLE_ROWS, text: str = "text", doc_id: str = "doc_id", size: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of at most ``rows`` eligible rows and ``size`` bytes of each class, in order of a hash of the id.
+
+    Of rows that share an id, the text of the least hash counts; an id with both labels has the greater one. Ids are
+    picked without their texts; at most 2 x ``rows`` of them are broadcast to the scan of the texts.
     """
-    of = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_l_id"), (F.col(label) > 0).cast("int").alias("_l_y"))
-    known = of.join(docs.where(eligible & F.col(text).isNotNull()).select(F.col(doc_id).alias("_l_id")).distinct(), "_l_id", "left_semi")
-    known = stored(known, "labelled")
-    by_hash = lambda y: known.where(F.col("_l_y") == y).distinct().orderBy(F.xxhash64("_l_id"), "_l_id").limit(rows)
-    ids = by_hash(0).unionByName(by_hash(1))
-    got = docs.select(F.col(doc_id).alias("_l_id"), F.col(text).alias("_l_text")).where("_l_text is not null").join(F.broadcast(ids), "_l_id").dropDuplicates(["_l_id", "_l_y"])
-    pairs = sorted(((zlib.crc32(str(r["_l_id"]).encode()), str(r["_l_id"]), r["_l_y"], r["_l_text"]) for r in got.collect()))  # classes mixed, the same every run
-    return [t for *_, t in pairs], [y for *_, y, _ in pairs]
+    of = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_l_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_l_y"))
+    hashed = F.struct(F.xxhash64(F.col(text)).alias("key"), F.octet_length(F.col(text)).alias("bytes"))
+    texts = docs.where(eligible & F.col(text).isNotNull()).select(F.col(doc_id).alias("_l_id"), hashed.alias("_l_of"))
+    known = stored(texts.join(of, "_l_id").groupBy("_l_id", "_l_y").agg(F.min("_l_of").alias("_l_of")).select("_l_id", "_l_y", F.col("_l_of.key").alias("_l_key"), F.col("_l_of.bytes").cast("long").alias("_l_bytes")), "labelled")
+    by_hash = lambda y: known.where(F.col("_l_y") == y).orderBy(F.xxhash64("_l_id"), "_l_id").limit(rows)
+    first = by_hash(0).unionByName(by_hash(1)).withColumn("_l_rank", F.row_number().over(Window.partitionBy("_l_y").orderBy(F.xxhash64("_l_id"), "_l_id")))
+    ids = stored(within_bytes(first, size, "_l_y").select("_l_id", "_l_y", "_l_key"), "sample-ids")
+    got = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_l_id"), F.xxhash64(F.col(text)).alias("_l_key"), F.col(text).alias("_l_text")).join(F.broadcast(ids), ["_l_id", "_l_key"])
+    pairs = {(zlib.crc32(str(r["_l_id"]).encode()), str(r["_l_id"]), r["_l_y"], r["_l_text"]) for r in got.dropDuplicates(["_l_id", "_l_key"]).collect()}
+    ordered = sorted(pairs)  # classes mixed, the same every run
+    return [t for *_, t in ordered], [y for *_, y, _ in ordered]
 
 
 def toxicity_scores(docs: DataFrame, carry: list[str], model: ToxicityModel, text: str = "text") -> DataFrame:
