@@ -54,6 +54,17 @@ def bucket_start(at: Column, nanos: int) -> Column:
     return F.timestamp_micros(micros - F.pmod(micros + F.lit(origin % width), F.lit(width)))
 
 
+def utc_date(at: Column) -> Column:
+    """The UTC day of a time, whatever the session's zone: writers and readers of a partition must agree on it."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(at) / F.lit(86_400_000_000)).cast("int"))
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The text, cut to at most ``most`` bytes at the end of a whole character (replacement characters there go as well)."""
+    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(head, "\uFFFD+$", ""))
+
+
 def sized(value: Column) -> Column:
     """Length-prefixed text, or -1: for null; joined, such texts tell any two keys apart."""
     text = value.cast("string")

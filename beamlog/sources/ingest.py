@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,9 +11,14 @@ from pyspark.sql import functions as F
 from .. import model as m
 from ..functions.typed import bucket_start
 from ..operators.rollups import WIDTH
+from ..plans.fields import ALIASES
 
 # Parts of attribute names that are never stored, after writing - . and / as _.
-DENIED = ("password", "passwd", "secret", "token", "authorization", "cookie", "api_key", "apikey", "credential", "private_key", "session_key", "access_key")
+DENIED = ("authorization", "proxy_authorization", "cookie", "set_cookie", "password", "passwd", "secret", "api_key", "apikey", "access_token", "refresh_token", "client_secret")
+
+
+#: How times are written in digests and raw segments: to the microsecond, in UTC, whatever the session's zone.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +42,7 @@ def _bytes(c: str, low: int, high: int) -> Column:
 
 
 def record_rules(now: datetime) -> dict[str, Column]:
-    """What each record must keep, as conditions that are never null. Sizes are bytes."""
+    """What each record must keep, as conditions that are never null. Sizes are bytes. No metric has a field and its alias."""
     at = lambda t: F.lit(t.isoformat(sep=" ") + "+00:00").cast("timestamp")
     known = lambda c: F.coalesce(c, F.lit(False))
     optional = lambda c, ok: F.col(c).isNull() | (F.col(c) == "") | ok
@@ -48,6 +54,7 @@ def record_rules(now: datetime) -> dict[str, Column]:
         "ids": known(optional("trace_id", F.col("trace_id").rlike("^[0-9a-f]{32}$"))) & known(optional("span_id", F.col("span_id").rlike("^[0-9a-f]{16}$"))),
         "value": F.when(F.col("signal") == "metrics", known(F.abs("value") <= m.MAX_METRIC)).otherwise(F.col("value").isNull() | known(F.abs("value") < float("inf"))),
         "attributes": (F.size(attributes) <= m.MAX_ATTRIBUTES) & F.forall(F.map_keys(attributes), lambda k: F.octet_length(k).between(1, m.MAX_KEY)) & F.forall(F.map_values(attributes), lambda v: F.octet_length(F.coalesce(v, F.lit(""))) <= m.MAX_VALUE),
+        "aliases": (F.col("signal") != "metrics") | ~reduce(lambda a, b: a | b, [F.map_contains_key(attributes, a) & F.map_contains_key(attributes, c) for a, c in ALIASES.items()]),
         "text": ~known(F.concat_ws("", "name", "severity", "body", F.to_json("attributes")).contains("\0")) & ~F.coalesce(F.to_json("attributes"), F.lit("")).contains("\\u0000"),
     }
 
@@ -87,7 +94,26 @@ def distinct_keys(records: DataFrame) -> DataFrame:
 
 def batch_digest() -> Column:
     """SHA-256 of a batch's content in a fixed JSON form."""
-    return F.sha2(F.to_json(F.struct("version", "source_id", "stream_id", "sequence", "observed_at", "signal", "records")), 256)
+    return F.sha2(F.to_json(F.struct("version", "source_id", "stream_id", "sequence", "observed_at", "signal", "records"), JSON_TIMES), 256)
+
+
+def numbered(batches: DataFrame, watermarks: DataFrame) -> DataFrame:
+    """Batches of senders that keep no numbers, with the next sequence of their stream and the latest record's time as observed_at.
+
+    Numbers go on from each stream's watermark in order of time, then content. A batch whose content is that of the
+    watermark (content_digest) is a retry and gets the watermark's number again.
+    """
+    stream = ["source_id", "stream_id"]
+    last = watermarks.select(*stream, F.col("sequence").alias("_last"), F.col("content_digest").alias("_last_content"))
+    timed = batches.withColumns({"observed_at": F.array_max(F.transform("records", lambda r: r["timestamp"])), "content_digest": content_digest()}).dropDuplicates([*stream, "content_digest"])
+    joined = timed.join(last, stream, "left").withColumn("_again", F.coalesce(F.col("content_digest") == F.col("_last_content"), F.lit(False)))
+    place = F.sum(F.when(F.col("_again"), 0).otherwise(1)).over(Window.partitionBy(*stream).orderBy("observed_at", "content_digest").rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn("sequence", (F.coalesce("_last", F.lit(0)) + F.when(F.col("_again"), 0).otherwise(place)).cast("long")).drop("_last", "_last_content", "_again")
+
+
+def content_digest() -> Column:
+    """SHA-256 of what a batch says, without its number and time of sending."""
+    return F.sha2(F.to_json(F.struct("version", "source_id", "stream_id", "signal", "records"), JSON_TIMES), 256)
 
 
 def admit(arrivals: DataFrame, watermarks: DataFrame) -> DataFrame:

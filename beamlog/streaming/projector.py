@@ -1,12 +1,13 @@
-"""The projector: raw batch files in, an idempotent projection and refreshed rollups out, by micro-batches.
+"""The projector: raw batch files in, raw segments, an idempotent projection and fresh rollups out, by micro-batches.
 
-There is no watermark: data up to 400 days late belongs in its own bucket. Each micro-batch settles the
-batches it brings, appends rows that are new, and recomputes the rollup buckets they touch.
+There is no watermark: data up to 400 days late belongs in its own bucket. Each micro-batch admits the
+batches it brings, keeps them as raw segments, appends rows that are new, and recomputes the rollup buckets
+they touch. What is not admitted is told in ``problems`` and stays out of the ledger, so it may come again.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,28 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType, TimestampType
 
 from .. import model as m
-from ..functions.typed import bucket_start
-from ..operators.rollups import WIDTH, log_rollup, metric_rollup
+from ..functions.typed import bucket_start, utc_date
+from ..operators.lifecycle import Retention
+from ..operators.rollups import WIDTH, affected_buckets, log_rollup, metric_rollup
 from ..plans.fields import Registry
-from ..sources.ingest import admissible, batch_digest, flatten
+from ..sources.ingest import admissible, admit, batch_digest, content_digest, flatten, numbered
+from ..sources.segments import parsed_segments, raw_segments
 
 PARTITIONS = ["signal", "date"]
+KEY = ["source_id", "stream_id", "sequence"]
+STREAM = KEY[:2]
+_NUMBER = [f for f in m.OBSERVATION.fields if f.name in KEY]
+LEDGER = StructType([*_NUMBER, StructField("digest", T.StringType()), StructField("content_digest", T.StringType()), StructField("epoch", T.LongType())])
+PROBLEMS = StructType([*_NUMBER, StructField("digest", T.StringType()), StructField("problem", T.StringType()), StructField("epoch", T.LongType())])
 
 
 class Projection:
-    """Tables of one projection under ``root``: observations by signal and date, rollups by bucket date, a ledger of batches."""
+    """Tables of one projection under ``root``.
+
+    segments: admitted batches as they came, by signal and date; observations by signal and date; rollups by
+    date; a ledger of batches; problems by epoch. All dates are UTC days. A version of the projection is a
+    folder of its own, and ``current`` names the one that readers take.
+    """
 
     def __init__(self, spark: SparkSession, root: str, scopes: DataFrame, registry: Registry | None = None, now: datetime | None = None):
         self.spark, self.root, self.scopes, self.registry, self.now = spark, root.rstrip("/"), scopes, registry or Registry(), now
@@ -37,50 +50,141 @@ class Projection:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def version(self) -> str:
+        """The folder of the projection that readers take: the last one that a rebuild has finished."""
+        rows = self._read("current", StructType([StructField("version", T.StringType()), StructField("at", T.LongType())])).orderBy(F.col("at").desc()).head(1)
+        return rows[0]["version"] if rows else "v0"
+
     def observations(self) -> DataFrame:
-        return self._read("observations", StructType([*m.OBSERVATION.fields, StructField("date", T.DateType())]))
+        return self._read(f"{self.version()}/observations", StructType([*m.OBSERVATION.fields, StructField("date", T.DateType())]))
+
+    def segments(self) -> DataFrame:
+        return self._read("segments", raw_segments(self.spark.createDataFrame([], m.BATCH)).schema)
 
     def ledger(self) -> DataFrame:
-        return self._read("ledger", StructType([*[f for f in m.OBSERVATION.fields if f.name in ("source_id", "stream_id", "sequence")], StructField("digest", T.StringType()), StructField("epoch", T.LongType())]))
+        return self._read("ledger", LEDGER)
+
+    def problems(self) -> DataFrame:
+        return self._read("problems", PROBLEMS)
 
     def rollup(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{kind}_rollup")
-
-    def settle(self, batches: DataFrame, epoch: int) -> None:
-        """One micro-batch. Running it twice changes nothing: the ledger is read first and written last."""
-        key = ["source_id", "stream_id", "sequence"]
-        good = admissible(batches.withColumn("digest", batch_digest()), self.now or datetime.utcnow()).where("problem is null").drop("problem")
-        fresh = good.dropDuplicates(key).join(self.ledger().select(*key), key, "left_anti")
-        rows = flatten(fresh.select(*[f.name for f in m.BATCH]), self.scopes).withColumn("date", F.to_date("timestamp"))
-        fresh = fresh.select(*key, "digest").persist()
-        rows = rows.persist()
+        """``log`` or ``metric``."""
+        empty = self.spark.createDataFrame([], m.OBSERVATION)
+        made = log_rollup(empty) if kind == "log" else metric_rollup(empty, self.registry)
+        return self._read(f"{self.version()}/{kind}_rollup", StructType([*made.schema.fields, StructField("date", T.DateType())]))
+
+    def watermarks(self) -> DataFrame:
+        """Each stream's last number, with its digests."""
+        last = self.ledger().groupBy(*STREAM).agg(F.max(F.struct("sequence", "digest", "content_digest")).alias("last"))
+        return last.select(*STREAM, "last.*")
+
+    def settle(self, batches: DataFrame, epoch: int, automatic: bool = False) -> None:
+        """One micro-batch. Running it twice changes nothing: the ledger is read first and written last.
+
+        ``automatic``: senders keep no numbers, batches get the next ones of their stream. A batch is admitted if
+        its source is known, its records are good, and its number follows on; an exact replay is taken silently.
+        """
+        batches = batches.select(*m.BATCH.fieldNames()).persist()
+        try:
+            known = self.scopes.select("source_id")
+            ours = batches.join(known, "source_id", "left_semi")
+            if automatic:
+                ours = numbered(ours, self.watermarks()).select(*m.BATCH.fieldNames())
+            judged = admissible(ours.withColumns({"digest": batch_digest(), "content_digest": content_digest()}), self.now or datetime.now(timezone.utc).replace(tzinfo=None))
+            judged = judged.join(self.ledger().select(*KEY, "digest"), [*KEY, "digest"], "left_anti").persist()
+            arrivals = judged.where("problem is null").withColumn("arrived", F.col("observed_at"))
+            settled = admit(arrivals, self.watermarks()).persist()
+            told = [batches.join(known, "source_id", "left_anti").withColumns({"digest": batch_digest(), "problem": F.lit("unknown_source")}), judged.where("problem is not null"),
+                    settled.where("outcome not in ('accepted', 'duplicate')").withColumn("problem", F.col("outcome"))]
+            wrong = [t.select(*KEY, "digest", "problem") for t in told]
+            wrong = wrong[0].unionByName(wrong[1]).unionByName(wrong[2]).withColumn("epoch", F.lit(epoch).cast("long"))
+            wrong.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{self.root}/problems")
+            fresh = settled.where("outcome = 'accepted'")
+            if fresh.head(1):
+                self._append(fresh, epoch)
+            for df in (judged, settled):
+                df.unpersist()
+        finally:
+            batches.unpersist()
+
+    def _append(self, fresh: DataFrame, epoch: int) -> None:
+        """Segments, rows, rollups and at last the ledger; what an earlier try has left is not written again."""
+        raw = raw_segments(fresh.select(*m.BATCH.fieldNames()))
+        self._write(raw.join(self.segments().select("digest"), "digest", "left_anti"), f"{self.root}/segments")
+        self.project(fresh.select(*m.BATCH.fieldNames()))
+        fresh.select(*KEY, "digest", "content_digest").withColumn("epoch", F.lit(epoch).cast("long")).coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> None:
+        """Appends by signal and date; Spark splits a large day into several tasks and files."""
+        rows.hint("rebalance", *[F.col(c) for c in PARTITIONS]).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+
+    def project(self, batches: DataFrame) -> None:
+        rows = flatten(batches, self.scopes).withColumn("date", utc_date(F.col("timestamp"))).persist()
         try:
-            if not fresh.head(1):
-                return
-            # A run that failed before its ledger entry may have left rows; those are not appended again.
             # Only dates that the new rows have are read.
-            known = self.observations().join(rows.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi").select(*m.IDENTITY)
-            rows.join(known, list(m.IDENTITY), "left_anti").repartition(*PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(f"{self.root}/observations")
+            there = self.observations().join(rows.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi").select(*m.IDENTITY)
+            self._write(rows.join(there, list(m.IDENTITY), "left_anti"), f"{self.root}/{self.version()}/observations")
             self.refresh(rows)
-            fresh.withColumn("epoch", F.lit(epoch).cast("long")).coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
         finally:
-            fresh.unpersist()
             rows.unpersist()
 
     def refresh(self, rows: DataFrame) -> None:
-        """Recomputes the rollups of every date the rows touch, from the projection, and overwrites those partitions."""
-        dates = rows.where(F.col("signal").isin("logs", "metrics")).select(*PARTITIONS).distinct()
-        touched = self.observations().join(dates, PARTITIONS, "left_semi").persist()
-        try:
-            for kind, rollup in (("log", log_rollup(touched)), ("metric", metric_rollup(touched, self.registry))):
-                rollup.withColumn("date", F.to_date("bucket_start")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{self.root}/{kind}_rollup")
-        finally:
-            touched.unpersist()
-
-    def start(self, incoming: str, checkpoint: str, files_per_trigger: int = 16, once: bool = True) -> StreamingQuery:
+        """Recomputes the rollup buckets that the rows touch, from the projection; other buckets of their dates stay as they are."""
+        bucket = ["organization_id", "bucket_start"]
+        for signal, kind in (("logs", "log"), ("metrics", "metric")):
+            touched = affected_buckets(rows.where(F.col("signal") == signal)).withColumn("date", utc_date(F.col("bucket_start"))).persist()
+            try:
+                if not touched.head(1):
+                    continue
+                read = self.observations().where(F.col("signal") == signal).withColumn("bucket_start", bucket_start(F.col("timestamp"), WIDTH))
+                again = read.join(touched, [*bucket, "date"], "left_semi").drop("bucket_start", "date")
+                made = (log_rollup(again) if kind == "log" else metric_rollup(again, self.registry)).withColumn("date", utc_date(F.col("bucket_start")))
+                old = self.rollup(kind).join(touched.select("date").distinct(), "date", "left_semi").join(touched.select(*bucket), bucket, "left_anti")
+                made.unionByName(old).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{self.root}/{self.version()}/{kind}_rollup")
+            finally:
+                touched.unpersist()
+
+    def rebuild(self, version: str) -> None:
+        """A new version of the projection from all raw segments with the registry at hand; readers change over when it is whole."""
+        batches, _ = parsed_segments(self.segments())
+        rows = flatten(batches, self.scopes).dropDuplicates(list(m.IDENTITY)).withColumn("date", utc_date(F.col("timestamp")))
+        where = f"{self.root}/{version}"
+        rows.hint("rebalance", *[F.col(c) for c in PARTITIONS]).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{where}/observations")
+        whole = self.spark.read.schema(rows.schema).parquet(f"{where}/observations")
+        for kind, made in (("log", log_rollup(whole)), ("metric", metric_rollup(whole, self.registry))):
+            made.withColumn("date", utc_date(F.col("bucket_start"))).write.mode("overwrite").partitionBy("date").parquet(f"{where}/{kind}_rollup")
+        at = (self._read("current", StructType([StructField("version", T.StringType()), StructField("at", T.LongType())])).agg(F.max("at")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(version, at)], "version string, at long").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
+
+    def retain(self, policy: Retention) -> list[str]:
+        """Deletes the day partitions that retention has wholly passed, and returns their paths; a day that is cut stays whole."""
+        now, gone = self.now or datetime.now(timezone.utc).replace(tzinfo=None), []
+        last = lambda days: (now - timedelta(days=days)).date()
+        days = {s: last(policy.days(s)) for s in m.SIGNALS}
+        for r in self.observations().select(*PARTITIONS).distinct().collect():  # a row per signal and day
+            if r["date"] < days[r["signal"]]:
+                gone.append(f"{self.root}/{self.version()}/observations/signal={r['signal']}/date={r['date']}")
+        for kind in ("log", "metric"):
+            gone += [f"{self.root}/{self.version()}/{kind}_rollup/date={r['date']}" for r in self.rollup(kind).select("date").distinct().collect() if r["date"] < last(policy.rollups)]
+        for path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return gone
+
+    def recover(self, epoch: int) -> int:
+        """Raw segments that a broken run wrote without their ledger entry are settled anew; returns how many there were."""
+        lost = self.segments().join(self.ledger().select("digest"), "digest", "left_anti")
+        batches, _ = parsed_segments(lost)
+        count = lost.count()
+        if count:
+            self.settle(batches, epoch)
+        return count
+
+    def start(self, incoming: str, checkpoint: str, files_per_trigger: int = 16, once: bool = True, automatic: bool = False) -> StreamingQuery:
         """Streams JSON batch files from ``incoming``; ``once`` drains what is there, else it triggers every second."""
         source = self.spark.readStream.schema(m.BATCH).option("maxFilesPerTrigger", files_per_trigger).json(incoming)
-        writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.settle)
+        writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: self.settle(df, epoch, automatic))
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
@@ -89,28 +193,49 @@ def tumbling(stream: DataFrame) -> DataFrame:
     return stream.groupBy(bucket_start(F.col("timestamp"), WIDTH).alias("bucket_start"), "name").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def tailed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the lines (column line) of text files that are added to ``folder``; the checkpoint is the cursor."""
+    return spark.readStream.format("text").load(folder).withColumnRenamed("value", "line")
+
+
 EVENT = StructType([StructField("rule_id", T.StringType()), StructField("at", TimestampType()), StructField("rows", T.LongType())])
 
 
 def stream_incidents(evaluations: DataFrame, minimum: int, consecutive: int) -> DataFrame:
-    """Incident events of a stream of evaluations (rule_id, at, rows); one small state a rule."""
+    """Incident events of a stream of evaluations (rule_id, at, rows); one small state a rule.
+
+    A row with an ``action`` (and ``until``, for a silence), where the stream has these columns, is a person's
+    action in place of an evaluation; one that the incident does not take is told as ``refused``.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState
 
-    from ..operators.alerts import Incident, evaluate
+    from ..operators.alerts import Incident, act, evaluate
+
+    rows = evaluations
+    for name, kind in (("action", "string"), ("until", "timestamp")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
 
     def step(key, frames, state: GroupState):
-        number, name, count = state.get if state.exists else (0, "none", 0)
-        incident = None if name == "none" else Incident(number, name, count)
-        rows = pd.concat(list(frames)).sort_values("at")
+        number, name, count, until = state.get if state.exists else (0, "none", 0, None)
+        incident = None if name == "none" else Incident(number, name, count, None if until is None else datetime.fromtimestamp(until / 1e6))
         out = []
-        for r in rows.itertuples():
-            fresh = incident is None or incident.state == "resolved"
-            incident, event = evaluate(incident, r.rows >= minimum, r.at.to_pydatetime(), consecutive, number + 1)
-            number += fresh and event == "opened"
+        for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
+            at = r.at.to_pydatetime()
+            if isinstance(r.action, str):
+                try:
+                    incident, event = act(incident or Incident(0, "resolved", 0), r.action, at, None if pd.isna(r.until) else r.until.to_pydatetime())
+                except ValueError:
+                    event = "refused"
+            else:
+                fresh = incident is None or incident.state == "resolved"
+                incident, event = evaluate(incident, r.rows >= minimum, at, consecutive, number + 1)
+                number += fresh and event == "opened"
             if event:
-                out.append((key[0], int(number), r.at, event, incident.state))
-        state.update((int(number), incident.state if incident else "none", incident.count if incident else 0))
+                out.append((key[0], int(number), r.at, event, incident.state if incident else "none"))
+        late = incident.silenced_until if incident else None
+        state.update((int(number), incident.state if incident else "none", incident.count if incident else 0, None if late is None else int(late.timestamp() * 1e6)))
         yield pd.DataFrame(out, columns=["rule_id", "number", "at", "event", "state"])
 
-    return evaluations.groupBy("rule_id").applyInPandasWithState(step, "rule_id string, number long, at timestamp, event string, state string", "number long, state string, count long", "append", "NoTimeout")
+    return rows.groupBy("rule_id").applyInPandasWithState(step, "rule_id string, number long, at timestamp, event string, state string", "number long, state string, count long, silenced_until long", "append", "NoTimeout")
