@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fields import Registry
 from ..plans.language import Query, QueryError
-from .query import matches
+from .query import matches, run, utc_moment
 
 # Incident states in the order in which lists show them.
 STATES = ("firing", "acknowledged", "silenced", "pending", "resolved")
@@ -91,25 +92,96 @@ def incidents(evaluations: DataFrame, minimum: int, consecutive: int) -> DataFra
 
 
 def fold(evaluations: DataFrame, minimum: int, consecutive: int) -> DataFrame:
-    """Events of every rule's incidents, from the state machine run over its evaluations in order.
+    """Events of every rule's incidents, as the state machine makes them of its evaluations in order; by windows alone.
 
-    One rule's evaluations are at most one every 15 seconds and go through one task; rules are dealt out.
+    An incident opens with a run of matches, is promoted by the run's ``consecutive``-th, and ends at the next
+    evaluation that does not match. Without people's actions nothing else happens.
     """
-    import pandas as pd
+    order = Window.partitionBy("rule_id").orderBy("at")
+    runs = consecutive_matches(evaluations, minimum).withColumns({"_before": F.coalesce(F.lag("run").over(order), F.lit(0))})
+    numbered = runs.withColumn("number", F.sum(F.when(F.col("matched") & (F.col("run") == 1), 1).otherwise(0)).over(order))
+    event = (F.when(F.col("matched") & (F.col("run") == 1), "opened").when(F.col("matched") & (F.col("run") == consecutive), "promoted")
+             .when(~F.col("matched") & (F.col("_before") > 0), "resolved"))
+    state = F.when(~F.col("matched"), "resolved").when(F.col("run") >= consecutive, "firing").otherwise("pending")
+    told = numbered.withColumns({"event": event, "state": state, "count": F.when(F.col("matched"), F.col("run")).otherwise(F.col("_before"))})
+    return told.where("event is not null").select("rule_id", "number", "at", "event", "state", "count")
+
+
+MAX_DUE = 64
+_RULE = ["organization_id", "rule_id"]
+
+
+def due_rules(rules: DataFrame, now: datetime, most: int = MAX_DUE) -> DataFrame:
+    """The enabled rules whose time has come, the longest waiting first: (organization_id, rule_id, query_id, minimum, consecutive, interval_seconds, enabled, next_at)."""
+    return rules.where(F.col("enabled") & (F.col("next_at") <= utc_moment(now))).orderBy("next_at", *_RULE).limit(most)
+
+
+def claimed(rules: DataFrame, due: DataFrame, now: datetime) -> DataFrame:
+    """The rules with the due ones' next time moved on, to be stored before they run, so that no other run takes them."""
+    taken = due.select(*_RULE, F.lit(True).alias("_taken"))
+    later = F.timestamp_micros(F.unix_micros(utc_moment(now)) + F.col("interval_seconds").cast("bigint") * 1_000_000)
+    return rules.join(taken, _RULE, "left").withColumn("next_at", F.when(F.col("_taken"), later).otherwise(F.col("next_at"))).drop("_taken")
+
 
-    def of_rule(rows: pd.DataFrame) -> pd.DataFrame:
-        incident, number, out = None, 0, []
-        for r in rows.sort_values("at").itertuples():
-            fresh = incident is None or incident.state == "resolved"
-            incident, event = evaluate(incident, r.rows >= minimum, r.at.to_pydatetime(), consecutive, number + 1)
-            if fresh and event == "opened":
-                number += 1
-            if event:
-                out.append((r.rule_id, number, r.at, event, incident.state, incident.count))
-        return pd.DataFrame(out, columns=["rule_id", "number", "at", "event", "state", "count"])
+def evaluated(due: DataFrame, saved: dict, observations: DataFrame, now: datetime, registry: Registry | None = None) -> DataFrame:
+    """(organization_id, rule_id, minimum, consecutive, at, rows, error): how many rows each due rule's saved query returns.
 
-    at = evaluations.schema["at"].dataType.simpleString()
-    return evaluations.groupBy("rule_id").applyInPandas(of_rule, f"rule_id string, number long, at {at}, event string, state string, count long")
+    ``saved`` has (query, scope) by (organization_id, query_id). A query that is missing or does not plan is an
+    error, "query_unavailable", and no evaluation; the others run as one job.
+    """
+    spark, out = due.sparkSession, []
+    schema = "organization_id string, rule_id string, minimum long, consecutive long"
+    for r in due.select(*_RULE, "minimum", "consecutive", "query_id").collect():  # MAX_DUE rows at most
+        rule = spark.createDataFrame([tuple(r)[:4]], schema)
+        try:
+            kept, scope = saved[(r["organization_id"], r["query_id"])]
+            query = kept.query()
+            n = run(observations, query, scope, now, registry).full.limit(query.limit).agg(F.count(F.lit(1)).alias("rows"))
+            out.append(rule.join(F.broadcast(n)).withColumn("error", F.lit(None).cast("string")))  # one row with one row
+        except (KeyError, QueryError):
+            out.append(rule.withColumns({"rows": F.lit(None).cast("long"), "error": F.lit("query_unavailable")}))
+    none = spark.createDataFrame([], f"{schema}, rows long, error string")
+    return reduce(DataFrame.unionByName, out, none).withColumn("at", utc_moment(now))
+
+
+INCIDENT_COLUMNS = [*_RULE, "number", "state", "count", "silenced_until", "updated_at"]
+
+
+def advanced(incidents: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Each rule's latest incident (INCIDENT_COLUMNS) after one evaluation a rule, with the event it makes, if any.
+
+    Rules that were not evaluated, or whose query failed, keep theirs. The same steps as ``evaluate``, as columns.
+    """
+    good = evaluations.where("error is null").select(*_RULE, "minimum", "consecutive", "rows", F.col("at").alias("_at"))
+    both = incidents.select(*INCIDENT_COLUMNS).join(good, _RULE, "full")
+    told, is_open = F.col("_at").isNotNull(), F.coalesce(F.col("state") != "resolved", F.lit(False))
+    matched = told & (F.col("rows") >= F.col("minimum"))
+    opens, ends = matched & ~is_open, told & ~matched & is_open
+    more = F.col("count") + 1
+    promoted = matched & (F.col("state") == "pending") & (more >= F.col("consecutive"))
+    loud = matched & (F.col("state") == "silenced") & (F.col("silenced_until") <= F.col("_at"))
+    event = F.when(opens, "opened").when(ends, "resolved").when(promoted, "promoted").when(loud, "unsilenced")
+    state = F.when(opens, F.when(F.col("consecutive") == 1, "firing").otherwise("pending")).when(ends, "resolved").when(promoted | loud, "firing").otherwise(F.col("state"))
+    return both.select(
+        *_RULE, F.when(opens, F.coalesce("number", F.lit(0)) + 1).otherwise(F.col("number")).cast("long").alias("number"), state.alias("state"),
+        F.when(opens, 1).when(matched, more).otherwise(F.col("count")).cast("long").alias("count"),
+        F.when(opens | ends | loud, None).otherwise(F.col("silenced_until")).alias("silenced_until"), F.when(matched | ends, F.col("_at")).otherwise(F.col("updated_at")).alias("updated_at"),
+        event.alias("event")).where("state is not null")
+
+
+def acted(incidents: DataFrame, actions: DataFrame) -> DataFrame:
+    """The incidents after people's actions (organization_id, rule_id, action, at, until), one a rule, with event or problem.
+
+    acknowledge, silence (until within 30 days) and resolve; a resolved incident takes none.
+    """
+    both = incidents.select(*INCIDENT_COLUMNS).join(actions.select(*_RULE, "action", F.col("at").alias("_at"), F.col("until").alias("_until")), _RULE, "left")
+    action, is_open = F.col("action"), F.col("state") != "resolved"
+    soon = (F.col("_until") > F.col("_at")) & (F.unix_micros("_until") - F.unix_micros("_at") <= F.lit(LONGEST_SILENCE // timedelta(microseconds=1)))
+    problem = F.when(action.isNull(), None).when(~is_open, "resolved").when(~action.isin("acknowledge", "silence", "resolve"), "unknown_action").when((action == "silence") & ~F.coalesce(soon, F.lit(False)), "silence")
+    good = action.isNotNull() & problem.isNull()
+    state = F.when(good, F.when(action == "acknowledge", "acknowledged").when(action == "silence", "silenced").otherwise("resolved")).otherwise(F.col("state"))
+    return both.select(*_RULE, "number", state.alias("state"), "count", F.when(good, F.when(action == "silence", F.col("_until"))).otherwise(F.col("silenced_until")).alias("silenced_until"),
+                       F.when(good, F.col("_at")).otherwise(F.col("updated_at")).alias("updated_at"), F.when(good, state).alias("event"), problem.alias("problem"))
 
 
 def incident_order(rows: DataFrame) -> DataFrame:
@@ -137,13 +209,17 @@ def batch_rule(records: DataFrame, query: Query, minimum: int, registry: Registr
 def transition_problems(transitions: DataFrame, segments: DataFrame) -> DataFrame:
     """Reported transitions (rule_id, source_id, stream_id, sequence, from_sequence, to_sequence) with problem.
 
-    Numbers follow on without a hole per rule and source; the evidence range must be stored segments.
+    Numbers follow on without a hole per rule and source; the evidence range must be stored segments. A stream's
+    n-th stored number tells how many lie up to it, so a range is whole if the ranks of its ends are as far
+    apart as the ends; ranges of any length cost two lookups.
     """
     order = Window.partitionBy("rule_id", "source_id").orderBy("sequence")
     steps = transitions.withColumn("_before", F.coalesce(F.lag("sequence").over(order), F.lit(0)))
-    t, s = steps.alias("t"), segments.select("source_id", "stream_id", F.col("sequence").alias("_seq")).alias("s")
-    wanted = steps.withColumn("_seq", F.explode(F.sequence("from_sequence", "to_sequence")))
-    have = wanted.join(s, ["source_id", "stream_id", "_seq"], "left_semi").groupBy("rule_id", "source_id", "sequence").agg(F.countDistinct("_seq").alias("_have"))
-    joined = t.join(have, ["rule_id", "source_id", "sequence"], "left")
-    whole = F.coalesce("_have", F.lit(0)) == F.col("to_sequence") - F.col("from_sequence") + 1
-    return joined.withColumn("problem", F.when(F.col("sequence") != F.col("_before") + 1, "gap").when(~whole, "evidence")).drop("_before", "_have")
+    stream = ["source_id", "stream_id"]
+    ranks = segments.select(*stream, "sequence").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(*stream).orderBy("sequence")))
+    end = lambda c: ranks.select(*stream, F.col("sequence").alias(c), F.col("_rank").alias(f"_{c}"))
+    joined = steps.join(end("from_sequence"), [*stream, "from_sequence"], "left").join(end("to_sequence"), [*stream, "to_sequence"], "left")
+    span = F.col("to_sequence") - F.col("from_sequence")
+    whole = F.coalesce((span >= 0) & (F.col("_to_sequence") - F.col("_from_sequence") == span), F.lit(False))
+    problem = F.when(F.col("sequence") != F.col("_before") + 1, "gap").when(~whole, "evidence")
+    return joined.select(*transitions.columns, problem.alias("problem"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.typed import bucket_start, number, sized, typed
+from ..functions.histogram import bucket as magnitude
+from ..functions.typed import bucket_start, number, sized, typed, utc_date
 from ..plans.fields import CORE, INTEGER, NUMERIC, TIME, Descriptor, Registry, canonical
 from ..plans.language import Query
 from ..plans.planner import BudgetError, Plan, Scope, literal, plan, referenced, result_columns
@@ -69,15 +72,19 @@ def matches(query: Query, registry: Registry) -> Column:
     return reduce(lambda a, b: a & b, [predicate(registry.describe(query.signal, f.field), f.op, f.value) for f in query.filters], F.lit(True))
 
 
+def utc_moment(at: datetime) -> Column:
+    """A time without zone, taken as UTC whatever the session's zone."""
+    return F.timestamp_micros(F.lit((at - datetime(1970, 1, 1)) // timedelta(microseconds=1)))
+
+
 def since(now: datetime, nanos: int) -> Column:
-    moment = now - timedelta(microseconds=nanos // 1_000)
-    return F.timestamp_micros(F.lit(int((moment - datetime(1970, 1, 1)).total_seconds() * 1_000_000)))
+    return utc_moment(now - timedelta(microseconds=nanos // 1_000))
 
 
 def scan(observations: DataFrame, signal: str, scope: Scope, window: int, now: datetime) -> DataFrame:
     """Rows of a signal in a scope, from ``now`` (UTC, no zone) minus the look-back on; there is no upper bound.
 
-    Where the table has a ``date`` partition column, it is bounded as well so that partitions are pruned.
+    Where the table has a ``date`` partition column (the UTC day), it is bounded as well so that partitions are pruned.
     """
     rows = observations.where(F.col("signal") == signal)
     for column, value in scope.parts():
@@ -85,7 +92,7 @@ def scan(observations: DataFrame, signal: str, scope: Scope, window: int, now: d
     if window:
         rows = rows.where(F.col("timestamp") >= since(now, window))
         if "date" in observations.columns:
-            rows = rows.where(F.col("date") >= F.to_date(since(now, window)))
+            rows = rows.where(F.col("date") >= utc_date(since(now, window)))
     return rows
 
 
@@ -96,10 +103,10 @@ def aggregate(function: str, value: Column | None) -> Column:
 
 
 def summarize(rows: DataFrame, query: Query, registry: Registry) -> DataFrame:
-    """Grouped aggregates; without groups, one row unless no row matched. Percentiles come from value counts.
+    """Grouped aggregates; without groups, one row unless no row matched. One scan, whatever the aggregates.
 
-    A percentile's distinct values are counted in a first grouping, so that the second one reads a sorted
-    run of counts and no group's values are gathered in one place.
+    Percentiles come from counts of the distinct values: a first grouping by key and value, summed on the map
+    side, holds partial results of all other aggregates as well; a second one reads each group's values in order.
     """
     s = query.summary
     keys = {}
@@ -112,24 +119,56 @@ def summarize(rows: DataFrame, query: Query, registry: Registry) -> DataFrame:
     values = {column: _as_number(registry.describe(query.signal, f)) for f, column in inputs.items()}
     names = {k: f"_k{i}" for i, k in enumerate(keys)} or {"": "_k0"}
     base = rows.select(*([v.alias(names[k]) for k, v in keys.items()] or [F.lit(0).alias("_k0")]), *[v.alias(c) for c, v in values.items()])
-    plain = [aggregate(a.function, F.col(inputs[a.field]) if a.field else None).alias(f"_a{i}") for i, a in enumerate(s.aggregates) if a.function not in PERCENTILES]
     by = list(names.values())
-    grouped = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *plain)
-    ranked = {a.field for a in s.aggregates if a.function in PERCENTILES}
-    for f in sorted(ranked):
-        shares = [(i, PERCENTILES[a.function]) for i, a in enumerate(s.aggregates) if a.field == f and a.function in PERCENTILES]
-        got = nearest_ranks(base, by, inputs[f], shares)
-        left, right = grouped.alias("l"), got.alias("r")
-        grouped = left.join(right, reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]), "left").select("l.*", *[f"r._a{i}" for i, _ in shares])
+    shares = {i: (inputs[a.field], PERCENTILES[a.function]) for i, a in enumerate(s.aggregates) if a.function in PERCENTILES}
+    plain = {i: (a.function, inputs.get(a.field)) for i, a in enumerate(s.aggregates) if a.function not in PERCENTILES}
+    if shares:
+        grouped = with_percentiles(base, by, plain, shares, split=not keys)
+    else:
+        grouped = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[aggregate(f, F.col(c) if c else None).alias(f"_a{i}") for i, (f, c) in plain.items()])
     return grouped.select(*[F.col(names[k]).alias(k) for k in keys], *[F.col(f"_a{i}").alias(a.alias) for i, a in enumerate(s.aggregates)])
 
 
-def nearest_ranks(rows: DataFrame, by: list[str], value: str, shares: list[tuple[int, float]]) -> DataFrame:
-    """Exact nearest-rank percentiles per group as columns _a<i>, from counts of the distinct values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = counts.withColumns({"_upto": F.sum("_c").over(upto), "_all": F.sum("_c").over(Window.partitionBy(*by))})
-    return summed.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.lit(share) * F.col("_all")), F.col(value))).alias(f"_a{i}") for i, share in shares])
+def with_percentiles(rows: DataFrame, by: list[str], plain: dict[int, tuple[str, str | None]], shares: dict[int, tuple[str, float]], split: bool = False) -> DataFrame:
+    """Per group, columns _a<i>: plain aggregates (function, column) and exact nearest-rank percentiles (column, share).
+
+    Each row counts once for every ranked column, and for the plain aggregates with the first one. ``split`` deals a
+    group's values to many tasks by magnitude, with the counts of lower magnitudes in front of each; it reads the
+    counts twice and is meant for few groups of very many values.
+    """
+    ranked = sorted({c for c, _ in shares.values()})
+    several = len(ranked) > 1
+    first = F.col("_f") == 0 if several else F.lit(True)
+    parts, finals = {}, {}
+    for i, (f, c) in plain.items():
+        if f in ("count", "avg"):
+            parts[f"_p{i}n"] = F.count(F.when(first, F.lit(1) if f == "count" else F.col(c)))
+        if f != "count":
+            parts[f"_p{i}"] = {"min": F.min, "max": F.max, "sum": F.sum, "avg": F.sum}[f](F.when(first, F.col(c)))
+        finals[i] = F.sum(f"_p{i}n") if f == "count" else F.try_divide(F.sum(f"_p{i}"), F.sum(f"_p{i}n")) if f == "avg" else {"min": F.min, "max": F.max, "sum": F.sum}[f](f"_p{i}")
+    used = sorted({c for _, c in plain.values() if c})
+    own, slot = ([*by, "_f"] if several else by), []
+    if several:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("_f"), F.col(c).alias("_x")) for k, c in enumerate(ranked)]))
+        flat = rows.select(*by, *used, each.alias("_e")).select(*by, *used, "_e._f", "_e._x")
+    else:
+        flat = rows.select(*by, *used, F.col(ranked[0]).alias("_x"))
+    fine = flat.groupBy(*own, "_x").agg(F.count(F.lit(1)).alias("_c"), *[p.alias(n) for n, p in parts.items()])
+    counted = F.when(F.col("_x").isNotNull(), F.col("_c")).otherwise(0)
+    fine = fine.withColumn("_all", F.sum(counted).over(Window.partitionBy(*own))) if not split else fine
+    if split:
+        slot = ["_b"]
+        fine = fine.withColumn("_b", F.coalesce(magnitude(F.col("_x")), F.lit(0)))
+        coarse = fine.groupBy(*own, "_b").agg(F.sum(counted).alias("_s"))  # some ten thousand magnitudes a group at most
+        so_far = Window.partitionBy(*own).orderBy("_b")
+        coarse = coarse.select(*own, "_b", F.sum("_s").over(Window.partitionBy(*own)).alias("_all"), (F.sum("_s").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_ahead"))
+        l, r = fine.alias("l"), coarse.alias("r")
+        fine = l.join(r, reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*own, "_b"]])).select("l.*", "_all", "_ahead")
+    upto = F.sum(counted).over(Window.partitionBy(*own, *slot).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) + (F.col("_ahead") if split else F.lit(0))
+    placed = fine.withColumn("_upto", upto)
+    of = lambda c: F.col("_f") == ranked.index(c) if several else F.lit(True)
+    reached = lambda c, share: F.min(F.when(of(c) & (F.col("_upto") >= F.ceil(F.lit(share) * F.col("_all"))), F.col("_x")))
+    return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[v.alias(f"_a{i}") for i, v in finals.items()], *[reached(c, share).alias(f"_a{i}") for i, (c, share) in shares.items()])
 
 
 def _as_number(descriptor: Descriptor) -> Column:
@@ -195,9 +234,44 @@ def statistics(observations: DataFrame, query: Query, scope: Scope, now: datetim
 def within_budget(observations: DataFrame, planned: Plan, now: datetime, registry: Registry | None = None) -> dict:
     """Scan statistics of a plan, or a BudgetError where they exceed its budget."""
     got = statistics(observations, planned.query, planned.scope, now, registry).first().asDict()
-    if (got["scanned_bytes"] or 0) > planned.budget.scanned_bytes:
-        raise BudgetError(f"{got['scanned_bytes']} scanned bytes exceed the budget of {planned.budget.scanned_bytes}")
+    _check_bytes(got["scanned_bytes"] or 0, planned)
     return got
 
 
-__all__ = ["Result", "finish", "matches", "nearest_ranks", "predicate", "ranked", "referenced", "run", "scan", "statistics", "summarize", "within_budget"]
+def _check_bytes(scanned: int, planned: Plan) -> None:
+    if scanned > planned.budget.scanned_bytes:
+        raise BudgetError(f"{scanned} scanned bytes exceed the budget of {planned.budget.scanned_bytes}")
+
+
+def collect_within(result: Result) -> tuple[list[Row], bool]:
+    """The result's rows and whether the limit cut any, in one run under the plan's budget.
+
+    The run's jobs carry a tag, and a timer interrupts them when the budget's seconds are over. One row more than
+    the limit is asked for. Rows whose texts take more than the budget's memory are refused.
+    """
+    planned, context, tag = result.plan, result.full.sparkSession.sparkContext, f"budget-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(planned.budget.seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        rows = result.full.orderBy(*result.order).limit(planned.query.limit + 1).select(*[F.col(f"`{c}`") for c in result.columns]).collect()
+    except Exception as e:
+        if late.is_set():
+            raise BudgetError(f"the query took longer than {planned.budget.seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+    size = sum(len(str(v)) for r in rows for v in r if v is not None)
+    if size > planned.budget.memory_bytes:
+        raise BudgetError(f"a result of {size} bytes exceeds the budget of {planned.budget.memory_bytes}")
+    return rows[: planned.query.limit], len(rows) > planned.query.limit
+
+
+__all__ = ["Result", "collect_within", "finish", "matches", "predicate", "ranked", "referenced", "run", "scan", "statistics", "summarize", "with_percentiles", "within_budget"]

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.histogram import bucket, percentiles
-from ..functions.typed import bucket_start, sized, typed
+from ..functions.typed import YEAR_ONE, bucket_start, sized, typed, utc_date
 from ..model import SCOPE
-from ..plans.fields import Registry, canonical
+from ..plans.fields import ALIASES, Registry, canonical
 from ..plans.language import SECOND, Query
 from ..plans.planner import ROLLUP_SECONDS, Plan, Scope, plan
-from .query import PERCENTILES, Result, field_value, finish, matches, run, scan, since
+from .query import PERCENTILES, Result, field_value, finish, matches, run, scan
 
 WIDTH = ROLLUP_SECONDS * SECOND
 LOG_KEYS = [*SCOPE, "bucket_start", "status", "route", "route_present"]
@@ -44,23 +44,34 @@ def merge_log_rollups(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*LOG_KEYS).agg(F.sum("observation_count").alias("observation_count"), F.sum("scanned_bytes").alias("scanned_bytes"))
 
 
+def _first_whole(now: datetime, window: int) -> tuple[Column | None, bool]:
+    """The first bucket that a look-back holds whole, and whether it cuts the one before."""
+    if not window:
+        return None, False
+    micros = (now - datetime(1970, 1, 1)) // timedelta(microseconds=1) - window // 1_000
+    over = (micros + YEAR_ONE * 1_000_000) % (ROLLUP_SECONDS * 1_000_000)
+    return F.timestamp_micros(F.lit(micros - over + (ROLLUP_SECONDS * 1_000_000 if over else 0))), over > 0
+
+
+def _since_bucket(rollup: DataFrame, first: Column | None) -> DataFrame:
+    """Rollup rows from a bucket on; a ``date`` partition column, the UTC day of the bucket, is bounded as well."""
+    if first is None:
+        return rollup
+    rows = rollup.where(F.col("bucket_start") >= first)
+    return rows.where(F.col("date") >= utc_date(first)) if "date" in rollup.columns else rows
+
+
 def query_log_rollup(rollup: DataFrame, observations: DataFrame, query: Query, scope: Scope, now: datetime, planned: Plan) -> Result:
     """Counts from whole rollup buckets, and from raw rows for the part of a bucket that the look-back cuts."""
     least = int(query.filters[0].value)
     rolled = rollup.where(F.col("status") >= least)
     for column, value in scope.parts():
         rolled = rolled.where(F.col(column) == value)
-    parts = []
-    if query.window:
-        start = since(now, query.window)
-        whole = bucket_start(start, WIDTH)
-        first = F.when(whole == start, start).otherwise(F.timestamp_micros(F.unix_micros(whole) + ROLLUP_SECONDS * 1_000_000))
-        rolled = rolled.where(F.col("bucket_start") >= first)
-        cut = scan(observations, "logs", scope, query.window, now).where((F.col("timestamp") < first))
-        parts.append(log_rollup(cut).where(F.col("status") >= least).select("bucket_start", "route", "route_present", "observation_count"))
-    rows = rolled.select("bucket_start", "route", "route_present", "observation_count")
-    for part in parts:
-        rows = rows.unionByName(part)
+    first, cut = _first_whole(now, query.window)
+    rows = _since_bucket(rolled, first).select("bucket_start", "route", "route_present", "observation_count")
+    if cut:
+        raw = scan(observations, "logs", scope, query.window, now).where(F.col("timestamp") < first)
+        rows = rows.unionByName(log_rollup(raw).where(F.col("status") >= least).select("bucket_start", "route", "route_present", "observation_count"))
     keys = [F.when(F.col("route_present"), F.col("route")).alias("http.route")]
     if query.summary.bucket:
         keys.append(bucket_start(F.col("bucket_start"), query.summary.bucket).alias("window_start"))
@@ -68,10 +79,14 @@ def query_log_rollup(rollup: DataFrame, observations: DataFrame, query: Query, s
     return finish(full, planned)
 
 
+def _spelled(name: str) -> Column:
+    return F.coalesce(*[F.try_element_at("attributes", F.lit(n)) for n in (name, *[a for a, c in ALIASES.items() if c == name])])
+
+
 def dimensions(registry: Registry) -> Column:
-    """The attributes a metric rollup keeps, under their canonical names."""
+    """The attributes a metric rollup keeps, under their canonical names; a record may spell one by its alias."""
     kept = registry.rollup_dimensions()
-    named = [F.struct(F.lit(d.name).alias("k"), F.try_element_at("attributes", F.lit(d.name)).alias("v"), typed(F.try_element_at("attributes", F.lit(d.name)), d.type).isNotNull().alias("ok")) for d in kept]
+    named = [F.struct(F.lit(d.name).alias("k"), _spelled(d.name).alias("v"), typed(_spelled(d.name), d.type).isNotNull().alias("ok")) for d in kept]
     present = F.filter(F.array(*named), lambda e: e["v"].isNotNull() & e["ok"])
     return F.map_from_entries(F.transform(F.array_sort(present), lambda e: F.struct(e["k"], e["v"])))
 
@@ -96,9 +111,9 @@ def metric_rollup(observations: DataFrame, registry: Registry | None = None) ->
     arrival = F.struct("timestamp", "source_id", "stream_id", "sequence", "record_index")
     fine = rows.groupBy(*METRIC_KEYS, "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.max_by(F.struct("value", "timestamp"), arrival).alias("last"), F.max(arrival).alias("at"), F.any_value(F.to_json("attributes")).alias("json"))
+        F.max_by(F.struct("value", "timestamp"), arrival).alias("last"), F.max(arrival).alias("at"), F.any_value("attributes").alias("attributes"))
     return fine.groupBy(*METRIC_KEYS).agg(
-        F.any_value("json").alias("attributes_json"), F.sum("n").alias("sample_count"), F.sum("s").alias("value_sum"), F.min("lo").alias("value_min"), F.max("hi").alias("value_max"),
+        F.any_value("attributes").alias("attributes"), F.sum("n").alias("sample_count"), F.sum("s").alias("value_sum"), F.min("lo").alias("value_min"), F.max("hi").alias("value_max"),
         F.max_by("last", "at")["value"].alias("last_value"), F.max_by("last", "at")["timestamp"].alias("last_timestamp"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("histogram"))
 
@@ -106,7 +121,7 @@ def metric_rollup(observations: DataFrame, registry: Registry | None = None) ->
 def merge_metric_rollups(parts: DataFrame) -> DataFrame:
     """Partial rollups of the same buckets as one: counts and histograms add up, later last values win."""
     keyed = parts.groupBy(*METRIC_KEYS)
-    flat = keyed.agg(F.any_value("attributes_json").alias("attributes_json"), F.sum("sample_count").alias("sample_count"), F.sum("value_sum").alias("value_sum"), F.min("value_min").alias("value_min"),
+    flat = keyed.agg(F.any_value("attributes").alias("attributes"), F.sum("sample_count").alias("sample_count"), F.sum("value_sum").alias("value_sum"), F.min("value_min").alias("value_min"),
                      F.max("value_max").alias("value_max"), F.max_by("last_value", "last_timestamp").alias("last_value"), F.max("last_timestamp").alias("last_timestamp"))
     hist = parts.select(*METRIC_KEYS, F.explode("histogram").alias("bucket", "n")).groupBy(*METRIC_KEYS, "bucket").agg(F.sum("n").alias("n"))
     return flat.join(hist.groupBy(*METRIC_KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("histogram")), METRIC_KEYS)
@@ -114,7 +129,7 @@ def merge_metric_rollups(parts: DataFrame) -> DataFrame:
 
 def _as_observations(rollup: DataFrame) -> DataFrame:
     """Rollup rows with the columns that filters and groups read."""
-    return rollup.withColumns({"signal": F.lit("metrics"), "timestamp": F.col("bucket_start"), "attributes": F.from_json("attributes_json", "map<string,string>")})
+    return rollup.withColumns({"signal": F.lit("metrics"), "timestamp": F.col("bucket_start")})
 
 
 def query_metric_rollup(rollup: DataFrame, observations: DataFrame, query: Query, scope: Scope, now: datetime, planned: Plan, registry: Registry | None = None) -> Result:
@@ -123,13 +138,10 @@ def query_metric_rollup(rollup: DataFrame, observations: DataFrame, query: Query
     Percentiles are read from the merged histograms and are approximate; all else is exact.
     """
     registry = registry or Registry()
-    parts = rollup
-    if query.window:
-        start = since(now, query.window)
-        whole = bucket_start(start, WIDTH)
-        first = F.when(whole == start, start).otherwise(F.timestamp_micros(F.unix_micros(whole) + ROLLUP_SECONDS * 1_000_000))
-        cut = scan(observations, "metrics", scope, query.window, now).where(F.col("timestamp") < first)
-        parts = rollup.where(F.col("bucket_start") >= first).unionByName(metric_rollup(cut, registry))
+    first, cut = _first_whole(now, query.window)
+    parts = _since_bucket(rollup, first).drop("date")
+    if cut:
+        parts = parts.unionByName(metric_rollup(scan(observations, "metrics", scope, query.window, now).where(F.col("timestamp") < first), registry))
     rows = scan(_as_observations(parts), "metrics", scope, 0, now).where(matches(query, registry))
     s = query.summary
     keys = {**({"window_start": bucket_start(F.col("timestamp"), s.bucket)} if s.bucket else {}), **{canonical(g): field_value(registry.describe("metrics", g)) for g in s.groups}}
@@ -159,8 +171,6 @@ def answer(observations: DataFrame, query: Query, scope: Scope, now: datetime, r
     return run(observations, query, scope, now, registry, sensitive, cold)
 
 
-def affected_buckets(timestamps: DataFrame) -> DataFrame:
-    """The rollup buckets that new rows touch, late ones included."""
-    return timestamps.select(bucket_start(F.col("timestamp"), WIDTH).alias("bucket_start")).distinct()
-
-
+def affected_buckets(rows: DataFrame) -> DataFrame:
+    """The rollup buckets of each organization that new rows touch, late ones included."""
+    return rows.select("organization_id", bucket_start(F.col("timestamp"), WIDTH).alias("bucket_start")).distinct()
