@@ -15,7 +15,7 @@ from .plans.fields import Descriptor, Registry
 from .plans.language import build, parse, render
 from .plans.planner import Scope, log_rollup_fits, metric_rollup_fits, plan
 from .queries import ORG, comparable
-from .sources import collectors, ingest, otlp
+from .sources import collectors, ingest, otlp, segments
 from .sources.adapters import NOW, observations, utc
 
 FIVE = 300 * 10**9
@@ -79,7 +79,7 @@ def rollup_vs_row_diff(spark, d):
 def metroll_build(spark, d):
     got = rollups.metric_rollup(_metrics(spark, d))
     hist = F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
-    return comparable(got.select("project_id", "service_id", "bucket_start", "name", F.get_json_object("attributes_json", "$.state").alias("state"), "sample_count", F.col("value_sum").alias("sum_value"), "value_min", "value_max", "last_value", "last_timestamp", hist.alias("histogram")))
+    return comparable(got.select("project_id", "service_id", "bucket_start", "name", F.try_element_at("attributes", F.lit("state")).alias("state"), "sample_count", F.col("value_sum").alias("sum_value"), "value_min", "value_max", "last_value", "last_timestamp", hist.alias("histogram")))
 
 
 def metroll_merge(spark, d):
@@ -249,25 +249,30 @@ def field_stats(spark, d):
 _FIELD_STATS = f"""WITH o AS ({LOGS}) SELECT 'logs' AS signal, 'user.id' AS field, count(*) AS rows, sum(strlen("user.id"))::BIGINT AS bytes, 'integer' AS inferred, min("timestamp") AS first_seen, max("timestamp") AS last_seen FROM o
 UNION ALL SELECT 'logs', 'cached', count(*), sum(strlen(cached))::BIGINT, 'string', min("timestamp"), max("timestamp") FROM o"""
 
-SAMPLES = ("1", "-7", "+3", "1.5", ".5", "5.", "1e3", "1e999", "true", "TRUE", "t", "2024-01-01T00:00:00Z", "2024-13-01T00:00:00Z", "2024-01-01", " 5 ", "1d", "inf", "0x1p3", "", "500suffix", "9223372036854775808", "yes")
-_KINDS = ("integer", "integer", "integer", "float", "float", "float", "float", "string", "boolean", "string", "string", "time", "string", "string", "string", "string", "string", "string", "string", "string", "float", "string")
 
 
-def infer_type(spark, d):
-    return spark.createDataFrame([(x,) for x in SAMPLES], "text string").select("text", lifecycle.inferred_type(F.col("text")).alias("kind"))
+def _attributes(spark, d) -> DataFrame:
+    """Every attribute of every log and metric record: signal, field, text."""
+    every = _logs(spark, d).select("signal", "attributes").unionByName(_metrics(spark, d).select("signal", "attributes"))
+    return every.select("signal", F.explode("attributes").alias("field", "text"))
 
 
-_INFER = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in zip(SAMPLES, _KINDS)) + ") v(text, kind)"
+def infer_type(spark, d):
+    """Inferred types of all attributes, with how many values have each."""
+    return _attributes(spark, d).groupBy("signal", "field", lifecycle.inferred_type(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def widen_type(spark, d):
-    """Types of groups of sample texts."""
-    groups = [("ints", "1"), ("ints", "2"), ("mixed", "10"), ("mixed", "10.5"), ("label", "10"), ("label", "x"), ("flags", "true"), ("flags", "false"), ("odd", "true"), ("odd", "1")]
-    df = spark.createDataFrame(groups, "name string, text string")
-    return df.groupBy("name").agg(lifecycle.widened(lifecycle.inferred_type(F.col("text"))).alias("kind"))
+    """One type for each attribute of all records."""
+    return _attributes(spark, d).groupBy("signal", "field").agg(lifecycle.widened(lifecycle.inferred_type(F.col("text"))).alias("kind"))
 
 
-_WIDEN = "SELECT * FROM (VALUES ('ints', 'integer'), ('mixed', 'float'), ('label', 'string'), ('flags', 'boolean'), ('odd', 'string')) v(name, kind)"
+_KINDS = f"""a AS (SELECT 'logs' AS signal, x.field, x.text FROM (SELECT unnest([{{'field': 'http.route', 'text': "http.route"}}, {{'field': 'http.status_code', 'text': "http.status_code"}},
+ {{'field': 'duration_ns', 'text': duration_ns}}, {{'field': 'user.id', 'text': "user.id"}}, {{'field': 'cached', 'text': cached}}]) AS x FROM ({LOGS}))
+UNION ALL SELECT 'metrics', x.field, x.text FROM (SELECT unnest([{{'field': 'state', 'text': state}}, {{'field': 'user.id', 'text': "user.id"}}]) AS x FROM ({METRICS}))),
+k AS (SELECT signal, field, CASE WHEN regexp_matches(text, '^[+-]?[0-9]+$') THEN 'integer' WHEN text IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS kind FROM a WHERE text IS NOT NULL)"""
+_INFER = f"WITH {_KINDS} SELECT signal, field, kind, count(*) AS n FROM k GROUP BY ALL"
+_WIDEN = f"WITH {_KINDS} SELECT signal, field, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'string' END AS kind FROM k GROUP BY ALL"
 
 
 def typed_index(spark, d):
@@ -290,10 +295,88 @@ def promoted_filter(spark, d):
 _PROMOTED = f"""SELECT CAST("http.status_code" AS BIGINT) AS status, count(*) AS n FROM ({LOGS}) WHERE regexp_matches("http.status_code", '^[0-9]+$') AND CAST("http.status_code" AS BIGINT) >= 500 GROUP BY ALL"""
 
 
+_NAMES = ("user.password", "API-KEY", "x.api.key", "route", "set-cookie", "access/token", "Authorization", "plain", "tokens")
+
+
 def deny_keys(spark, d):
-    names = ("user.password", "API-KEY", "x.api.key", "route", "set-cookie", "tokens", "authorization", "plain", "Access/Key")
-    df = spark.createDataFrame([({n: "v" for n in names},)], "attributes map<string,string>")
-    return df.select(F.array_join(F.array_sort(F.map_keys(ingest.without_denied(F.col("attributes")))), ",").alias("kept"))
+    """Which attribute names survive, when every log record brings one more of nine names."""
+    name = F.get(F.array(*[F.lit(n) for n in _NAMES]), F.pmod(F.col("sequence") + F.col("record_index"), F.lit(len(_NAMES))).cast("int"))
+    kept = ingest.without_denied(F.map_concat("attributes", F.create_map(name, F.lit("v"))))
+    return _logs(spark, d).select(F.explode(F.map_keys(kept)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DENY = f"""WITH o AS ({LOGS}), e AS (SELECT unnest(list_filter(['http.status_code', 'duration_ns', 'user.id', 'cached', CASE WHEN "http.route" IS NOT NULL THEN 'http.route' END,
+ [{', '.join(f"'{n}'" for n in _NAMES)}][(sequence + record_index) % {len(_NAMES)} + 1]], lambda x: x IS NOT NULL)) AS name FROM o)
+SELECT name, count(*) AS n FROM e WHERE name NOT IN ('user.password', 'API-KEY', 'x.api.key', 'set-cookie', 'access/token', 'Authorization') GROUP BY name"""
+
+
+def auto_sequence(spark, d):
+    """Batches without numbers get the next ones of their streams, after a watermark of 5."""
+    batches = _batches(spark, d).drop("sequence", "observed_at")
+    marks = batches.select("source_id", "stream_id").distinct().select("*", F.lit(5).cast("long").alias("sequence"), F.lit("x").alias("content_digest"))
+    got = ingest.numbered(batches.withColumn("sequence", F.lit(0).cast("long")).withColumn("observed_at", F.lit(None).cast("timestamp")), marks)
+    return comparable(got.select("stream_id", "sequence", "observed_at", F.size("records").cast("long").alias("records")))
+
+
+_AUTO = f"""WITH b AS (SELECT stream_id, sequence AS old, count(*) AS records, max("timestamp") AS observed_at FROM ({METRICS}) GROUP BY ALL)
+SELECT stream_id, 5 + row_number() OVER (PARTITION BY stream_id ORDER BY observed_at) AS sequence, observed_at, records FROM b"""
+
+
+def raw_segments(spark, d):
+    """Batches written as raw segments and read back: whole ones and their records by stream; one in seven is damaged."""
+    stored = segments.raw_segments(_batches(spark, d))
+    damaged = stored.withColumn("content", F.when(F.col("sequence") % 7 == 0, F.concat("content", F.lit(" "))).otherwise(F.col("content")))
+    good, bad = segments.parsed_segments(damaged)
+    whole = good.select("stream_id", F.size("records").alias("records"), F.lit(1).alias("good"), F.lit(0).alias("bad"))
+    both = whole.unionByName(bad.select("stream_id", F.lit(0).alias("records"), F.lit(0).alias("good"), F.lit(1).alias("bad")))
+    return both.groupBy("stream_id").agg(F.sum("good").alias("segments"), F.sum("records").alias("records"), F.sum("bad").alias("damaged"))
+
+
+_RAW_SEGMENTS = f"""WITH b AS (SELECT stream_id, sequence, count(*) AS n FROM ({METRICS}) GROUP BY ALL)
+SELECT stream_id, count(*) FILTER (sequence % 7 <> 0) AS segments, coalesce(sum(n) FILTER (sequence % 7 <> 0), 0)::BIGINT AS records, count(*) FILTER (sequence % 7 = 0) AS damaged FROM b GROUP BY stream_id"""
+
+
+def cold_scan(spark, d):
+    """A query over raw cold segments: the catalogue picks the segments that are cold and reach into the look-back."""
+    stored = segments.raw_segments(_batches(spark, d))
+    catalogue = stored.select("digest", "signal", "last_observed", F.lit("org-a").alias("organization_id"), F.when(F.col("sequence") % 3 == 0, "hot").otherwise("cold").alias("tier"))
+    scopes = spark.createDataFrame([("source-a", "org-a", "p", "e", "s")], "source_id string, organization_id string, project_id string, environment_id string, service_id string")
+    ast = parse(_COLD)
+    cold = segments.cold_observations(stored, catalogue, scopes, "metrics", "org-a", rows.since(NOW, ast.window))
+    none = _metrics(spark, d).limit(0)
+    return comparable(rows.ranked(rollups.answer(none, ast, ORG, NOW, cold=cold)))
+
+
+_COLD = "metrics | window 360h | summarize count(), max(value), sum(value) by name | limit 100"
+_COLD_SQL = query_sql(parse(_COLD), ORG, source=f"SELECT * FROM ({METRICS}) WHERE sequence % 3 <> 0")
+ALERTS = ("logs | where status >= 500 | window 24h | limit 100", "metrics | where value >= 100 | window 72h | limit 1000", "logs | where status >= nope", "metrics | window 1h | summarize count() by name")
+
+
+def _alert(k: int) -> tuple[Scope, int, int]:
+    """Scope, least matches and consecutive matches of rule k."""
+    return Scope("org-a", f"project-{k % 3}"), 1 + 40 * (k % 2), 1 + k % 3
+
+
+def alert_evaluations(spark, d):
+    """Due rules, their saved queries' row counts, errors, and the incidents they open."""
+    saved = {("org-a", f"q{k}"): (views.SavedQuery.of(f"q{k}", ALERTS[k % len(ALERTS)]), _alert(k)[0]) for k in range(12) if k != 9}
+    listed = [("org-a", f"rule-{k}", f"q{k}", _alert(k)[1], _alert(k)[2], 60, k != 10, NOW.isoformat() + "Z" if k < 11 else "2024-01-31T00:00:01Z") for k in range(12)]
+    table = spark.createDataFrame(listed, "organization_id string, rule_id string, query_id string, minimum long, consecutive long, interval_seconds long, enabled boolean, at string").withColumn("next_at", F.col("at").cast("timestamp")).drop("at")
+    told = alerts.evaluated(alerts.due_rules(table, NOW), saved, _logs(spark, d).unionByName(_metrics(spark, d)), NOW)
+    none = spark.createDataFrame([], "organization_id string, rule_id string, number long, state string, count long, silenced_until timestamp, updated_at timestamp")
+    opened = alerts.advanced(none, told).select("rule_id", "state", "event")
+    return told.join(opened, "rule_id", "left").select("rule_id", "rows", "error", "state", "event")
+
+
+def _alert_sql() -> str:
+    out = []
+    for k in range(10):
+        scope, least, consecutive = _alert(k)
+        if k == 9 or k % len(ALERTS) == 2:
+            out.append(f"SELECT 'rule-{k}' AS rule_id, NULL::BIGINT AS rows, 'query_unavailable' AS error, {least} AS least, {consecutive} AS consecutive")
+        else:
+            out.append(f"SELECT 'rule-{k}' AS rule_id, (SELECT count(*) FROM ({query_sql(parse(ALERTS[k % len(ALERTS)]), scope)})) AS rows, NULL::VARCHAR AS error, {least} AS least, {consecutive} AS consecutive")
+    return f"WITH e AS ({' UNION ALL '.join(out)}) SELECT rule_id, rows, error, CASE WHEN rows >= least THEN CASE WHEN consecutive = 1 THEN 'firing' ELSE 'pending' END END AS state, CASE WHEN rows >= least THEN 'opened' END AS event FROM e"
 
 
 def json_lines_web(spark, d):
@@ -360,13 +443,13 @@ def _payload(events: DataFrame, top: str, inner: str, item: str, record) -> Data
 def otlp_json_logs(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
     record = F.struct((F.unix_micros(utc("ts")) * 1000).cast("string").alias("timeUnixNano"), F.lit(17).alias("severityNumber"), F.struct(F.col("event_type").alias("stringValue")).alias("body"),
-                      F.array(_kv("level", F.lit("record")), _kv("auth.token", F.lit("t"))).alias("attributes"), F.lpad(F.hex("event_id"), 32, "0").alias("traceId"))
+                      F.array(_kv("level", F.lit("record")), _kv("access.token", F.lit("t"))).alias("attributes"), F.lpad(F.hex("event_id"), 32, "0").alias("traceId"))
     got = otlp.logs(_payload(events, "resourceLogs", "scopeLogs", "logRecords", record))
     get = lambda k: F.try_element_at("attributes", F.lit(k))
-    return comparable(got.groupBy("name", "severity", "body", get("level").alias("level"), get("otel.scope.name").alias("scope"), get("auth.token").alias("token")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.countDistinct("trace_id").alias("traces")))
+    return comparable(got.groupBy("name", "severity", "body", get("level").alias("level"), get("otel.scope.name").alias("scope"), get("access.token").alias("token")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.countDistinct("trace_id").alias("traces")))
 
 
-_OTLP_LOGS = "SELECT 'otlp.log' AS name, 'ERROR' AS severity, event_type AS body, 'record' AS level, 'lib' AS scope, CAST(NULL AS VARCHAR) AS token, count(*) AS n, min(ts) AS first_at, count(*) AS traces FROM events GROUP BY ALL"
+_OTLP_LOGS = "SELECT 'otlp.log' AS name, 'SEVERITY_NUMBER_ERROR' AS severity, event_type AS body, 'record' AS level, 'lib' AS scope, CAST(NULL AS VARCHAR) AS token, count(*) AS n, min(ts) AS first_at, count(*) AS traces FROM events GROUP BY ALL"
 
 
 def otlp_json_metrics(spark, d):
@@ -544,12 +627,13 @@ def batch_rule_error(spark, d):
 
 def transition_gaps(spark, d):
     n = _numbers(spark, d)
-    told = n.select(F.lit("r").alias("rule_id"), "source_id", "stream_id", "sequence", F.greatest(F.col("sequence") - 1, F.lit(1)).alias("from_sequence"), F.col("sequence").alias("to_sequence")).where("stream_id = 'stream-0'")
+    told = n.select(F.lit("r").alias("rule_id"), "source_id", "stream_id", "sequence", F.greatest(F.col("sequence") - 1, F.lit(1)).alias("from_sequence"), F.col("sequence").alias("to_sequence"))
+    told = told.withColumn("rule_id", F.concat(F.lit("r-"), "stream_id"))
     return alerts.transition_problems(told, n).select("stream_id", "sequence", "problem")
 
 
-_TRANSITIONS = f"""WITH {_NUMBERS}, t AS (SELECT *, coalesce(lag(sequence) OVER (ORDER BY sequence), 0) AS before FROM n WHERE stream_id = 'stream-0')
-SELECT stream_id, sequence, CASE WHEN sequence <> before + 1 THEN 'gap' WHEN sequence > 1 AND sequence - 1 NOT IN (SELECT sequence FROM n WHERE stream_id = 'stream-0') THEN 'evidence' END AS problem FROM t"""
+_TRANSITIONS = f"""WITH {_NUMBERS}, t AS (SELECT *, coalesce(lag(sequence) OVER (PARTITION BY source_id, stream_id ORDER BY sequence), 0) AS before FROM n)
+SELECT stream_id, sequence, CASE WHEN sequence <> before + 1 THEN 'gap' WHEN sequence > 1 AND before <> sequence - 1 THEN 'evidence' END AS problem FROM t"""
 
 _CHART = "logs | summarize count() by route, severity | sort count desc | limit 60"
 
@@ -600,7 +684,8 @@ def _pairs() -> dict[str, tuple]:
         "metroll_last": (metroll_last, _METROLL_LAST), "rollup_vs_row_diff": (rollup_vs_row_diff, "SELECT '' AS query, '' AS row WHERE false"),
         "explain": (explain, _EXPLAIN), "builder": (builder, _BUILDER), "flatten_batches": (flatten_batches, _FLATTEN), "validate_records": (validate_records, _VALIDATE), "distinct_keys": (distinct_keys, _DISTINCT_KEYS),
         "stream_gaps": (stream_gaps, _GAPS), "stream_admission": (stream_admission, _ADMISSION), "replay_dedup": (replay_dedup, _REPLAY), "field_stats": (field_stats, _FIELD_STATS), "infer_type": (infer_type, _INFER),
-        "widen_type": (widen_type, _WIDEN), "typed_index": (typed_index, _TYPED_INDEX), "promoted_filter": (promoted_filter, _PROMOTED), "deny_keys": (deny_keys, "SELECT 'plain,route' AS kept"),
+        "widen_type": (widen_type, _WIDEN), "typed_index": (typed_index, _TYPED_INDEX), "promoted_filter": (promoted_filter, _PROMOTED), "deny_keys": (deny_keys, _DENY), "auto_sequence": (auto_sequence, _AUTO),
+        "raw_segments": (raw_segments, _RAW_SEGMENTS), "cold_scan": (cold_scan, _COLD_SQL), "alert_evaluations": (alert_evaluations, _alert_sql()),
         "json_lines_web": (json_lines_web, _WEB), "json_lines_requestlog": (json_lines_requestlog, _REQUESTS), "json_lines_deployments": (json_lines_deployments, _DEPLOYS), "json_lines_problems": (json_lines_problems, _PROBLEMS),
         "otlp_json_logs": (otlp_json_logs, _OTLP_LOGS), "otlp_json_metrics": (otlp_json_metrics, _OTLP_METRICS), "otlp_json_traces": (otlp_json_traces, _OTLP_TRACES),
         "retention_survivors": (retention_survivors, _RETENTION), "retention_rollups": (retention_rollups, _RETENTION_ROLLUPS), "segments_to_cold": (segments_to_cold, _TO_COLD), "hot_cold_union": (hot_cold_union, b(_HOT_COLD)),

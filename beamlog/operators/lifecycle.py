@@ -1,4 +1,4 @@
-"""Schema inference and promotion, retention and tiers, projection lag, quotas and rebuilds."""
+"""Schema inference and promotion, retention and tiers, projection lag and quotas."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.typed import MOMENT, NUMBER, WHOLE, bucket_start, number, typed, whole
 from ..model import IDENTITY
 from ..plans.fields import BUILT_IN, METRIC_ONLY, NUMERIC, Descriptor, Registry
-from .rollups import WIDTH, log_rollup, metric_rollup
+from .rollups import WIDTH
 
 
 def inferred_type(text: Column) -> Column:
@@ -26,15 +26,36 @@ def widened(types: Column) -> Column:
     return F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).when(F.array_join(kinds, ",") == "float,integer", "float").otherwise("string")
 
 
-def field_statistics(observations: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Per signal and unreviewed attribute: rows, bytes, inferred type, first and last seen."""
-    known = [*BUILT_IN, *METRIC_ONLY, *{n for _, n in (registry or Registry()).reviewed}]
-    flat = observations.select("signal", "timestamp", F.explode("attributes").alias("field", "value")).where(~F.col("field").isin(known))
+def field_statistics(observations: DataFrame, registry: Registry | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per signal and unreviewed attribute (and ``by`` columns): rows, bytes, inferred type, first and last seen."""
+    registry = registry or Registry()
+    known = [*BUILT_IN, *METRIC_ONLY, *{n for _, n in registry.reviewed}]
+    flat = observations.select("signal", "timestamp", *by, F.explode("attributes").alias("field", "value")).where(~F.col("field").isin(known))
+    for signal, name in sorted(registry.rejected):
+        flat = flat.where(~((F.col("signal") == signal) & (F.col("field") == name)))
     kinds = flat.withColumn("kind", inferred_type(F.col("value")))
-    return kinds.groupBy("signal", "field").agg(
+    return kinds.groupBy(*by, "signal", "field").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes"), widened(F.col("kind")).alias("inferred"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
 
 
+SEGMENT = ("source_id", "stream_id", "sequence")
+
+
+def segment_statistics(observations: DataFrame, seen: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Field statistics of each segment that ``seen`` (the ledger of segments that have told theirs) does not list."""
+    return field_statistics(observations.join(seen.select(*SEGMENT).distinct(), list(SEGMENT), "left_anti"), registry, SEGMENT)
+
+
+def proposals(ledger: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Fields to review, from the statistics of all segments, each counted once however often it was told."""
+    once = merge_field_statistics(ledger.dropDuplicates([*SEGMENT, "signal", "field"]))
+    registry = registry or Registry()
+    gone = sorted(registry.rejected | set(registry.reviewed))
+    for signal, name in gone:
+        once = once.where(~((F.col("signal") == signal) & (F.col("field") == name)))
+    return once
+
+
 def merge_field_statistics(parts: DataFrame) -> DataFrame:
     """Statistics of several segments as one."""
     return parts.groupBy("signal", "field").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), widened(F.col("inferred")).alias("inferred"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
@@ -73,6 +94,13 @@ class Retention:
         if self.rollups < self.metrics or self.cold < max(self.logs, self.traces, self.metrics):
             raise ValueError("rollups outlive raw metrics, cold data outlives hot data")
 
+    def changed(self, new: Retention, approved: bool = False) -> Retention:
+        """The new policy; keeping anything longer than before needs approval."""
+        longer = [n for n in ("logs", "traces", "metrics", "cold", "rollups", "evidence") if getattr(new, n) > getattr(self, n)]
+        if longer and not approved:
+            raise ValueError(f"longer retention needs approval: {', '.join(longer)}")
+        return new
+
     def days(self, signal: str) -> int:
         return self.evidence if signal == "deployments" else getattr(self, signal)
 
@@ -135,14 +163,3 @@ def organizations(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t.select("organization_id"))
     return out.distinct()
-
-
-def unknown_objects(stored: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Raw objects that the catalogue does not list, to be reconciled."""
-    return stored.join(catalogue.select("digest"), "digest", "left_anti")
-
-
-def rebuilt(raw: DataFrame, registry: Registry | None = None) -> dict[str, DataFrame]:
-    """Projection and rollups from raw observations of all tiers, with the active registry."""
-    once = raw.dropDuplicates(list(IDENTITY))
-    return {"observations": once, "log_rollup": log_rollup(once), "metric_rollup": metric_rollup(once, registry)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.language import Query, QueryError, parse, to_json
 
-MAX_PANELS, CHART_POINTS = 16, 48
+MAX_PANELS, CHART_POINTS, CELL_CHARS = 16, 48, 256
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def chart_points(ranked: DataFrame) -> DataFrame:
 
 
 def stat_cell(ranked: DataFrame) -> DataFrame:
-    """The first value that is not null, row by row and column by column."""
+    """The first value that is not null, row by row and column by column; at most CELL_CHARS characters of it."""
     columns = [c for c in ranked.columns if c != "rank"]
     cell = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns])
-    return ranked.where(cell.isNotNull()).orderBy("rank").limit(1).select(cell.alias("cell"))
+    return ranked.where(cell.isNotNull()).orderBy("rank").limit(1).select(F.left(cell, F.lit(CELL_CHARS)).alias("cell"))

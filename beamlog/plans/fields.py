@@ -93,6 +93,7 @@ class Registry:
 
     reviewed: dict[tuple[str, str], Descriptor] = field(default_factory=dict)
     version: int = 1
+    rejected: frozenset[tuple[str, str]] = frozenset()
 
     def describe(self, signal: str, name: str) -> Descriptor:
         name = canonical(name)
@@ -108,7 +109,15 @@ class Registry:
         for d in descriptors:
             if problem := d.problem():
                 raise ValueError(f"{d.name}: {problem}")
-        return Registry(self.reviewed | {(signal, d.name): d for d in descriptors}, self.version + 1)
+        fresh = {(signal, d.name): d for d in descriptors}
+        return Registry(self.reviewed | fresh, self.version + 1, self.rejected - set(fresh))
+
+    def reject(self, signal: str, names: Iterable[str]) -> Registry:
+        """The same version with proposals turned down: they are not proposed again, and their fields stay unreviewed."""
+        turned = {(signal, canonical(n)) for n in names}
+        if known := sorted(n for s, n in turned if (s, n) in self.reviewed or n in BUILT_IN):
+            raise ValueError(f"in use, not a proposal: {', '.join(known)}")
+        return Registry(self.reviewed, self.version, self.rejected | turned)
 
     def rollup_dimensions(self) -> list[Descriptor]:
         """Metric attributes that rollups keep: known, of metric retention, neither sensitive nor of high cardinality."""

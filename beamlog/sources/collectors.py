@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.typed import moment, number, whole
+from ..functions.typed import cut_bytes, moment, number, whole
 
 MAX_LINE = 1 << 20
+# Bytes that are kept of long texts.
+MAX_URL, MAX_AGENT = 4_096, 1_024
 # Keys a deployment event may have.
 DEPLOYMENT_KEYS = ("operation_id", "artifact", "commit", "version", "phase", "duration_ms", "outcome", "slot", "service", "timestamp")
 
@@ -30,6 +36,19 @@ def _path(url: Column) -> Column:
     return F.regexp_replace(url, "[?#].*$", "")
 
 
+def _plain_address(text: str | None) -> str | None:
+    try:
+        return None if text is None or "%" in text else ipaddress.ip_address(text).compressed
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def plain_address(texts: pd.Series) -> pd.Series:
+    """IP addresses in their usual short form; null for what is none, or has a zone."""
+    return texts.map(_plain_address, na_action="ignore")
+
+
 def _status(text: Column) -> Column:
     return F.when(whole(text).between(100, 999), whole(text))
 
@@ -41,10 +60,10 @@ def web_access(lines: DataFrame, sensitive: frozenset[str] = frozenset()) -> Dat
     """
     uri = _get("$.request.uri")
     at = number(_get("$.ts"))
-    extra = {"client_ip": ("client.address", _get("$.request.remote_ip")), "query": ("http.query", F.nullif(F.regexp_extract(uri, "[?]([^#]*)", 1), F.lit(""))),
-             "referrer": ("http.referrer", _get("$.request.headers.Referer[0]")), "user_agent": ("http.user_agent", _get("$.request.headers.User-Agent[0]"))}
+    extra = {"client_ip": ("client.address", plain_address(_get("$.request.remote_ip"))), "query": ("http.query", cut_bytes(F.nullif(F.regexp_extract(uri, "[?]([^#]*)", 1), F.lit("")), MAX_URL)),
+             "referrer": ("http.referrer", cut_bytes(_get("$.request.headers.Referer[0]"), MAX_URL)), "user_agent": ("http.user_agent", cut_bytes(_get("$.request.headers.User-Agent[0]"), MAX_AGENT))}
     attributes = _attributes({
-        "http.method": _get("$.request.method"), "http.path": _path(uri), "http.status_code": _status(_get("$.status")), "http.response_bytes": whole(_get("$.size")),
+        "http.method": _get("$.request.method"), "http.path": cut_bytes(_path(uri), MAX_URL), "http.status_code": _status(_get("$.status")), "http.response_bytes": whole(_get("$.size")),
         "duration_ns": _nanos(_get("$.duration")), "request.id": _get("$.request.headers.X-Request-Id[0]"), **{name: value for k, (name, value) in extra.items() if k in sensitive}})
     rows = lines.where((F.octet_length("line") <= MAX_LINE) & at.isNotNull() & F.coalesce(_status(_get("$.status")).isNotNull(), F.lit(False)))
     return rows.select(F.timestamp_micros((at * 1_000_000).cast("bigint")).alias("timestamp"), F.lit("web.http.request").alias("name"),
@@ -58,7 +77,7 @@ def request_log(lines: DataFrame, sensitive: frozenset[str] = frozenset()) -> Da
     attributes = _attributes({
         "http.method": _get("$.method"), "http.route": _get("$.route"), "http.status_code": status, "http.response_bytes": whole(_get("$.response_bytes")),
         "duration_ns": F.coalesce(whole(_get("$.duration_ns")), (number(_get("$.duration_ms")) * 1_000_000).cast("bigint")), "auth.outcome": _get("$.auth_outcome"), "request.id": _get("$.request_id"),
-        **({"session.id": _get("$.session_id")} if "session_id" in sensitive else {}), **({"client.address": _get("$.client_ip")} if "client_ip" in sensitive else {})})
+        **({"session.id": _get("$.session_id")} if "session_id" in sensitive else {}), **({"client.address": plain_address(_get("$.client_ip"))} if "client_ip" in sensitive else {})})
     return lines.where((F.octet_length("line") <= MAX_LINE) & at.isNotNull()).select(
         at.alias("timestamp"), F.lit("application.http.request").alias("name"), F.when(status >= 500, "error").otherwise("information").alias("severity"), attributes.alias("attributes"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ LOGS = _schema("resourceLogs", "scopeLogs", "logRecords", _LOG)
 METRICS = _schema("resourceMetrics", "scopeMetrics", "metrics", _METRIC)
 TRACES = _schema("resourceSpans", "scopeSpans", "spans", _SPAN)
 NO_RECORDED_VALUE = 1
-# Severity names by number, four numbers each, and metric temporalities.
+# Severity levels, four numbers each (as SEVERITY_NUMBER_INFO, SEVERITY_NUMBER_INFO2 ...), and metric temporalities.
 SEVERITIES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
+# Bounds of nested values.
+MAX_NESTING, MAX_ELEMENTS = 8, 64
 TEMPORALITY = {1: "delta", 2: "cumulative"}
 
 
@@ -39,6 +43,22 @@ def any_value(v: Column) -> Column:
     return F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"], v["doubleValue"].cast("string"), F.lower(F.hex(F.unbase64(v["bytesValue"]))), v["arrayValue"], v["kvlistValue"])
 
 
+def fits(value: Column) -> Column:
+    """Whether a list or map value nests MAX_NESTING levels at most and itself has MAX_ELEMENTS entries at most."""
+    outer = F.coalesce(value["arrayValue"], value["kvlistValue"])
+    # Outside of strings, each level of lists and maps opens one bracket.
+    structure = F.regexp_replace(F.regexp_replace(outer, r"\\.", ""), r'"[^"]*"|[^\[\]"]', "")
+    levels = F.transform(F.split(structure, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(levels, start, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")), lambda s: s["most"])
+    entries = F.json_array_length(F.get_json_object(outer, "$.values"))
+    return F.when(outer.isNull(), F.lit(True)).otherwise(F.coalesce((deepest <= MAX_NESTING) & (F.coalesce(entries, F.lit(0)) <= MAX_ELEMENTS), F.lit(False)))
+
+
+def all_fit(pairs: Column) -> Column:
+    return F.forall(F.coalesce(pairs, F.array().cast(_KEYS)), lambda p: fits(p["value"]))
+
+
 def keys_map(pairs: Column, prefix: str = "") -> Column:
     """Key-value pairs as a map; of equal keys the last one stays, empty keys are left out."""
     pairs = F.coalesce(pairs, F.array().cast(_KEYS))
@@ -64,7 +84,9 @@ def _inherited() -> Column:
 def _flat(payloads: DataFrame, schema: str, top: str, inner: str, item: str) -> DataFrame:
     parsed = payloads.select(F.from_json("payload", schema).alias("p"))
     resources = parsed.select(F.explode(f"p.{top}").alias("g")).select("g.resource", F.explode(f"g.{inner}").alias("s"))
-    return resources.select("resource", "s.scope", F.explode(f"s.{item}").alias("r"))
+    rows = resources.where(all_fit(F.col("resource.attributes")) & all_fit(F.col("s.scope.attributes"))).select("resource", "s.scope", F.explode(f"s.{item}").alias("r"))
+    own = [x for x in ("attributes", "body") if x in rows.schema["r"].dataType.names]
+    return rows.where(reduce(lambda a, b: a & b, [all_fit(F.col("r.attributes")) if x == "attributes" else fits(F.col("r.body")) for x in own], F.lit(True)))
 
 
 def nanos(text: Column) -> Column:
@@ -79,7 +101,8 @@ def logs(payloads: DataFrame) -> DataFrame:
     """Log records of JSON payloads (column payload)."""
     rows = _flat(payloads, LOGS, "resourceLogs", "scopeLogs", "logRecords")
     number = F.col("r.severityNumber")
-    named = F.when(number.between(1, 24), F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.floor((number - 1) / 4).cast("int")))
+    names = [f"SEVERITY_NUMBER_{s}{k if k > 1 else ''}" for s in SEVERITIES for k in range(1, 5)]
+    named = F.when(number.between(1, len(names)), F.get(F.array(*[F.lit(n) for n in names]), number - 1)).when(number != 0, number.cast("string"))
     attributes = over(over(_inherited(), keys_map(F.col("r.attributes"))), present({"otel.dropped_attributes": F.nullif("r.droppedAttributesCount", F.lit(0))}))
     return rows.select(
         F.coalesce(nanos(F.col("r.timeUnixNano")), nanos(F.col("r.observedTimeUnixNano"))).alias("timestamp"), F.coalesce(F.nullif("r.eventName", F.lit("")), F.lit("otlp.log")).alias("name"),
