@@ -14,13 +14,13 @@ ASSIGN_LEAST = 6
 #: Equal to matching the open-ended shapes and dropping short matches: a maximal run is found from its start.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64", "entropy_upper")
 
 WINDOW = 20
 #: Candidate runs and the least bits a character of a window, by character class.
-CLASSES = {"entropy_hex": ("0123456789abcdef", "0-9a-f", 3.0), "entropy_b64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "A-Za-z0-9+/_=-", 3.9)}
-#: Candidates that are never reported by entropy: plain words, UUIDs, documentation samples, counted-up alphabets.
-ALLOW = ("^[A-Za-z]+$", "^[A-Z]?[a-z]+([-_/][A-Z]?[a-z]+)*$", "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "EXAMPLE|[Ee]xample|[Pp]laceholder", "abcdefghij|ABCDEFGHIJ|0123456789")
+CLASSES = {"entropy_hex": ("0123456789abcdef", "0-9a-f", 3.0), "entropy_b64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "A-Za-z0-9+/_=-", 3.9), "entropy_upper": ("0123456789ABCDEF", "0-9A-F", 3.0)}
+#: Candidates that are never reported by entropy: plain words, plain numbers, UUIDs, documentation samples, counted-up alphabets.
+ALLOW = ("^[A-Za-z]+$", "^[0-9]+$", "^[A-Z]?[a-z]+([-_/][A-Z]?[a-z]+)*$", "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "EXAMPLE|[Ee]xample|[Pp]laceholder", "abcdefghij|ABCDEFGHIJ|0123456789")
 #: c x log2(c) for a count c, in units of 2^-20, so that adding and removing a character leaves no drift.
 UNIT = 1 << 20
 COUNT_BITS = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 2)]
@@ -97,7 +97,7 @@ def secret_spans(docs: DataFrame, carry: list[str], text: str = "text") -> DataF
     assign = F.when(t.rlike(ASSIGN), strip(F.transform(F.filter(F.arrays_zip(spans_of(t, ASSIGN).alias("m"), values.alias("v")), lambda x: F.length(x["v"]) >= ASSIGN_LEAST), lambda x: x["m"]))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
     return rows.select(
         *[F.col(f"_ss_c{i}").alias(c) for i, c in enumerate(carry)], assign.alias("assign"), strip(spans_of(t, ACCESS)).alias("access"), strip(spans_of(t, HEX)).alias("hex"),
-        entropy_spans(t, "entropy_hex").alias("entropy_hex"), entropy_spans(t, "entropy_b64").alias("entropy_b64"))
+        *[entropy_spans(t, k).alias(k) for k in CLASSES])
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:
