@@ -63,10 +63,14 @@ def _by_rollup(text: str, cold: bool = False):
     return run
 
 
+ALIKE = ("logs | where status >= 500 | summarize count() by route", 'metrics | where state == "click" | summarize count(), max(value), sum(value) by name, state, window(30m) | limit 500',
+         "metrics | window 100h2m | summarize count(), min(value), avg(value) by service, name | limit 500")
+
+
 def rollup_vs_row_diff(spark, d):
     """Rows in which a rollup's answer and the row path's differ: none."""
     out = None
-    for text in (B1, PARTIAL, B3):
+    for text in (B1, PARTIAL, B3, *ALIKE):
         ast = parse(text)
         base = observations(spark, d, ast.signal)
         made = {"logs": rollups.log_rollup(base)} if ast.signal == "logs" else {"metrics": rollups.metric_rollup(base)}

@@ -211,8 +211,10 @@ def run(observations: DataFrame, query: Query, scope: Scope, now: datetime, regi
     """The exact row path, over hot observations and, where given, cold ones."""
     registry = registry or Registry()
     planned = planned or plan(query, scope, registry, sensitive, cold=cold is not None, rollups=False)
-    every = observations if cold is None else observations.unionByName(cold, allowMissingColumns=True)
-    rows = scan(every, query.signal, scope, query.window, now).where(matches(query, registry))
+    rows = scan(observations, query.signal, scope, query.window, now)
+    if cold is not None:  # apart from the hot rows, for the two may be partitioned differently
+        rows = rows.unionByName(scan(cold, query.signal, scope, query.window, now), allowMissingColumns=True)
+    rows = rows.where(matches(query, registry))
     full = summarize(rows, query, registry) if query.summary else project(rows, query, registry)
     return finish(full, planned)
 

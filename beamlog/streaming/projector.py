@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,17 +17,18 @@ from pyspark.sql.types import StructField, StructType, TimestampType
 
 from .. import model as m
 from ..functions.typed import bucket_start, utc_date
-from ..operators.lifecycle import Retention
+from ..operators.lifecycle import Retention, tiers
 from ..operators.rollups import WIDTH, affected_buckets, log_rollup, metric_rollup
 from ..plans.fields import Registry
 from ..sources.ingest import admissible, admit, batch_digest, content_digest, flatten, numbered
-from ..sources.segments import parsed_segments, raw_segments
+from ..sources.segments import cold_observations, parsed_segments, raw_segments
 
 PARTITIONS = ["signal", "date"]
 KEY = ["source_id", "stream_id", "sequence"]
 STREAM = KEY[:2]
 _NUMBER = [f for f in m.OBSERVATION.fields if f.name in KEY]
 LEDGER = StructType([*_NUMBER, StructField("digest", T.StringType()), StructField("content_digest", T.StringType()), StructField("epoch", T.LongType())])
+_TIERS = StructType([StructField("digest", T.StringType()), StructField("tier", T.StringType()), StructField("at", T.LongType())])
 PROBLEMS = StructType([*_NUMBER, StructField("digest", T.StringType()), StructField("problem", T.StringType()), StructField("epoch", T.LongType())])
 
 
@@ -157,6 +158,30 @@ class Projection:
         at = (self._read("current", StructType([StructField("version", T.StringType()), StructField("at", T.LongType())])).agg(F.max("at")).first()[0] or 0) + 1
         self.spark.createDataFrame([(version, at)], "version string, at long").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
 
+    def catalogue(self) -> DataFrame:
+        """What is known of each raw segment without its content: scope, span of time, whether it is projected, and its tier."""
+        moved = self._read("tiers", _TIERS).groupBy("digest").agg(F.max_by("tier", "at").alias("tier"))
+        done = self.ledger().select("digest", F.lit(True).alias("projected"))
+        facts = self.segments().select("digest", "source_id", "signal", "records", "bytes", "first_observed", "last_observed").join(self.scopes.select("source_id", "organization_id"), "source_id")
+        return facts.join(moved, "digest", "left").join(done, "digest", "left").withColumns({"tier": F.coalesce("tier", F.lit("hot")), "projected": F.coalesce("projected", F.lit(False))})
+
+    def age(self, policy: Retention) -> int:
+        """Moves segments to the tier that retention gives them by now, and returns how many; raw content stays where it is."""
+        now = self.now or datetime.now(timezone.utc).replace(tzinfo=None)
+        at = (self._read("tiers", _TIERS).agg(F.max("at")).first()[0] or 0) + 1
+        moved = tiers(self.catalogue(), policy, now).where("next_tier <> tier").select("digest", F.col("next_tier").alias("tier"), F.lit(at).cast("long").alias("at")).persist()
+        try:
+            count = moved.count()
+            if count:
+                moved.coalesce(1).write.mode("append").parquet(f"{self.root}/tiers")
+            return count
+        finally:
+            moved.unpersist()
+
+    def cold(self, signal: str, organization: str, since: Column | None = None) -> DataFrame:
+        """Observations of the cold segments that a look-back may reach, to be read beside the hot ones."""
+        return cold_observations(self.segments(), self.catalogue(), self.scopes, signal, organization, since)
+
     def retain(self, policy: Retention) -> list[str]:
         """Deletes the day partitions that retention has wholly passed, and returns their paths; a day that is cut stays whole."""
         now, gone = self.now or datetime.now(timezone.utc).replace(tzinfo=None), []

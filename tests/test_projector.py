@@ -112,6 +112,18 @@ def test_retention_deletes_whole_days_only(spark, tmp_path):
     assert Retention(logs=10).changed(Retention(logs=11), approved=True).logs == 11 and Retention(logs=10).changed(Retention(logs=9)).logs == 9
 
 
+def test_segments_go_cold_and_are_read_beside_hot_rows(spark, tmp_path):
+    from beamlog.operators.lifecycle import Retention
+    from beamlog.operators.query import since
+    p = Feed(spark, tmp_path).take(batch("a", 1, [NOW - timedelta(days=12), NOW - timedelta(days=11)]), batch("a", 2, [NOW])).projection
+    policy = Retention(logs=10, traces=10, metrics=5, cold=400, rollups=300, evidence=30)
+    assert p.age(policy) == 1 and p.age(policy) == 0 and len(p.retain(policy)) == 2
+    count = lambda text, cold: rollups.answer(p.observations(), parse(text), ORG, NOW, cold=cold).rows.collect()[0]["count"]
+    whole = "logs | window 720h | summarize count()"
+    assert count(whole, None) == 1 and count(whole, p.cold("logs", "o", since(NOW, 720 * 3600 * 10**9))) == 3
+    assert p.cold("logs", "o", since(NOW, 3600 * 10**9)).count() == 0 and p.cold("logs", "x").count() == 0
+
+
 def test_addresses_and_alias_collisions(spark):
     from beamlog.sources.collectors import plain_address
     from beamlog.sources.ingest import admissible
