@@ -259,9 +259,18 @@ def may_hold(rows: DataFrame, value: Column, filter_bits: tuple[DataFrame, int],
     return both.withColumn(name, F.coalesce(F.bit_get(byte, place % 8) == 1, F.lit(False))).drop("_bit_bucket", "_bit_map")
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash a column of this type: no map and no variant anywhere in it."""
+    if isinstance(kind, T.ArrayType):
+        return hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def one_of_each(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``columns`` of one row for each value of ``keys``: that of the least hash over all columns that can be hashed."""
-    plain = [F.col(c) for c in columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]
+    plain = [F.col(c) for c in columns if hashable(rows.schema[c].dataType)]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("_one")).select("_one.*")
 
 

@@ -6,9 +6,8 @@ import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import free_name, n_words, stored
+from .common import free_name, hashable, n_words, stored
 
 MAX_RATE = 3.0
 TOLERANCE = 1e-9
@@ -177,7 +176,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kept = [F.col(n).alias(c) for c, n in zip(docs.columns, own)]
     alone = shares.where("copies > 0").join(several, list(keys), "left_anti")
     out = rows.join(alone, list(keys)).select(*kept, *added)
-    repeated = rows.join(several, list(keys)).withColumn("_my_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[c for c in own if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]))))
+    repeated = rows.join(several, list(keys)).withColumn("_my_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[c for c in own if hashable(rows.schema[c].dataType)]))))
     told = repeated.join(shares, list(keys)).where("copies > 0 and _my_nth <= _my_upto and _my_nth > _my_upto - _my_n")
     return out.unionByName(told.select(*kept, *added))
 
