@@ -26,7 +26,7 @@ from beamlog.llm.warc import resolve_revisits
 from ..oracle_tools import SF_DIR
 from .test_windows import brute
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, Size int, spans string, node long, score double, key string, tags map<string,string>"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, Size int, spans string, node long, score double, key string, tags map<string,string>, deep array<struct<m:map<string,int>>>"
 
 
 def test_one_very_long_text_among_short_ones(spark):
@@ -112,7 +112,7 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
     text = lambda: " ".join(rng.choice(vocab) for _ in range(60))
     base = [text() for _ in range(12)]
     texts = [*base, base[0] + " ", base[1] + " more", None, "", "bad"] + ["so vile"] * 6
-    rows = [(i if i != 5 else None, t, "en", "s", len(t or ""), i, "x", i, 0.5, "k", {"a": str(i)}) for i, t in enumerate(texts)]
+    rows = [(i if i != 5 else None, t, "en", "s", len(t or ""), i, "x", i, 0.5, "k", {"a": str(i)}, [({"b": i},)]) for i, t in enumerate(texts)]
     spark.createDataFrame([*rows, rows[3]], ODD).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i > 16)) for i in range(23)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "none of these")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
