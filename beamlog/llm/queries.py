@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_benchmark_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fill_in_middle import OP13_SQL, op13_fill_in_middle
 from .language import op5_language_id
 from .mixing import op8_source_mixing
 from .secrets import OP9_SQL, op9_secret_scan
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_source_mixing": op8_source_mixing,
         "op9_secret_scan": op9_secret_scan,
         "op10_warc_revisits": op10_warc_revisits,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": OP7_SQL,
         "op9_secret_scan": OP9_SQL,
         "op10_warc_revisits": OP10_SQL,
+        "op13_fill_in_middle": OP13_SQL,
     }
