@@ -439,7 +439,7 @@ def _kv(name: str, value: Column) -> Column:
 def _payload(events: DataFrame, top: str, inner: str, item: str, record) -> DataFrame:
     resource = F.struct(F.array(_kv("service.name", F.lit("shop")), _kv("level", F.lit("resource"))).alias("attributes"))
     scope = F.struct(F.lit("lib").alias("name"), F.lit("1").alias("version"))
-    grouped = events.groupBy("event_type").agg(F.collect_list(record).alias("rs"))
+    grouped = events.groupBy("event_type", F.floor(F.col("event_id") / 500).alias("part")).agg(F.collect_list(record).alias("rs"))
     body = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(scope.alias("scope"), F.col("rs").alias(item))).alias(inner))).alias(top))
     return grouped.select(F.to_json(body).alias("payload"))
 

@@ -46,13 +46,12 @@ def any_value(v: Column) -> Column:
 def fits(value: Column) -> Column:
     """Whether a list or map value nests MAX_NESTING levels at most and itself has MAX_ELEMENTS entries at most."""
     outer = F.coalesce(value["arrayValue"], value["kvlistValue"])
-    # Outside of strings, each level of lists and maps opens one bracket.
-    structure = F.regexp_replace(F.regexp_replace(outer, r"\\.", ""), r'"[^"]*"|[^\[\]"]', "")
-    levels = F.transform(F.split(structure, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    deepest = F.aggregate(levels, start, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")), lambda s: s["most"])
-    entries = F.json_array_length(F.get_json_object(outer, "$.values"))
-    return F.when(outer.isNull(), F.lit(True)).otherwise(F.coalesce((deepest <= MAX_NESTING) & (F.coalesce(entries, F.lit(0)) <= MAX_ELEMENTS), F.lit(False)))
+    entries = F.coalesce(F.json_array_length(F.get_json_object(outer, "$.values")), F.lit(0))
+    # Outside of strings, each level of lists and maps opens one bracket; each pass takes the innermost level away.
+    left = F.regexp_replace(F.regexp_replace(outer, r"\\.", ""), r'"[^"]*"|[^\[\]"]', "")
+    for _ in range(MAX_NESTING):
+        left = F.replace(left, F.lit("[]"), F.lit(""))
+    return F.when(outer.isNull(), F.lit(True)).when(entries > MAX_ELEMENTS, F.lit(False)).otherwise(F.coalesce(left == "", F.lit(False)))
 
 
 def all_fit(pairs: Column) -> Column:
@@ -76,15 +75,22 @@ def present(values: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
 
-def _inherited() -> Column:
-    scope = over(present({"otel.scope.name": F.nullif(F.col("scope.name"), F.lit("")), "otel.scope.version": F.nullif(F.col("scope.version"), F.lit(""))}), keys_map(F.col("scope.attributes"), "otel.scope.attribute."))
-    return over(keys_map(F.col("resource.attributes")), scope)
+def _inherited(resource: Column, scope: Column) -> Column:
+    """What every record of a scope has from its resource and scope."""
+    named = present({"otel.scope.name": F.nullif(scope["name"], F.lit("")), "otel.scope.version": F.nullif(scope["version"], F.lit(""))})
+    return over(keys_map(resource["attributes"]), over(named, keys_map(scope["attributes"], "otel.scope.attribute.")))
 
 
 def _flat(payloads: DataFrame, schema: str, top: str, inner: str, item: str) -> DataFrame:
-    parsed = payloads.select(F.from_json("payload", schema).alias("p"))
-    resources = parsed.select(F.explode(f"p.{top}").alias("g")).select("g.resource", F.explode(f"g.{inner}").alias("s"))
-    rows = resources.where(all_fit(F.col("resource.attributes")) & all_fit(F.col("s.scope.attributes"))).select("resource", "s.scope", F.explode(f"s.{item}").alias("r"))
+    """One row a record ``r`` with the map ``inherited``; records of a resource or scope whose values do not fit are left out.
+
+    Before a list is exploded, all else that is needed stands in columns of its own: a list that is a part of a
+    column still in use would be copied into each of its records.
+    """
+    groups = payloads.select(F.explode(F.from_json("payload", schema)[top]).alias("g"))
+    scopes = groups.select(F.col("g.resource").alias("resource"), F.col(f"g.{inner}").alias("list")).where(all_fit(F.col("resource.attributes"))).select("resource", F.explode("list").alias("s"))
+    lists = scopes.where(all_fit(F.col("s.scope.attributes"))).select(_inherited(F.col("resource"), F.col("s.scope")).alias("inherited"), F.col(f"s.{item}").alias("list"))
+    rows = lists.select("inherited", F.explode("list").alias("r"))
     own = [x for x in ("attributes", "body") if x in rows.schema["r"].dataType.names]
     return rows.where(reduce(lambda a, b: a & b, [all_fit(F.col("r.attributes")) if x == "attributes" else fits(F.col("r.body")) for x in own], F.lit(True)))
 
@@ -103,7 +109,7 @@ def logs(payloads: DataFrame) -> DataFrame:
     number = F.col("r.severityNumber")
     names = [f"SEVERITY_NUMBER_{s}{k if k > 1 else ''}" for s in SEVERITIES for k in range(1, 5)]
     named = F.when(number.between(1, len(names)), F.get(F.array(*[F.lit(n) for n in names]), number - 1)).when(number != 0, number.cast("string"))
-    attributes = over(over(_inherited(), keys_map(F.col("r.attributes"))), present({"otel.dropped_attributes": F.nullif("r.droppedAttributesCount", F.lit(0))}))
+    attributes = over(over(F.col("inherited"), keys_map(F.col("r.attributes"))), present({"otel.dropped_attributes": F.nullif("r.droppedAttributesCount", F.lit(0))}))
     return rows.select(
         F.coalesce(nanos(F.col("r.timeUnixNano")), nanos(F.col("r.observedTimeUnixNano"))).alias("timestamp"), F.coalesce(F.nullif("r.eventName", F.lit("")), F.lit("otlp.log")).alias("name"),
         F.coalesce(F.nullif("r.severityText", F.lit("")), named).alias("severity"), any_value(F.col("r.body")).alias("body"), F.lit(None).cast("double").alias("value"),
@@ -116,43 +122,46 @@ def traces(payloads: DataFrame) -> DataFrame:
     took = F.col("r.endTimeUnixNano").try_cast("decimal(20,0)") - F.col("r.startTimeUnixNano").try_cast("decimal(20,0)")
     own = present({"span.duration_ns": took.cast("bigint"), "span.kind": F.col("r.kind"), "span.status": F.coalesce("r.status.code", F.lit(0)), "span.parent_id": F.nullif(F.lower("r.parentSpanId"), F.lit("")),
                    "span.events_count": F.size(F.coalesce("r.events", F.array().cast("array<struct<name:string>>"))), "span.links_count": F.size(F.coalesce("r.links", F.array().cast("array<struct<traceId:string>>")))})
-    attributes = over(over(_inherited(), keys_map(F.col("r.attributes"))), own)
+    attributes = over(over(F.col("inherited"), keys_map(F.col("r.attributes"))), own)
     return rows.where(took >= 0).select(
         nanos(F.col("r.startTimeUnixNano")).alias("timestamp"), F.col("r.name").alias("name"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("body"), took.cast("double").alias("value"),
         *_ids(rows, "r.traceId", "r.spanId"), F.nullif(F.lower("r.traceId"), F.lit("")).alias("correlation_id"), without_denied(attributes).alias("attributes"))
 
 
+def _points(r: Column) -> Column:
+    """All data points of one metric, of whatever kind, as one list of (time, flags, value, attributes, own)."""
+    temporality = lambda c: F.when(c == 1, TEMPORALITY[1]).when(c == 2, TEMPORALITY[2])
+    whole = lambda c: c.try_cast("bigint")
+    unit = F.nullif(r["unit"], F.lit(""))
+
+    def listed(kind: str, field: str, value, extra, temporal: bool) -> Column:
+        def point(d: Column) -> Column:
+            own = present({"metric.unit": unit, "metric.kind": F.lit(kind), "metric.temporality": temporality(r[field]["aggregationTemporality"]) if temporal else F.lit(None), "metric.start_unix_nano": F.nullif(d["startTimeUnixNano"], F.lit("0")), **extra(d)})
+            return F.struct(d["timeUnixNano"].alias("time"), d["flags"].alias("flags"), value(d).cast("double").alias("value"), d["attributes"].alias("attributes"), own.alias("own"))
+
+        points = F.transform(r[field]["dataPoints"], point)
+        return F.coalesce(points, F.array().cast(f"array<struct<time:string,flags:int,value:double,attributes:{_KEYS},own:map<string,string>>>"))
+
+    number = lambda d: F.coalesce(d["asDouble"], whole(d["asInt"]).cast("double"))
+    total = lambda d: F.coalesce(d["sum"], whole(d["count"]).cast("double"))
+    integer = lambda d: {"metric.int64": d["asInt"]}
+    spread = lambda d: {"metric.count": d["count"], "metric.sum": d["sum"], "metric.min": d["min"], "metric.max": d["max"]}
+
+    def buckets(d: Column) -> dict[str, Column]:
+        bounds, counts = d["explicitBounds"], d["bucketCounts"]
+        rising = F.forall(F.zip_with(bounds, F.slice(bounds, 2, F.greatest(F.size(bounds), F.lit(1))), lambda a, b: F.coalesce(a < b, F.lit(True))), lambda x: x)
+        sound = F.coalesce((F.size(counts) == F.size(bounds) + 1) & rising, F.lit(False))
+        return {**spread(d), "metric.bucket_counts": F.when(sound, F.to_json(F.transform(counts, whole))), "metric.explicit_bounds": F.when(sound, F.to_json(bounds))}
+
+    exponential = lambda d: {**spread(d), "metric.scale": F.when(d["scale"].between(-10, 20), d["scale"]), "metric.zero_count": d["zeroCount"], "metric.positive": F.to_json(d["positive"]), "metric.negative": F.to_json(d["negative"])}
+    quantiles = lambda d: {"metric.count": d["count"], "metric.sum": d["sum"], "metric.quantiles": F.when(F.forall(d["quantileValues"], lambda q: q["quantile"].between(0, 1)), F.to_json(d["quantileValues"]))}
+    return F.concat(listed("gauge", "gauge", number, integer, False), listed("sum", "sum", number, integer, True), listed("histogram", "histogram", total, buckets, True),
+                    listed("exponential_histogram", "exponentialHistogram", total, exponential, True), listed("summary", "summary", total, quantiles, False))
+
+
 def metrics(payloads: DataFrame) -> DataFrame:
     """Data points of gauges, sums, histograms, exponential histograms and summaries; points without a recorded value are skipped."""
-    rows = _flat(payloads, METRICS, "resourceMetrics", "scopeMetrics", "metrics").withColumn("inherited", _inherited())
-    base = ["inherited", F.col("r.name").alias("name"), F.col("r.unit").alias("unit")]
-    temporal = lambda c: F.when(F.col(c) == 1, TEMPORALITY[1]).when(F.col(c) == 2, TEMPORALITY[2])
-    whole = lambda c: F.col(c).try_cast("bigint")
-
-    def branch(kind: str, points: str, temporality: Column, value: Column, extra: dict[str, Column]) -> DataFrame:
-        exploded = rows.select(*base, temporality.alias("temporality"), F.explode(points).alias("d")).where((F.coalesce("d.flags", F.lit(0)).bitwiseAND(NO_RECORDED_VALUE)) == 0)
-        own = present({"metric.unit": F.nullif("unit", F.lit("")), "metric.kind": F.lit(kind), "metric.temporality": F.col("temporality"), "metric.start_unix_nano": F.nullif("d.startTimeUnixNano", F.lit("0")), **extra})
-        return exploded.select(nanos(F.col("d.timeUnixNano")).alias("timestamp"), "name", *[F.lit(None).cast("string").alias(c) for c in ("severity", "body")], value.cast("double").alias("value"),
-                               *[F.lit(None).cast("string").alias(c) for c in ("trace_id", "span_id", "correlation_id")], without_denied(over(over(F.col("inherited"), keys_map(F.col("d.attributes"))), own)).alias("attributes"))
-
-    none = F.lit(None).cast("string")
-    number = F.coalesce("d.asDouble", whole("d.asInt").cast("double"))
-    integer = {"metric.int64": F.col("d.asInt")}
-    spread = {"metric.count": F.col("d.count"), "metric.sum": F.col("d.sum"), "metric.min": F.col("d.min"), "metric.max": F.col("d.max")}
-    total = F.coalesce("d.sum", whole("d.count").cast("double"))
-    bounds, counts = F.col("d.explicitBounds"), F.col("d.bucketCounts")
-    rising = F.forall(F.zip_with(bounds, F.slice(bounds, 2, F.greatest(F.size(bounds), F.lit(1))), lambda a, b: F.coalesce(a < b, F.lit(True))), lambda x: x)
-    fits = F.coalesce((F.size(counts) == F.size(bounds) + 1) & rising, F.lit(False))
-    shape = {**spread, "metric.bucket_counts": F.when(fits, F.to_json(F.transform(counts, lambda x: x.try_cast("bigint")))), "metric.explicit_bounds": F.when(fits, F.to_json(bounds))}
-    exponential = {**spread, "metric.scale": F.when(F.col("d.scale").between(-10, 20), F.col("d.scale")), "metric.zero_count": F.col("d.zeroCount"), "metric.positive": F.to_json("d.positive"), "metric.negative": F.to_json("d.negative")}
-    quantiles = {"metric.count": F.col("d.count"), "metric.sum": F.col("d.sum"), "metric.quantiles": F.when(F.forall("d.quantileValues", lambda q: q["quantile"].between(0, 1)), F.to_json("d.quantileValues"))}
-    parts = [
-        branch("gauge", "r.gauge.dataPoints", none, number, integer), branch("sum", "r.sum.dataPoints", temporal("r.sum.aggregationTemporality"), number, integer),
-        branch("histogram", "r.histogram.dataPoints", temporal("r.histogram.aggregationTemporality"), total, shape),
-        branch("exponential_histogram", "r.exponentialHistogram.dataPoints", temporal("r.exponentialHistogram.aggregationTemporality"), total, exponential),
-        branch("summary", "r.summary.dataPoints", none, total, quantiles),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where(F.col("value").isNotNull())
+    rows = _flat(payloads, METRICS, "resourceMetrics", "scopeMetrics", "metrics").select("inherited", F.col("r.name").alias("name"), _points(F.col("r")).alias("list"))
+    points = rows.select("inherited", "name", F.explode("list").alias("d")).where((F.coalesce("d.flags", F.lit(0)).bitwiseAND(NO_RECORDED_VALUE) == 0) & F.col("d.value").isNotNull() & all_fit(F.col("d.attributes")))
+    return points.select(nanos(F.col("d.time")).alias("timestamp"), "name", *[F.lit(None).cast("string").alias(c) for c in ("severity", "body")], F.col("d.value").alias("value"),
+                         *[F.lit(None).cast("string").alias(c) for c in ("trace_id", "span_id", "correlation_id")], without_denied(over(over(F.col("inherited"), keys_map(F.col("d.attributes"))), F.col("d.own"))).alias("attributes"))
