@@ -7,6 +7,7 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fill_in_middle import OP13_SQL, op13_fill_in_middle
 from .language import op5_language_id
 from .mixing import op8_source_mixing
+from .pitman_yor import op11_pitman_yor
 from .ranked_search import OP12_SQL, op12_ranked_search
 from .secrets import OP9_SQL, op9_secret_scan
 from .simhash_dedup import op2_simhash_near_dedup
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_source_mixing": op8_source_mixing,
         "op9_secret_scan": op9_secret_scan,
         "op10_warc_revisits": op10_warc_revisits,
+        "op11_pitman_yor": op11_pitman_yor,
         "op12_ranked_search": op12_ranked_search,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
