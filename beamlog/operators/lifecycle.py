@@ -105,27 +105,44 @@ class Retention:
         return self.evidence if signal == "deployments" else getattr(self, signal)
 
 
-def _cutoff(policy: Retention, now: datetime, signal: Column) -> Column:
-    at = lambda d: F.lit((now - timedelta(days=d)).isoformat(sep=" ") + "+00:00").cast("timestamp")
-    return F.when(signal == "logs", at(policy.logs)).when(signal == "traces", at(policy.traces)).when(signal == "metrics", at(policy.metrics)).otherwise(at(policy.evidence))
+_DAYS = ("logs", "traces", "metrics", "cold", "rollups", "evidence")
 
 
-def survivors(observations: DataFrame, policy: Retention, now: datetime) -> DataFrame:
+def effective(rows: DataFrame, policy: Retention, policies: DataFrame | None = None) -> DataFrame:
+    """``rows`` (organization_id) with the days of each kind and delete_cold_raw: their organization's own, else the policy's."""
+    names = [*_DAYS, "delete_cold_raw"]
+    own = [n for n in names if policies is not None and n in policies.columns]
+    joined = rows.join(policies.select("organization_id", *[F.col(n).alias(f"_own_{n}") for n in own]), "organization_id", "left") if own else rows
+    default = lambda n: F.lit(getattr(policy, n))
+    return joined.withColumns({n: F.coalesce(f"_own_{n}", default(n)) if n in own else default(n) for n in names}).drop(*[f"_own_{n}" for n in own])
+
+
+def _ago(now: datetime, days: Column) -> Column:
+    return F.lit(now.isoformat(sep=" ") + "+00:00").cast("timestamp") - F.make_dt_interval(days.cast("int"))
+
+
+def _hot_days() -> Column:
+    """The days that a row's signal is hot; deployments are evidence."""
+    return F.when(F.col("signal") == "logs", F.col("logs")).when(F.col("signal") == "traces", F.col("traces")).when(F.col("signal") == "metrics", F.col("metrics")).otherwise(F.col("evidence"))
+
+
+def survivors(observations: DataFrame, policy: Retention, now: datetime, policies: DataFrame | None = None) -> DataFrame:
     """Hot rows that retention keeps."""
-    return observations.where(F.col("timestamp") >= _cutoff(policy, now, F.col("signal")))
+    kept = effective(observations, policy, policies).where(F.col("timestamp") >= _ago(now, _hot_days()))
+    return kept.select(observations.columns)
 
 
-def surviving_rollups(rollup: DataFrame, policy: Retention, now: datetime) -> DataFrame:
-    cut = F.lit((now - timedelta(days=policy.rollups)).isoformat(sep=" ") + "+00:00").cast("timestamp")
-    return rollup.where(F.col("bucket_start") >= bucket_start(cut, WIDTH))
+def surviving_rollups(rollup: DataFrame, policy: Retention, now: datetime, policies: DataFrame | None = None) -> DataFrame:
+    kept = effective(rollup, policy, policies).where(F.col("bucket_start") >= bucket_start(_ago(now, F.col("rollups")), WIDTH))
+    return kept.select(rollup.columns)
 
 
-def tiers(segments: DataFrame, policy: Retention, now: datetime) -> DataFrame:
-    """Segments (signal, last_observed, projected, tier) with next_tier: hot, cold or deleted."""
-    past = F.col("last_observed") < _cutoff(policy, now, F.col("signal"))
-    gone = F.col("last_observed") < F.lit((now - timedelta(days=policy.cold)).isoformat(sep=" ") + "+00:00").cast("timestamp")
-    after = F.when((F.col("tier") == "cold") & gone & F.lit(policy.delete_cold_raw), "deleted").when((F.col("tier") == "hot") & past & F.col("projected"), "cold").otherwise(F.col("tier"))
-    return segments.withColumn("next_tier", after)
+def tiers(segments: DataFrame, policy: Retention, now: datetime, policies: DataFrame | None = None) -> DataFrame:
+    """Segments (organization_id, signal, last_observed, projected, tier) with next_tier: hot, cold or deleted."""
+    past = F.col("last_observed") < _ago(now, _hot_days())
+    gone = F.col("last_observed") < _ago(now, F.col("cold"))
+    after = F.when((F.col("tier") == "cold") & gone & F.col("delete_cold_raw"), "deleted").when((F.col("tier") == "hot") & past & F.col("projected"), "cold").otherwise(F.col("tier"))
+    return effective(segments, policy, policies).withColumn("next_tier", after).select(*segments.columns, "next_tier")
 
 
 def segments_of(observations: DataFrame) -> DataFrame:

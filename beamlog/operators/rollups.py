@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,8 @@ def logical_bytes() -> Column:
     return (sum(texts, F.lit(64)) + pairs).cast("bigint")
 
 
-def log_rollup(observations: DataFrame) -> DataFrame:
-    """Exact counts by five minutes, scope, status and route. A missing and an empty route are told apart.
+def log_rollup(observations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exact counts by five minutes, scope, status and route, and by further columns. A missing and an empty route are told apart.
 
     Only statuses that are three digits from 100 to 999, written without sign or zeros in front, are kept.
     """
@@ -36,12 +37,12 @@ def log_rollup(observations: DataFrame) -> DataFrame:
     rows = observations.where((F.col("signal") == "logs") & status.rlike("^[1-9][0-9]{2}$")).withColumns({
         "bucket_start": bucket_start(F.col("timestamp"), WIDTH), "status": status.try_cast("int"),
         "route": F.coalesce(route, F.lit("")), "route_present": route.isNotNull()})
-    return rows.groupBy(*LOG_KEYS).agg(F.count(F.lit(1)).alias("observation_count"), F.sum(logical_bytes()).alias("scanned_bytes"))
+    return rows.groupBy(*by, *LOG_KEYS).agg(F.count(F.lit(1)).alias("observation_count"), F.sum(logical_bytes()).alias("scanned_bytes"))
 
 
-def merge_log_rollups(parts: DataFrame) -> DataFrame:
-    """Partial rollups as one; counts add up."""
-    return parts.groupBy(*LOG_KEYS).agg(F.sum("observation_count").alias("observation_count"), F.sum("scanned_bytes").alias("scanned_bytes"))
+def merge_log_rollups(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Partial rollups as one; counts add up. ``by``: columns that follow from a bucket, kept so that filters on them reach the files."""
+    return parts.groupBy(*by, *LOG_KEYS).agg(F.sum("observation_count").alias("observation_count"), F.sum("scanned_bytes").alias("scanned_bytes"))
 
 
 def _first_whole(now: datetime, window: int) -> tuple[Column | None, bool]:
@@ -100,8 +101,8 @@ def digest_of(attributes: Column) -> Column:
 METRIC_KEYS = [*SCOPE, "bucket_start", "name", "dimensions_digest"]
 
 
-def metric_rollup(observations: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Per five minutes, scope, name and dimensions: count, sum, least, greatest, last value, and a sparse histogram.
+def metric_rollup(observations: DataFrame, registry: Registry | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Per five minutes, scope, name and dimensions (and further columns): count, sum, least, greatest, last value, and a sparse histogram.
 
     The last value is that of the latest time, of equal times the latest arrival. The histogram comes from a
     first grouping by bucket, so no group's values are ever gathered.
@@ -109,22 +110,23 @@ def metric_rollup(observations: DataFrame, registry: Registry | None = None) ->
     rows = observations.where((F.col("signal") == "metrics") & (F.abs("value") <= 1e25)).withColumn("attributes", dimensions(registry or Registry())).withColumns({
         "bucket_start": bucket_start(F.col("timestamp"), WIDTH), "dimensions_digest": digest_of(F.col("attributes")), "bucket": bucket(F.col("value"))})
     arrival = F.struct("timestamp", "source_id", "stream_id", "sequence", "record_index")
-    fine = rows.groupBy(*METRIC_KEYS, "bucket").agg(
+    fine = rows.groupBy(*by, *METRIC_KEYS, "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.max_by(F.struct("value", "timestamp"), arrival).alias("last"), F.max(arrival).alias("at"), F.any_value("attributes").alias("attributes"))
-    return fine.groupBy(*METRIC_KEYS).agg(
+    return fine.groupBy(*by, *METRIC_KEYS).agg(
         F.any_value("attributes").alias("attributes"), F.sum("n").alias("sample_count"), F.sum("s").alias("value_sum"), F.min("lo").alias("value_min"), F.max("hi").alias("value_max"),
         F.max_by("last", "at")["value"].alias("last_value"), F.max_by("last", "at")["timestamp"].alias("last_timestamp"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("histogram"))
 
 
-def merge_metric_rollups(parts: DataFrame) -> DataFrame:
-    """Partial rollups of the same buckets as one: counts and histograms add up, later last values win."""
-    keyed = parts.groupBy(*METRIC_KEYS)
-    flat = keyed.agg(F.any_value("attributes").alias("attributes"), F.sum("sample_count").alias("sample_count"), F.sum("value_sum").alias("value_sum"), F.min("value_min").alias("value_min"),
-                     F.max("value_max").alias("value_max"), F.max_by("last_value", "last_timestamp").alias("last_value"), F.max("last_timestamp").alias("last_timestamp"))
-    hist = parts.select(*METRIC_KEYS, F.explode("histogram").alias("bucket", "n")).groupBy(*METRIC_KEYS, "bucket").agg(F.sum("n").alias("n"))
-    return flat.join(hist.groupBy(*METRIC_KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("histogram")), METRIC_KEYS)
+def merge_metric_rollups(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Partial rollups of the same buckets as one: counts and histograms add up, later last values win (of equal times the greater)."""
+    keys = [*by, *METRIC_KEYS]
+    last = F.struct("last_timestamp", "last_value")
+    flat = parts.groupBy(*keys).agg(F.any_value("attributes").alias("attributes"), F.sum("sample_count").alias("sample_count"), F.sum("value_sum").alias("value_sum"), F.min("value_min").alias("value_min"),
+                                    F.max("value_max").alias("value_max"), F.max_by("last_value", last).alias("last_value"), F.max("last_timestamp").alias("last_timestamp"))
+    hist = parts.select(*keys, F.explode("histogram").alias("bucket", "n")).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    return flat.join(hist.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("histogram")), keys)
 
 
 def _as_observations(rollup: DataFrame) -> DataFrame:
