@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from .plans.planner import Scope, log_rollup_fits, metric_rollup_fits, plan
 from .queries import ORG, comparable
 from .sources import collectors, ingest, otlp, segments
 from .sources.adapters import NOW, observations, utc
+from .streaming.projector import Limits, Projection
 
 FIVE = 300 * 10**9
 LOGS, METRICS = observations_sql("logs"), observations_sql("metrics")
@@ -528,6 +531,35 @@ def hot_cold_union(spark, d):
     return comparable(rows.ranked(got))
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder for a projection: under the shared one that the session names, or a local session's own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="beamlog-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def tiered_rows(spark, d):
+    """Batches through the projector, then aged, retained and rebuilt: hot and cold reads have every row once."""
+    scopes = spark.createDataFrame([("source-a", "org-a", "p", "e", "s")], "source_id string, organization_id string, project_id string, environment_id string, service_id string")
+    projection = Projection(spark, _scratch(spark, "tiers"), scopes, now=NOW, limits=Limits(10_000, 1 << 40, 10_000))
+    projection.settle(_batches(spark, d), 0)
+    projection.age(KEEP)
+    projection.retain(KEEP)
+    projection.rebuild("v1")
+    hot, cold = projection.observations().drop("date"), projection.cold("metrics", "org-a")
+    both = hot.withColumn("tier", F.lit("hot")).unionByName(cold.withColumn("tier", F.lit("cold")))
+    rolled = projection.rollup("metric").groupBy("name").agg(F.sum("sample_count").alias("rolled"))
+    return both.groupBy("name").agg(F.count_if(F.col("tier") == "hot").alias("hot"), F.count_if(F.col("tier") == "cold").alias("cold"), F.round(F.sum("value"), 4).alias("sum_value")).join(rolled, "name")
+
+
+_TIERED = f"""WITH o AS ({METRICS}), s AS (SELECT *, max("timestamp") OVER (PARTITION BY stream_id, sequence) AS latest FROM o),
+t AS (SELECT *, latest >= TIMESTAMP '2024-01-26' AND "timestamp" >= TIMESTAMP '2024-01-26' AS is_hot FROM s)
+SELECT name, count(*) FILTER (is_hot) AS hot, count(*) FILTER (NOT is_hot) AS cold, round(sum(value), 4) AS sum_value, count(*) AS rolled FROM t GROUP BY name"""
+
+
 def _segments(spark, d):
     size = F.octet_length("name") + F.coalesce(F.octet_length("trace_id"), F.lit(0))
     return _logs(spark, d).groupBy("project_id", "stream_id", "sequence").agg(F.sum(size).alias("bytes"), F.min("timestamp").alias("committed_at")).select(
@@ -693,7 +725,7 @@ def _pairs() -> dict[str, tuple]:
         "json_lines_web": (json_lines_web, _WEB), "json_lines_requestlog": (json_lines_requestlog, _REQUESTS), "json_lines_deployments": (json_lines_deployments, _DEPLOYS), "json_lines_problems": (json_lines_problems, _PROBLEMS),
         "otlp_json_logs": (otlp_json_logs, _OTLP_LOGS), "otlp_json_metrics": (otlp_json_metrics, _OTLP_METRICS), "otlp_json_traces": (otlp_json_traces, _OTLP_TRACES),
         "retention_survivors": (retention_survivors, _RETENTION), "retention_rollups": (retention_rollups, _RETENTION_ROLLUPS), "segments_to_cold": (segments_to_cold, _TO_COLD), "hot_cold_union": (hot_cold_union, b(_HOT_COLD)),
-        "projection_lag": (projection_lag, _LAG), "fair_pending": (fair_pending, _FAIR), "quota_check": (quota_check, _QUOTA), "organizations_union": (organizations_union, _ORGANIZATIONS),
+        "tiered_rows": (tiered_rows, _TIERED), "projection_lag": (projection_lag, _LAG), "fair_pending": (fair_pending, _FAIR), "quota_check": (quota_check, _QUOTA), "organizations_union": (organizations_union, _ORGANIZATIONS),
         "incident_consecutive": (incident_consecutive, f'WITH {_RUNS} SELECT rule_id, "at", rows, matched, run FROM r'), "incidents": (incidents, _INCIDENTS), "incident_fold": (incident_fold, _FOLD), "incident_order": (incident_order, _INCIDENT_ORDER),
         "batch_rule": (batch_rule, _BATCH_RULE), "batch_rule_error": (batch_rule_error, "SELECT 'error' AS state, 0::BIGINT AS matches"), "transition_gaps": (transition_gaps, _TRANSITIONS),
         "chart_points": (chart_points, _CHART_SQL), "stat_cell": (stat_cell, _STAT), "query_statistics": (query_statistics, _STATISTICS), "raw_candidate": (raw_candidate, b(_RAW)),

@@ -40,7 +40,7 @@ _NUMBER = [(f.name, f.dataType) for f in m.OBSERVATION.fields if f.name in KEY]
 LEDGER = _schema(*_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("epoch", _LONG))
 PROBLEMS = _schema(*_NUMBER, ("digest", _TEXT), ("problem", _TEXT), ("epoch", _LONG))
 #: What the projector keeps between micro-batches: stream heads, used bytes of organizations, and queued segments.
-STATE = _schema(("kind", _TEXT), *_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("organization_id", _TEXT), ("bytes", _LONG), ("signal", _TEXT), ("date", T.DateType()), ("committed_at", TimestampType()))
+STATE = _schema(("kind", _TEXT), *_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("organization_id", _TEXT), ("bytes", _LONG), ("signal", _TEXT), ("date", T.DateType()), ("committed_at", TimestampType()), ("queued", _LONG))
 _TIERS = _schema(*_NUMBER, ("digest", _TEXT), ("tier", _TEXT), ("at", _LONG))
 _EXPIRED = _schema(("organization_id", _TEXT), ("signal", _TEXT), ("day", T.DateType()), ("at", _LONG))
 _CURRENT = _schema(("organization_id", _TEXT), ("version", _TEXT), ("at", _LONG))
@@ -136,7 +136,7 @@ class Projection:
 
     def backlog(self) -> DataFrame:
         """Admitted segments that are not projected yet."""
-        return self.state().where("kind = 'pending'").select(*KEY, "digest", "content_digest", "organization_id", "bytes", "signal", "date", "committed_at")
+        return self.state().where("kind = 'pending'").select(*KEY, "digest", "content_digest", "organization_id", "bytes", "signal", "date", "committed_at", "queued")
 
     def usage(self) -> DataFrame:
         """Bytes of raw segments that each organization has."""
@@ -308,7 +308,9 @@ class Projection:
         try:
             new = raw.join(self._read("segments", raw.schema).select("digest"), "digest", "left_anti") if again else raw
             self._write(new, f"{self.root}/segments")
-            facts = raw.select(*KEY, "digest", "bytes", "signal", "date").join(fresh.select(*KEY, "content_digest", "organization_id"), KEY).withColumn("committed_at", F.lit(self._clock().isoformat(sep=" ") + "+00:00").cast("timestamp"))
+            number = self._snapshot() + 1
+            raw.write.mode("overwrite").parquet(f"{self.root}/queue/n-{number}")  # a copy that passes read, apart from all that is there
+            facts = raw.select(*KEY, "digest", "bytes", "signal", "date", F.lit(number).cast("long").alias("queued")).join(fresh.select(*KEY, "content_digest", "organization_id"), KEY).withColumn("committed_at", F.lit(self._clock().isoformat(sep=" ") + "+00:00").cast("timestamp"))
             fit = lambda df, kind: df.select(F.lit(kind).alias("kind"), *[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields[1:]])
             last = heads.unionByName(facts.select(*heads.columns)).groupBy(*STREAM).agg(F.max(F.struct("sequence", "digest", "content_digest")).alias("h")).select(*STREAM, "h.*")
             used = self.usage().unionByName(facts.select("organization_id", "bytes")).groupBy("organization_id").agg(F.sum("bytes").alias("bytes"))
@@ -333,18 +335,22 @@ class Projection:
         number = self._snapshot()
         queued = self.backlog().withColumn("projected", F.lit(False))
         picked = fair_pending(queued, self.limits.segments, self.limits.bytes).orderBy("turn", "committed_at", "digest").limit(self.limits.all_segments)
-        rows = [r.asDict() for r in picked.select(*KEY, "digest", "content_digest", *PARTITIONS).collect()]  # ``all_segments`` at most
+        rows = [r.asDict() for r in picked.select(*KEY, "digest", "content_digest", "queued").collect()]  # ``all_segments`` at most
         if not rows:
             return 0
         again = not self._first_time(f"pass-{number}")
-        mine = self.spark.createDataFrame(rows, _schema(*_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("signal", _TEXT), ("date", T.DateType())))
-        days = reduce(lambda a, b: a | b, [(F.col("signal") == s) & (F.col("date") == F.lit(d)) for s, d in sorted({(r["signal"], r["date"]) for r in rows})])
-        schema = raw_segments(self.spark.createDataFrame([], m.BATCH)).schema
-        batches, _ = parsed_segments(self._read("segments", schema).where(days).join(mine.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
+        mine = self.spark.createDataFrame(rows, _schema(*_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("queued", _LONG)))
+        folders = [f"{self.root}/queue/n-{n}" for n in sorted({r["queued"] for r in rows})]
+        content = self.spark.read.schema(raw_segments(self.spark.createDataFrame([], m.BATCH)).schema).parquet(*folders)
+        batches, _ = parsed_segments(content.join(mine.select("digest"), "digest", "left_semi"))
         self._project(batches, again)
         entry = mine.select(*KEY, "digest", "content_digest", F.lit(number).cast("long").alias("epoch"))
         self._append(entry.join(self.ledger().select("digest"), "digest", "left_anti").select(*LEDGER.fieldNames()) if again else entry, "ledger")
         self._commit(self.state().join(mine.select("digest", F.lit("pending").alias("kind")), ["digest", "kind"], "left_anti"))
+        waiting = {r["queued"] for r in self.backlog().select("queued").distinct().collect()}
+        for n in {r["queued"] for r in rows} - waiting:
+            path, files = self._path(f"queue/n-{n}")
+            files.delete(path, True)
         return len(rows)
 
     def _project(self, batches: DataFrame, again: bool, version: str | None = None) -> None:
@@ -431,12 +437,13 @@ class Projection:
             moved = tiers(self.catalogue().where("tier in ('hot', 'cold')"), policy, self._clock(), self.policies).where("next_tier <> tier").select(*KEY, "digest", "organization_id", "bytes", "next_tier").persist()
             try:
                 count = moved.count()
+                deleted = count and bool(moved.where("next_tier = 'deleted'").head(1))
                 if count:
                     self._mark(moved.withColumn("tier", F.when(F.col("next_tier") == "cold", "archiving").otherwise(F.col("next_tier"))))
-                    freed = moved.where("next_tier = 'deleted'").groupBy("organization_id").agg(F.sum("bytes").alias("_freed"))
-                    if freed.head(1):
-                        state = self.state().join(freed, "organization_id", "left")
-                        self._commit(state.withColumn("bytes", F.when((F.col("kind") == "usage") & F.col("_freed").isNotNull(), F.col("bytes") - F.col("_freed")).otherwise(F.col("bytes"))))
+                if deleted:  # what is left is summed anew, so that a run that broke here does no harm
+                    used = self.catalogue().groupBy("organization_id").agg(F.sum("bytes").alias("_used"))
+                    state = self.state().join(used, "organization_id", "left")
+                    self._commit(state.withColumn("bytes", F.when(F.col("kind") == "usage", F.coalesce("_used", F.lit(0))).otherwise(F.col("bytes"))))
                 self.finish_archiving()
                 return count
             finally:
