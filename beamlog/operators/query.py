@@ -123,52 +123,78 @@ def summarize(rows: DataFrame, query: Query, registry: Registry) -> DataFrame:
     shares = {i: (inputs[a.field], PERCENTILES[a.function]) for i, a in enumerate(s.aggregates) if a.function in PERCENTILES}
     plain = {i: (a.function, inputs.get(a.field)) for i, a in enumerate(s.aggregates) if a.function not in PERCENTILES}
     if shares:
-        grouped = with_percentiles(base, by, plain, shares, split=not keys)
+        grouped = with_percentiles(base, by, plain, shares, split=not keys or planned_bytes(rows) > SPLIT_BYTES)
     else:
         grouped = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[aggregate(f, F.col(c) if c else None).alias(f"_a{i}") for i, (f, c) in plain.items()])
     return grouped.select(*[F.col(names[k]).alias(k) for k in keys], *[F.col(f"_a{i}").alias(a.alias) for i, a in enumerate(s.aggregates)])
 
 
+#: Beyond so many planned bytes of input, no task may hold all values of a group; below, one task can hold them all.
+SPLIT_BYTES = 256 << 20
+#: Equal slices of the range of values that a magnitude holds.
+SLICES = 4096
+
+
+def planned_bytes(rows: DataFrame) -> int:
+    """The planner's estimate of the rows' size."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in columns])
+
+
 def with_percentiles(rows: DataFrame, by: list[str], plain: dict[int, tuple[str, str | None]], shares: dict[int, tuple[str, float]], split: bool = False) -> DataFrame:
     """Per group, columns _a<i>: plain aggregates (function, column) and exact nearest-rank percentiles (column, share).
 
-    Each row counts once for every ranked column, and for the plain aggregates with the first one. ``split`` deals a
-    group's values to many tasks by magnitude, with the counts of lower magnitudes in front of each; it reads the
-    counts twice and is meant for few groups of very many values.
+    Each row counts once for every ranked column, and for the plain aggregates with the first one. With ``split``, a
+    group's values are never together: counts of magnitudes tell which one holds each percentile, counts of equal
+    slices of its range tell which slice does, and only that slice's values are put in order.
     """
     ranked = sorted({c for c, _ in shares.values()})
     several = len(ranked) > 1
     first = F.col("_f") == 0 if several else F.lit(True)
-    parts, finals = {}, {}
+    parts, again, finals = {}, {}, {}
     for i, (f, c) in plain.items():
         if f in ("count", "avg"):
             parts[f"_p{i}n"] = F.count(F.when(first, F.lit(1) if f == "count" else F.col(c)))
+            again[f"_p{i}n"] = F.sum(f"_p{i}n")
         if f != "count":
-            parts[f"_p{i}"] = {"min": F.min, "max": F.max, "sum": F.sum, "avg": F.sum}[f](F.when(first, F.col(c)))
+            whole = {"min": F.min, "max": F.max, "sum": F.sum, "avg": F.sum}[f]
+            parts[f"_p{i}"], again[f"_p{i}"] = whole(F.when(first, F.col(c))), whole(f"_p{i}")
         finals[i] = F.sum(f"_p{i}n") if f == "count" else F.try_divide(F.sum(f"_p{i}"), F.sum(f"_p{i}n")) if f == "avg" else {"min": F.min, "max": F.max, "sum": F.sum}[f](f"_p{i}")
     used = sorted({c for _, c in plain.values() if c})
-    own, slot = ([*by, "_f"] if several else by), []
+    own = [*by, "_f"] if several else by
     if several:
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("_f"), F.col(c).alias("_x")) for k, c in enumerate(ranked)]))
         flat = rows.select(*by, *used, each.alias("_e")).select(*by, *used, "_e._f", "_e._x")
     else:
         flat = rows.select(*by, *used, F.col(ranked[0]).alias("_x"))
-    fine = flat.groupBy(*own, "_x").agg(F.count(F.lit(1)).alias("_c"), *[p.alias(n) for n, p in parts.items()])
     counted = F.when(F.col("_x").isNotNull(), F.col("_c")).otherwise(0)
-    fine = fine.withColumn("_all", F.sum(counted).over(Window.partitionBy(*own))) if not split else fine
-    if split:
-        slot = ["_b"]
-        fine = fine.withColumn("_b", F.coalesce(magnitude(F.col("_x")), F.lit(0)))
-        coarse = fine.groupBy(*own, "_b").agg(F.sum(counted).alias("_s"))  # some ten thousand magnitudes a group at most
-        so_far = Window.partitionBy(*own).orderBy("_b")
-        coarse = coarse.select(*own, "_b", F.sum("_s").over(Window.partitionBy(*own)).alias("_all"), (F.sum("_s").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_ahead"))
-        l, r = fine.alias("l"), coarse.alias("r")
-        fine = l.join(r, reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*own, "_b"]])).select("l.*", "_all", "_ahead")
-    upto = F.sum(counted).over(Window.partitionBy(*own, *slot).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) + (F.col("_ahead") if split else F.lit(0))
-    placed = fine.withColumn("_upto", upto)
+    fine = flat.groupBy(*own, "_x").agg(F.count(F.lit(1)).alias("_c"), *[p.alias(n) for n, p in parts.items()])
     of = lambda c: F.col("_f") == ranked.index(c) if several else F.lit(True)
-    reached = lambda c, share: F.min(F.when(of(c) & (F.col("_upto") >= F.ceil(F.lit(share) * F.col("_all"))), F.col("_x")))
-    return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[v.alias(f"_a{i}") for i, v in finals.items()], *[reached(c, share).alias(f"_a{i}") for i, (c, share) in shares.items()])
+    rank = lambda share: F.ceil(F.lit(share) * F.col("_all"))
+    upto = lambda keys, order, n: F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    plains = [v.alias(f"_a{i}") for i, v in finals.items()]
+    if not split:
+        placed = fine.withColumns({"_all": F.sum(counted).over(Window.partitionBy(*own)), "_upto": upto(own, "_x", counted)})
+        reached = lambda c, share: F.min(F.when(of(c) & (F.col("_upto") >= rank(share)), F.col("_x")))
+        return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *plains, *[reached(c, share).alias(f"_a{i}") for i, (c, share) in shares.items()])
+    fine = fine.withColumn("_b", magnitude(F.col("_x")))
+    coarse = fine.groupBy(*own, "_b").agg(F.sum(counted).alias("_s"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count(F.lit(1)).alias("_m"), *[v.alias(n) for n, v in again.items()])  # some ten thousand magnitudes a group at most
+    groups = coarse.groupBy(*by).agg(F.sum("_m").alias("_n"), *plains)
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), rank(share).alias("_rank"), of(c).alias("_own")) for i, (c, share) in shares.items()])).alias("_q")
+    placed = coarse.where("_b is not null").withColumns({"_all": F.sum("_s").over(Window.partitionBy(*own)), "_upto": upto(own, "_b", "_s")})
+    held = placed.select(*own, "_b", "_low", "_high", "_s", "_upto", asked).where("_q._own and _q._rank <= _upto and _q._rank > _upto - _s")
+    held = held.select(*own, "_b", "_low", "_high", F.col("_q._i").alias("_i"), (F.col("_q._rank") - F.col("_upto") + F.col("_s")).alias("_rank"))
+    near = fine.alias("l").join(held.alias("r"), _same("l", "r", [*own, "_b"])).select(*[F.col(f"l.{k}") for k in by], "l._x", "l._c", "r._i", "r._rank", "r._low", "r._high")
+    width = F.col("_high") - F.col("_low")
+    near = near.withColumn("_slice", F.when(width > 0, F.floor((F.col("_x") - F.col("_low")) / width * SLICES)).otherwise(0))
+    sliced = near.groupBy(*by, "_i", "_rank", "_slice").agg(F.sum("_c").alias("_s")).withColumn("_upto", upto([*by, "_i"], "_slice", "_s"))
+    slices = sliced.where("_rank <= _upto and _rank > _upto - _s").select(*by, "_i", "_slice", (F.col("_rank") - F.col("_upto") + F.col("_s")).alias("_left"))
+    last = near.alias("l").join(slices.alias("r"), _same("l", "r", [*by, "_i", "_slice"])).select(*[F.col(f"l.{k}") for k in by], "l._i", "l._x", "l._c", "r._left")
+    found = last.withColumn("_upto", upto([*by, "_i"], "_x", "_c")).where(F.col("_upto") >= F.col("_left")).groupBy(*by).agg(*[F.min(F.when(F.col("_i") == i, F.col("_x"))).alias(f"_a{i}") for i in shares])
+    return groups.alias("l").join(found.alias("r"), _same("l", "r", by), "left").select("l.*", *[f"r._a{i}" for i in shares])
 
 
 def _as_number(descriptor: Descriptor) -> Column:
