@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -75,6 +77,19 @@ def promote(observations: DataFrame, descriptors: list[Descriptor]) -> DataFrame
     return observations.withColumns({names[d.name]: typed(F.try_element_at("attributes", F.lit(d.name)), d.type) for d in descriptors})
 
 
+def promoted_column(name: str, kind: str) -> str:
+    """The column of a promoted field of a type: no two of them share one."""
+    return f"p_{re.sub('[^0-9A-Za-z]', '_', name)}_{zlib.crc32(name.encode()):08x}_{kind}"
+
+
+def promoted_values(fields: list[tuple[str, str, str]]) -> dict[str, Column]:
+    """Columns of promoted fields (signal, name, type): typed values in rows of their signals, else null."""
+    signals: dict[tuple[str, str], list[str]] = {}
+    for signal, name, kind in fields:
+        signals.setdefault((name, kind), []).append(signal)
+    return {promoted_column(name, kind): F.when(F.col("signal").isin(*of), typed(F.try_element_at("attributes", F.lit(name)), kind)) for (name, kind), of in sorted(signals.items())}
+
+
 @dataclass(frozen=True)
 class Retention:
     """Days that each kind of data is kept."""

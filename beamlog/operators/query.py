@@ -46,7 +46,9 @@ def raw_field(name: str) -> Column:
 
 
 def field_value(descriptor: Descriptor) -> Column:
-    """A field in its type, null where it is missing or does not parse."""
+    """A field in its type, null where it is missing or does not parse; from its own column where one is stored."""
+    if descriptor.column:
+        return F.col(descriptor.column)
     raw = raw_field(descriptor.name)
     if descriptor.name in ("timestamp", "value"):
         return raw if descriptor.name == "timestamp" else F.when(F.abs(raw) < float("inf"), raw)
@@ -234,12 +236,17 @@ def finish(full: DataFrame, planned: Plan) -> Result:
 
 
 def run(observations: DataFrame, query: Query, scope: Scope, now: datetime, registry: Registry | None = None, sensitive: bool = False, cold: DataFrame | None = None, planned: Plan | None = None) -> Result:
-    """The exact row path, over hot observations and, where given, cold ones."""
-    registry = registry or Registry()
+    """The exact row path, over hot observations and, where given, cold ones.
+
+    Fields that ``registry`` says are stored in columns are read from these where the hot table has them; cold rows get them first.
+    """
+    registry = (registry or Registry()).held_by(observations.columns)
     planned = planned or plan(query, scope, registry, sensitive, cold=cold is not None, rollups=False)
     rows = scan(observations, query.signal, scope, query.window, now)
     if cold is not None:  # apart from the hot rows, for the two may be partitioned differently
-        rows = rows.unionByName(scan(cold, query.signal, scope, query.window, now), allowMissingColumns=True)
+        raw = registry.held_by(())
+        stored = {c: field_value(raw.describe(query.signal, name)) for (signal, name), c in registry.columns.items() if signal == query.signal}
+        rows = rows.unionByName(scan(cold, query.signal, scope, query.window, now).withColumns(stored), allowMissingColumns=True)
     rows = rows.where(matches(query, registry))
     full = summarize(rows, query, registry) if query.summary else project(rows, query, registry)
     return finish(full, planned)

@@ -165,11 +165,11 @@ def query_metric_rollup(rollup: DataFrame, observations: DataFrame, query: Query
 def answer(observations: DataFrame, query: Query, scope: Scope, now: datetime, registry: Registry | None = None, sensitive: bool = False, logs: DataFrame | None = None, metrics: DataFrame | None = None, cold: DataFrame | None = None) -> Result:
     """A query by the cheapest path that fits: a rollup, if one is given and its rules hold, else rows."""
     registry = registry or Registry()
-    planned = plan(query, scope, registry, sensitive, cold=cold is not None)
+    planned, raw = plan(query, scope, registry, sensitive, cold=cold is not None), registry.held_by(())  # rollups keep no columns of single fields
     if planned.path == "log_rollup" and logs is not None:
         return query_log_rollup(logs, observations, query, scope, now, planned)
     if planned.path == "metric_rollup" and metrics is not None:
-        return query_metric_rollup(metrics, observations, query, scope, now, planned, registry)
+        return query_metric_rollup(metrics, observations, query, scope, now, planned, raw)
     return run(observations, query, scope, now, registry, sensitive, cold)
 
 

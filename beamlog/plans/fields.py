@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 STRING, INTEGER, FLOAT, DURATION, BOOLEAN, TIME = "string", "integer", "float", "duration", "boolean", "time"
 NUMERIC = (INTEGER, FLOAT, DURATION)
@@ -19,6 +19,7 @@ class Descriptor:
     unit: str = ""
     retention: str = "raw"
     known: bool = True
+    column: str = ""  # where a table stores the field's typed values, if it does
 
     def problem(self) -> str | None:
         """Why a reviewed descriptor is not acceptable, if it is not."""
@@ -94,9 +95,23 @@ class Registry:
     reviewed: dict[tuple[str, str], Descriptor] = field(default_factory=dict)
     version: int = 1
     rejected: frozenset[tuple[str, str]] = frozenset()
+    columns: dict[tuple[str, str], str] = field(default_factory=dict)
 
     def describe(self, signal: str, name: str) -> Descriptor:
-        name = canonical(name)
+        found = self._describe(signal, canonical(name))
+        column = self.columns.get((signal, found.name), "")
+        return replace(found, column=column) if column else found
+
+    def held_by(self, columns: Iterable[str]) -> Registry:
+        """The registry for a table with these columns: other stored ones are read from the attributes."""
+        have = set(columns)
+        return replace(self, columns={k: c for k, c in self.columns.items() if c in have})
+
+    def indexed(self) -> list[tuple[str, Descriptor]]:
+        """Reviewed fields that ask for an index, with their signals."""
+        return [(signal, d) for (signal, _), d in sorted(self.reviewed.items()) if d.index != "none"]
+
+    def _describe(self, signal: str, name: str) -> Descriptor:
         if signal == "metrics" and name in METRIC_ONLY:
             return METRIC_ONLY[name]
         if name in BUILT_IN:
@@ -110,14 +125,14 @@ class Registry:
             if problem := d.problem():
                 raise ValueError(f"{d.name}: {problem}")
         fresh = {(signal, d.name): d for d in descriptors}
-        return Registry(self.reviewed | fresh, self.version + 1, self.rejected - set(fresh))
+        return Registry(self.reviewed | fresh, self.version + 1, self.rejected - set(fresh), self.columns)
 
     def reject(self, signal: str, names: Iterable[str]) -> Registry:
         """The same version with proposals turned down: they are not proposed again, and their fields stay unreviewed."""
         turned = {(signal, canonical(n)) for n in names}
         if known := sorted(n for s, n in turned if (s, n) in self.reviewed or n in BUILT_IN):
             raise ValueError(f"in use, not a proposal: {', '.join(known)}")
-        return Registry(self.reviewed, self.version, self.rejected | turned)
+        return Registry(self.reviewed, self.version, self.rejected | turned, self.columns)
 
     def rollup_dimensions(self) -> list[Descriptor]:
         """Metric attributes that rollups keep: known, of metric retention, neither sensitive nor of high cardinality."""

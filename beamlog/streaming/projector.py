@@ -13,7 +13,8 @@ it out and cold reads take it in. Files go later, when no row in them is read an
 from __future__ import annotations
 
 import threading
-from dataclasses import dataclass, fields
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
@@ -25,9 +26,9 @@ from pyspark.sql.types import StructField, StructType, TimestampType
 
 from .. import model as m
 from ..functions.typed import bucket_start, utc_date
-from ..operators.lifecycle import Retention, effective, fair_pending, tiers
+from ..operators.lifecycle import Retention, effective, fair_pending, promoted_column, promoted_values, tiers
 from ..operators.rollups import LOG_KEYS, METRIC_KEYS, WIDTH, log_rollup, merge_log_rollups, merge_metric_rollups, metric_rollup
-from ..plans.fields import Registry
+from ..plans.fields import Descriptor, Registry
 from ..sources.ingest import admissible, admit, batch_digest, content_digest, flatten, numbered
 from ..sources.segments import cold_observations, parsed_segments, raw_segments
 
@@ -45,6 +46,7 @@ _TIERS = _schema(*_NUMBER, ("digest", _TEXT), ("tier", _TEXT), ("at", _LONG))
 _EXPIRED = _schema(("organization_id", _TEXT), ("signal", _TEXT), ("day", T.DateType()), ("at", _LONG))
 _CURRENT = _schema(("organization_id", _TEXT), ("version", _TEXT), ("at", _LONG))
 _LOADED = _schema(*_NUMBER, ("version", _TEXT))
+_PROMOTED = _schema(("version", _TEXT), ("signal", _TEXT), ("field", _TEXT), ("type", _TEXT))
 ROLLUPS = "rollups"  # the name under which the days of both rollups expire
 
 
@@ -189,10 +191,28 @@ class Projection:
         rows = self._live(self._all_rows())
         if self._there("tiers"):
             rows = rows.join(self._gone(), KEY, "left_anti")
-        return self._unexpired(rows).select(*m.OBSERVATION.fieldNames(), "date")
+        return self._unexpired(rows).select(*m.OBSERVATION.fieldNames(), *self._promoted(), "date")
 
     def _all_rows(self) -> DataFrame:
-        return self._read("observations", StructType([*m.OBSERVATION.fields, StructField("version", _TEXT), StructField("date", T.DateType())]))
+        plain = self.spark.createDataFrame([], m.OBSERVATION)
+        return self._read("observations", StructType([*plain.withColumns(self._promoted()).schema.fields, StructField("version", _TEXT), StructField("date", T.DateType())]))
+
+    def _promoted(self, version: str | None = None) -> dict[str, Column]:
+        """Columns of promoted fields that any version, or this one, stores."""
+        rows = self._read("promoted", _PROMOTED)
+        rows = rows if version is None else rows.where(F.col("version") == version)
+        return promoted_values([(r["signal"], r["field"], r["type"]) for r in rows.select("signal", "field", "type").distinct().collect()]) if self._there("promoted") else {}
+
+    def registry_of(self, organization: str) -> Registry:
+        """The registry with the columns that the organization's version stores whole: older versions' rows lack them."""
+        rows = self._read("promoted", _PROMOTED).where(F.col("version") == self.version(organization)).collect()
+        stored = {(r["signal"], r["field"]): promoted_column(r["field"], r["type"]) for r in rows}
+        return replace(self.registry, columns={k: c for k, c in stored.items() if c == promoted_column(k[1], self.registry.describe(*k).type)})
+
+    def activate(self, signal: str, descriptors: Iterable[Descriptor], version: str, organization: str | None = None) -> None:
+        """Reviewed fields from now on; those with an index get typed columns in a new version of the rows."""
+        self.registry = self.registry.activate(signal, list(descriptors))
+        self.rebuild(version, organization)
 
     def segments(self) -> DataFrame:
         """Raw content of all segments that are kept: each where its tier says."""
@@ -356,7 +376,7 @@ class Projection:
     def _project(self, batches: DataFrame, again: bool, version: str | None = None) -> None:
         """Adds the batches' rows, and the rollup parts of each of them. ``again``: parts of the way may be there already."""
         rows = flatten(batches, self.scopes).withColumn("date", utc_date(F.col("timestamp")))
-        rows = (self._versioned(rows) if version is None else rows.withColumn("_version", F.lit(version))).withColumnRenamed("_version", "version").persist()
+        rows = (self._versioned(rows) if version is None else rows.withColumn("_version", F.lit(version))).withColumnRenamed("_version", "version").withColumns(self._promoted()).persist()
         try:
             new = rows
             if again:
@@ -384,7 +404,9 @@ class Projection:
             started = Rebuild(version, organization, self.version(organization))
             if self._there(f"loaded/version={version}"):
                 raise ValueError(f"there is a version {version} already")
-            ledger = self.ledger()
+            ledger, indexed = self.ledger(), self.registry.indexed()
+            if indexed:
+                self._append(self.spark.createDataFrame([(version, signal, d.name, d.type) for signal, d in indexed], _PROMOTED), "promoted")
         self._load(started, ledger)
         for kind in ("log", "metric"):
             parts = self._live(self._parts(kind))

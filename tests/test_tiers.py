@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from beamlog.operators import rollups
 from beamlog.operators.lifecycle import Retention
+from beamlog.operators.query import run
+from beamlog.plans.fields import Descriptor
+from beamlog.plans.language import parse
 from beamlog.sources.ingest import read_batches
 from beamlog.streaming.projector import Limits, Projection
 
-from .test_engine import NOW, batch
+from .test_engine import NOW, ORG, batch
 
 SCOPES = "source_id string, organization_id string, project_id string, environment_id string, service_id string"
 KEEP = Retention(logs=10, traces=10, metrics=5, cold=400, rollups=300, evidence=30)
@@ -147,3 +150,26 @@ def test_policies_and_quotas_of_organizations(spark, tmp_path):
     assert [k for _, k in times(p)] == ["hot"] and [k for _, k in times(p, "q")] == ["cold"]
     settled(spark, p, tmp_path, 1, other(1), other(2))  # the head again needs no room; a small batch fits
     assert p.problems().where("epoch = 1").count() == 0 and len(times(p, "q")) == 2
+
+
+def test_activated_fields_are_stored_and_reach_the_files(spark, tmp_path):
+    p = made(spark, tmp_path)
+    item = lambda i, v, days=0: batch("a", i, [NOW - timedelta(days=days)], attributes={"items.count": v, "http.status_code": "500"})
+    settled(spark, p, tmp_path, 0, item(1, "7", 12), item(2, "5"), item(3, "x"), item(4, "12"))
+    p.activate("logs", [Descriptor("items.count", "integer", "internal", "high", "range"), Descriptor("label", "string", "internal", "low")], "v1")
+    settled(spark, p, tmp_path, 1, item(5, "9"), item(6, ""))
+    text = "logs | where items.count >= 6 | summarize count(), sum(items.count), max(items.count)"
+    by_map = run(p.observations(), parse(text), ORG, NOW, p.registry)
+    by_column = run(p.observations(), parse(text), ORG, NOW, p.registry_of("o"))
+    assert by_map.rows.collect() == by_column.rows.collect() == [(3, 28.0, 12.0)]
+    plan = by_column.rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = [line for line in plan.split("\n") if "PushedFilters" in line and "p_items_count" in line]
+    assert pushed and "GreaterThanOrEqual(p_items_count" in pushed[0] and "attributes" not in plan.split("ReadSchema")[1].split("\n")[0]
+    p.age(KEEP)
+    p.retain(KEEP)
+    cold = lambda: p.cold("logs", "o")
+    both = [run(p.observations(), parse(text), ORG, NOW, r, cold=cold()).rows.collect() for r in (p.registry, p.registry_of("o"))]
+    assert both[0] == both[1] == [(3, 28.0, 12.0)] and run(p.observations(), parse(text), ORG, NOW, p.registry_of("o")).rows.collect() == [(2, 21.0, 12.0)]
+    p.activate("logs", [Descriptor("items.count", "float", "internal", "high", "range")], "v2")
+    assert run(p.observations(), parse(text), ORG, NOW, p.registry_of("o"), cold=cold()).rows.collect() == [(3, 28.0, 12.0)]
+    assert len([c for c in p.observations().columns if c.startswith("p_")]) == 2
