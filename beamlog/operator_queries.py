@@ -542,7 +542,7 @@ def _scratch(spark, name: str) -> str:
 
 
 def tiered_rows(spark, d):
-    """Batches through the projector, then aged, retained and rebuilt: hot and cold reads have every row once."""
+    """Batches through the projector, then aged, retained and rebuilt: hot and cold reads have every row once, rollups those of their days."""
     scopes = spark.createDataFrame([("source-a", "org-a", "p", "e", "s")], "source_id string, organization_id string, project_id string, environment_id string, service_id string")
     projection = Projection(spark, _scratch(spark, "tiers"), scopes, now=NOW, limits=Limits(10_000, 1 << 40, 10_000))
     projection.settle(_batches(spark, d), 0)
@@ -557,7 +557,7 @@ def tiered_rows(spark, d):
 
 _TIERED = f"""WITH o AS ({METRICS}), s AS (SELECT *, max("timestamp") OVER (PARTITION BY stream_id, sequence) AS latest FROM o),
 t AS (SELECT *, latest >= TIMESTAMP '2024-01-26' AND "timestamp" >= TIMESTAMP '2024-01-26' AS is_hot FROM s)
-SELECT name, count(*) FILTER (is_hot) AS hot, count(*) FILTER (NOT is_hot) AS cold, round(sum(value), 4) AS sum_value, count(*) AS rolled FROM t GROUP BY name"""
+SELECT name, count(*) FILTER (is_hot) AS hot, count(*) FILTER (NOT is_hot) AS cold, round(sum(value), 4) AS sum_value, count(*) FILTER ("timestamp" >= TIMESTAMP '2024-01-11') AS rolled FROM t GROUP BY name"""
 
 
 def _segments(spark, d):
@@ -645,7 +645,7 @@ def incident_order(spark, d):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(alerts.state_rank(F.col("state")), F.col("updated_at").desc(), "id")).cast("bigint"))
 
 
-_INCIDENT_ORDER = "SELECT o_orderkey AS id, ['firing', 'acknowledged', 'silenced', 'pending', 'resolved'][o_orderkey % 5 + 1] AS state, o_orderdate AS updated_at, row_number() OVER (ORDER BY o_orderkey % 5, o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 200"
+_INCIDENT_ORDER = "SELECT o_orderkey AS id, ['firing', 'pending', 'acknowledged', 'silenced', 'resolved'][o_orderkey % 5 + 1] AS state, o_orderdate AS updated_at, row_number() OVER (ORDER BY o_orderkey % 5, o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 200"
 
 
 def batch_rule(spark, d):

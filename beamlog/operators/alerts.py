@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.fields import Registry
@@ -14,7 +16,7 @@ from ..plans.language import Query, QueryError
 from .query import matches, run, utc_moment
 
 # Incident states in the order in which lists show them.
-STATES = ("firing", "acknowledged", "silenced", "pending", "resolved")
+STATES = ("firing", "pending", "acknowledged", "silenced", "resolved")
 LONGEST_SILENCE = timedelta(days=30)
 
 
@@ -123,25 +125,71 @@ def claimed(rules: DataFrame, due: DataFrame, now: datetime) -> DataFrame:
     return rules.join(taken, _RULE, "left").withColumn("next_at", F.when(F.col("_taken"), later).otherwise(F.col("next_at"))).drop("_taken")
 
 
-def evaluated(due: DataFrame, saved: dict, observations: DataFrame, now: datetime, registry: Registry | None = None) -> DataFrame:
-    """(organization_id, rule_id, minimum, consecutive, at, rows, error): how many rows each due rule's saved query returns.
+def claim(spark: SparkSession, folder: str, now: datetime, most: int = MAX_DUE, stale_seconds: int = 600) -> DataFrame:
+    """The due rules of the rule table in ``folder``, taken by this run and no other; their next time moves on.
 
-    ``saved`` has (query, scope) by (organization_id, query_id). A query that is missing or does not plan is an
-    error, "query_unavailable", and no evaluation; the others run as one job.
+    The table is a folder of versions (see ``store_rules``). A run may write the next version only if it is the first
+    to create that version's mark; who comes second gets no rules. A mark that has had no version for
+    ``stale_seconds`` belongs to a run that broke, and is taken over.
     """
-    spark, out = due.sparkSession, []
-    schema = "organization_id string, rule_id string, minimum long, consecutive long"
-    for r in due.select(*_RULE, "minimum", "consecutive", "query_id").collect():  # MAX_DUE rows at most
-        rule = spark.createDataFrame([tuple(r)[:4]], schema)
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    version = max(int(f.getPath().getName()[2:]) for f in files.listStatus(path("")) if f.getPath().getName().startswith("v-") and files.exists(path(f"{f.getPath().getName()}/_SUCCESS")))
+    rules = spark.read.parquet(f"{folder}/v-{version}")
+    keys = [tuple(r) for r in due_rules(rules, now, most).select(*_RULE).collect()]  # MAX_DUE rows at most
+    taken = rules.join(spark.createDataFrame(keys, "organization_id string, rule_id string"), _RULE, "left_semi").select(rules.columns)
+    if not keys:
+        return taken
+    mark = path(f"mark-{version + 1}")
+    if files.exists(mark) and spark._jvm.System.currentTimeMillis() - files.getFileStatus(mark).getModificationTime() > stale_seconds * 1000:
+        files.delete(mark, False)
+    if not files.createNewFile(mark):
+        return taken.limit(0)
+    store_rules(claimed(rules, taken, now), folder, version + 1)
+    return taken
+
+
+def store_rules(rules: DataFrame, folder: str, version: int = 0) -> None:
+    """A version of the rule table, whole or not at all."""
+    rules.write.mode("overwrite").parquet(f"{folder}/v-{version}")
+
+
+#: Rules whose queries run at the same time.
+AT_ONCE = 4
+
+
+def evaluated(due: DataFrame, saved: dict, observations: DataFrame, now: datetime, registry: Registry | None = None, seconds: float = 60.0) -> DataFrame:
+    """(organization_id, rule_id, minimum, consecutive, rows, error, at): how many rows each due rule's saved query returns.
+
+    ``saved`` has (query, scope) by (organization_id, query_id). Each rule is a job of its own. A query that is missing
+    or does not plan is "query_unavailable", one that fails as it runs is "query_failed", one that takes longer than
+    ``seconds`` is cancelled and "query_timeout"; none of them is an evaluation, and none touches other rules.
+    """
+    spark, context = due.sparkSession, due.sparkSession.sparkContext
+    rules = due.select(*_RULE, "minimum", "consecutive", "query_id").collect()  # MAX_DUE rows at most
+
+    def one(r: Row) -> tuple[int | None, str | None]:
+        tag = f"rule-{uuid.uuid4().hex}"
+        late = threading.Event()
+        timer = threading.Timer(seconds, lambda: (late.set(), context.cancelJobsWithTag(tag)))
         try:
             kept, scope = saved[(r["organization_id"], r["query_id"])]
             query = kept.query()
-            n = run(observations, query, scope, now, registry).full.limit(query.limit).agg(F.count(F.lit(1)).alias("rows"))
-            out.append(rule.join(F.broadcast(n)).withColumn("error", F.lit(None).cast("string")))  # one row with one row
+            context.addJobTag(tag)
+            timer.start()
+            return run(observations, query, scope, now, registry).full.limit(query.limit).count(), None
         except (KeyError, QueryError):
-            out.append(rule.withColumns({"rows": F.lit(None).cast("long"), "error": F.lit("query_unavailable")}))
-    none = spark.createDataFrame([], f"{schema}, rows long, error string")
-    return reduce(DataFrame.unionByName, out, none).withColumn("at", utc_moment(now))
+            return None, "query_unavailable"
+        except Exception:
+            return None, "query_timeout" if late.is_set() else "query_failed"
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        got = list(pool.map(one, rules))
+    out = [(*tuple(r)[:4], *result) for r, result in zip(rules, got)]
+    return spark.createDataFrame(out, "organization_id string, rule_id string, minimum long, consecutive long, rows long, error string").withColumn("at", utc_moment(now))
 
 
 INCIDENT_COLUMNS = [*_RULE, "number", "state", "count", "silenced_until", "updated_at"]

@@ -114,3 +114,26 @@ def test_otlp_severity_names_and_bounds(spark):
     payload = json.dumps({"resourceLogs": [{"resource": {}, "scopeLogs": [{"scope": {}, "logRecords": bodies}]}]})
     got = [r["severity"] for r in otlp_logs(spark.createDataFrame([(payload,)], "payload string")).collect()]
     assert sorted(got) == sorted(["SEVERITY_NUMBER_INFO", "SEVERITY_NUMBER_INFO3", "30", "SEVERITY_NUMBER_TRACE"])
+
+
+def test_one_rule_that_fails_or_hangs_leaves_the_others_alone(spark):
+    data = logs(spark, [(m, "a", request("/x", 500)) for m in (1, 2, 3)])
+    broken = data.withColumn("name", F.when(F.col("name") == "request", F.raise_error(F.lit("unreadable"))).otherwise(F.col("name")))
+    table = rules(spark, [("o", r, q, 1, 1, 60, True, NOW) for r, q in (("good", "q"), ("failing", "f"), ("gone", "none"))])
+    saved = {("o", "q"): (SavedQuery.of("q", "logs | where status >= 500 | summarize count() by status"), ORG), ("o", "f"): (SavedQuery.of("f", 'logs | where name == "request"'), ORG)}
+    got = {r["rule_id"]: (r["rows"], r["error"]) for r in alerts.evaluated(table, saved, broken, NOW).collect()}
+    assert got == {"good": (1, None), "failing": (None, "query_failed"), "gone": (None, "query_unavailable")}
+    wait = F.udf(lambda name: (time.sleep(20), name)[1])
+    slow = data.withColumn("name", wait("name"))
+    got = {r["rule_id"]: (r["rows"], r["error"]) for r in alerts.evaluated(table, saved, slow, NOW, seconds=4).collect()}
+    assert got == {"good": (1, None), "failing": (None, "query_timeout"), "gone": (None, "query_unavailable")}
+
+
+def test_rules_are_claimed_by_one_run_only(spark, tmp_path):
+    folder = str(tmp_path / "rules")
+    alerts.store_rules(rules(spark, [("o", "a", "q", 1, 1, 60, True, NOW), ("o", "b", "q", 1, 1, 60, True, NOW + timedelta(minutes=5))]), folder)
+    (tmp_path / "rules" / "mark-1").touch()  # another run has just taken version 0 and is about to write version 1
+    assert alerts.claim(spark, folder, NOW).count() == 0
+    assert [r["rule_id"] for r in alerts.claim(spark, folder, NOW, stale_seconds=-1).collect()] == ["a"]  # that run broke
+    assert alerts.claim(spark, folder, NOW).count() == 0 and alerts.claim(spark, folder, NOW + timedelta(seconds=60)).count() == 1
+    assert sorted(r["rule_id"] for r in alerts.claim(spark, folder, NOW + timedelta(minutes=6)).collect()) == ["a", "b"]
