@@ -178,10 +178,14 @@ def projection_lag(segments: DataFrame) -> DataFrame:
 
 
 def fair_pending(segments: DataFrame, each: int = 16, bytes_each: int = 32 << 20) -> DataFrame:
-    """The next work: the oldest pending segments of every organization, up to ``each`` and ``bytes_each`` of them."""
+    """The next work: the oldest pending segments of every organization, up to ``each`` and ``bytes_each`` of them.
+
+    The count comes first, so that Spark cuts each task's rows to ``each`` an organization before they meet.
+    """
     order = Window.partitionBy("organization_id").orderBy("committed_at", "digest")
-    placed = segments.where(~F.col("projected")).withColumns({"turn": F.row_number().over(order), "_sum": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return placed.where((F.col("turn") <= each) & ((F.col("_sum") <= bytes_each) | (F.col("turn") == 1))).drop("_sum")
+    oldest = segments.where(~F.col("projected")).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= each)
+    placed = oldest.withColumn("_sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.where((F.col("_sum") <= bytes_each) | (F.col("turn") == 1)).drop("_sum")
 
 
 def quota_problems(usage: DataFrame) -> DataFrame:

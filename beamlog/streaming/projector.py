@@ -123,7 +123,7 @@ class Projection:
     def _commit(self, state: DataFrame) -> None:
         """The next snapshot, whole or not at all; older ones but the last go."""
         n = self._snapshot()
-        state.select(*STATE.fieldNames()).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/n-{n + 1}")
+        state.select(*STATE.fieldNames()).hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/state/n-{n + 1}")
         path, files = self._path(f"state/n-{n - 1}")
         files.delete(path, True)
 
