@@ -124,8 +124,9 @@ class Projection:
         """The next snapshot, whole or not at all; older ones but the last go."""
         n = self._snapshot()
         state.select(*STATE.fieldNames()).hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/state/n-{n + 1}")
-        path, files = self._path(f"state/n-{n - 1}")
-        files.delete(path, True)
+        for old in (f"state/n-{n - 1}", f"begun/admission-{n - 1}", f"begun/pass-{n - 1}"):
+            path, files = self._path(old)
+            files.delete(path, True)
 
     def _first_time(self, what: str) -> bool:
         """Whether this step begins for the first time; a step that a crash has cut off begins again."""
@@ -576,7 +577,7 @@ def stream_incidents(evaluations: DataFrame, minimum: int, consecutive: int) ->
 
     def step(key, frames, state: GroupState):
         number, name, count, until = state.get if state.exists else (0, "none", 0, None)
-        incident = None if name == "none" else Incident(number, name, count, None if until is None else datetime.fromtimestamp(until / 1e6))
+        incident = None if name == "none" else Incident(number, name, count, None if until is None else datetime.fromtimestamp(until / 1e6, timezone.utc).replace(tzinfo=None))
         out = []
         for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
             at = r.at.to_pydatetime()
@@ -592,7 +593,7 @@ def stream_incidents(evaluations: DataFrame, minimum: int, consecutive: int) ->
             if event:
                 out.append((key[0], int(number), r.at, event, incident.state if incident else "none"))
         late = incident.silenced_until if incident else None
-        state.update((int(number), incident.state if incident else "none", incident.count if incident else 0, None if late is None else int(late.timestamp() * 1e6)))
+        state.update((int(number), incident.state if incident else "none", incident.count if incident else 0, None if late is None else int(late.replace(tzinfo=timezone.utc).timestamp() * 1e6)))
         yield pd.DataFrame(out, columns=["rule_id", "number", "at", "event", "state"])
 
     return rows.groupBy("rule_id").applyInPandasWithState(step, "rule_id string, number long, at timestamp, event string, state string", "number long, state string, count long, silenced_until long", "append", "NoTimeout")
