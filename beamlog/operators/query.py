@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.histogram import bucket as magnitude
@@ -22,13 +24,17 @@ PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 @dataclass(frozen=True)
 class Result:
-    """``rows`` are ordered and limited; ``full`` has every row, ordered columns in ``order`` included."""
+    """``rows`` are ordered and limited; ``full`` has every row, ordered columns in ``order`` included.
+
+    ``seen`` counts, in the first run of either, the rows that passed the filters (matched_rows).
+    """
 
     rows: DataFrame
     full: DataFrame
     columns: list[str]
     order: list[Column]
     plan: Plan
+    seen: Observation | None = None
 
     def truncated(self) -> bool:
         """Whether the limit cut rows: one row more than it exists."""
@@ -225,18 +231,18 @@ def project(rows: DataFrame, query: Query, registry: Registry) -> DataFrame:
     return rows.select(*cells, F.col("timestamp").alias("_timestamp"), "source_id", "stream_id", "sequence", "record_index")
 
 
-def finish(full: DataFrame, planned: Plan) -> Result:
+def finish(full: DataFrame, planned: Plan, seen: Observation | None = None) -> Result:
     query, columns = planned.query, result_columns(planned.query)
     if query.summary:
         keys = [c for c in columns if c not in {a.alias for a in query.summary.aggregates}]
         full = full.withColumn("_order", group_key(keys))
     order, _ = ordering(query)
     quoted = [F.col(f"`{c}`") for c in columns]
-    return Result(full.orderBy(*order).limit(query.limit).select(*quoted), full, columns, order, planned)
+    return Result(full.orderBy(*order).limit(query.limit).select(*quoted), full, columns, order, planned, seen)
 
 
-def run(observations: DataFrame, query: Query, scope: Scope, now: datetime, registry: Registry | None = None, sensitive: bool = False, cold: DataFrame | None = None, planned: Plan | None = None) -> Result:
-    """The exact row path, over hot observations and, where given, cold ones.
+def run(observations: DataFrame, query: Query, scope: Scope, now: datetime, registry: Registry | None = None, sensitive: bool = False, cold: DataFrame | None = None, planned: Plan | None = None, seen: Observation | None = None) -> Result:
+    """The exact row path, over hot observations and, where given, cold ones. ``seen`` (see Result) costs no scan of its own.
 
     Fields that ``registry`` says are stored in columns are read from these where the hot table has them; cold rows get them first.
     """
@@ -248,8 +254,10 @@ def run(observations: DataFrame, query: Query, scope: Scope, now: datetime, regi
         stored = {c: field_value(raw.describe(query.signal, name)) for (signal, name), c in registry.columns.items() if signal == query.signal}
         rows = rows.unionByName(scan(cold, query.signal, scope, query.window, now).withColumns(stored), allowMissingColumns=True)
     rows = rows.where(matches(query, registry))
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("matched_rows"))
     full = summarize(rows, query, registry) if query.summary else project(rows, query, registry)
-    return finish(full, planned)
+    return finish(full, planned, seen)
 
 
 def ranked(result: Result) -> DataFrame:
@@ -267,7 +275,7 @@ def statistics(observations: DataFrame, query: Query, scope: Scope, now: datetim
 
 
 def within_budget(observations: DataFrame, planned: Plan, now: datetime, registry: Registry | None = None) -> dict:
-    """Scan statistics of a plan, or a BudgetError where they exceed its budget."""
+    """Scan statistics of a plan by the bytes of its rows, or a BudgetError where they exceed its budget. A scan of its own; ``answer_within`` needs none."""
     got = statistics(observations, planned.query, planned.scope, now, registry).first().asDict()
     _check_bytes(got["scanned_bytes"] or 0, planned)
     return got
@@ -278,35 +286,82 @@ def _check_bytes(scanned: int, planned: Plan) -> None:
         raise BudgetError(f"{scanned} scanned bytes exceed the budget of {planned.budget.scanned_bytes}")
 
 
-def collect_within(result: Result) -> tuple[list[Row], bool]:
-    """The result's rows and whether the limit cut any, in one run under the plan's budget.
+@dataclass(frozen=True)
+class Answer:
+    """Collected rows, whether the limit cut any, and what the run read: records and bytes of its scans, rows that passed the filters."""
 
-    The run's jobs carry a tag, and a timer interrupts them when the budget's seconds are over. One row more than
-    the limit is asked for. Rows whose texts take more than the budget's memory are refused.
-    """
-    planned, context, tag = result.plan, result.full.sparkSession.sparkContext, f"budget-{uuid.uuid4().hex}"
-    late = threading.Event()
+    rows: list[Row]
+    truncated: bool
+    scanned_rows: int
+    scanned_bytes: int
+    matched_rows: int | None
+
+
+#: Seconds between two looks at what a running query has read.
+LOOK_SECONDS = 0.1
 
-    def stop() -> None:
-        late.set()
-        context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(planned.budget.seconds, stop)
+def read_so_far(context: SparkContext, tag: str) -> tuple[int, int]:
+    """Records and bytes that the stages of the jobs with this tag have read from storage, as far as tasks have told."""
+    inner = context._jsc.sc()
+    tracker, store, stages = inner.statusTracker(), inner.statusStore(), set()
+    for job in tracker.getJobIdsForTag(tag):
+        info = tracker.getJobInfo(job)
+        if info.isDefined():
+            stages.update(info.get().stageIds())
+    known = [stage for stage in stages if tracker.getStageInfo(stage).isDefined()]
+    attempts = [store.lastStageAttempt(stage) for stage in known]
+    return sum(a.inputRecords() for a in attempts), sum(a.inputBytes() for a in attempts)
+
+
+def answer_within(result: Result) -> Answer:
+    """Runs a result once under its plan's budget.
+
+    The run's jobs carry a tag. A watcher looks at what their tasks have read so far and cancels them when the
+    budget's seconds are over or its bytes are exceeded, so a query too large stops soon after it has read as much
+    as it may. One row more than the limit is asked for. Rows whose texts take more than the budget's memory are refused.
+    """
+    planned, context, tag = result.plan, result.full.sparkSession.sparkContext, f"budget-{uuid.uuid4().hex}"
+    budget, until = planned.budget, time.monotonic() + planned.budget.seconds
+    done, why = threading.Event(), []
+
+    def watch() -> None:
+        while not done.wait(max(0.0, min(LOOK_SECONDS, until - time.monotonic()))):
+            if time.monotonic() >= until:
+                why.append(f"the query took longer than {budget.seconds} s")
+            else:
+                scanned = read_so_far(context, tag)[1]
+                if scanned > budget.scanned_bytes:
+                    why.append(f"{scanned} scanned bytes exceed the budget of {budget.scanned_bytes}")
+            if why:
+                return context.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
     context.addJobTag(tag)
-    timer.start()
+    watcher.start()
     try:
         rows = result.full.orderBy(*result.order).limit(planned.query.limit + 1).select(*[F.col(f"`{c}`") for c in result.columns]).collect()
     except Exception as e:
-        if late.is_set():
-            raise BudgetError(f"the query took longer than {planned.budget.seconds} s") from e
+        if why:
+            raise BudgetError(why[0]) from e
         raise
     finally:
-        timer.cancel()
+        done.set()
+        watcher.join()
         context.removeJobTag(tag)
+    context._jsc.sc().listenerBus().waitUntilEmpty()  # the last tasks' figures are on their way
+    records, scanned = read_so_far(context, tag)
+    _check_bytes(scanned, planned)
     size = sum(len(str(v)) for r in rows for v in r if v is not None)
-    if size > planned.budget.memory_bytes:
-        raise BudgetError(f"a result of {size} bytes exceeds the budget of {planned.budget.memory_bytes}")
-    return rows[: planned.query.limit], len(rows) > planned.query.limit
+    if size > budget.memory_bytes:
+        raise BudgetError(f"a result of {size} bytes exceeds the budget of {budget.memory_bytes}")
+    return Answer(rows[: planned.query.limit], len(rows) > planned.query.limit, records, scanned, result.seen.get.get("matched_rows", 0) if result.seen else None)
+
+
+def collect_within(result: Result) -> tuple[list[Row], bool]:
+    """The rows of ``answer_within`` and whether the limit cut any."""
+    answer = answer_within(result)
+    return answer.rows, answer.truncated
 
 
-__all__ = ["Result", "collect_within", "finish", "matches", "predicate", "ranked", "referenced", "run", "scan", "statistics", "summarize", "with_percentiles", "within_budget"]
+__all__ = ["Answer", "Result", "answer_within", "collect_within", "finish", "matches", "predicate", "ranked", "referenced", "run", "scan", "statistics", "summarize", "with_percentiles", "within_budget"]

@@ -2,12 +2,13 @@ import time
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beamlog.operators import alerts
 from beamlog.operators.lifecycle import proposals, segment_statistics
-from beamlog.operators.query import Result, collect_within, run
+from beamlog.operators.query import Result, answer_within, collect_within, run
 from beamlog.operators.views import SavedQuery
 from beamlog.plans.fields import Descriptor, Registry
 from beamlog.plans.language import parse
@@ -93,6 +94,34 @@ def test_budgets_act(spark):
     assert time.time() - begin < 20
 
 
+def test_bytes_are_watched_while_a_query_runs(spark, tmp_path):
+    """A scan of many files is stopped once its tasks have read what the budget allows; a run tells what it read, without a scan of its own."""
+    data = logs(spark, [(m / 10, "a", request(f"/{m % 7}", 500 + m % 3)) for m in range(1, 401)])
+    for k in range(24):
+        data.coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    query = parse("logs | where status == 501 | window 1h | sort duration desc | limit 5")
+    seen = Observation("seen")
+    got = answer_within(run(stored, query, ORG, NOW, seen=seen))
+    assert len(got.rows) == 5 and got.truncated and got.matched_rows == 24 * 134 and got.scanned_rows == 24 * 400 and got.scanned_bytes > 0
+    none = answer_within(run(stored.limit(0), query, ORG, NOW, seen=Observation("none")))
+    assert none.rows == [] and not none.truncated and none.matched_rows == 0
+    wait = F.udf(lambda s: time.sleep(0.01) or s)  # 4 s a file, one file a task
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        whole = parse("logs | limit 5")
+        few = plan(whole, ORG, budget=Budget(seconds=300, scanned_bytes=got.scanned_bytes // 12))
+        begin = time.time()
+        with pytest.raises(BudgetError, match="scanned bytes"):
+            answer_within(run(stored.withColumn("name", wait("name")), whole, ORG, NOW, planned=few))
+        assert time.time() - begin < 16  # 24 files over 4 cores take 24 s
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    small = plan(query, ORG, budget=Budget(scanned_bytes=10))
+    with pytest.raises(BudgetError, match="scanned bytes"):
+        answer_within(run(stored, query, ORG, NOW, planned=small))
+
+
 def test_rejected_fields_and_one_proposal_a_segment(spark):
     data = logs(spark, [(1, "a", {"x": "1", "y": "a"}), (2, "a", {"x": "2.5"})])
     none = data.limit(0)
