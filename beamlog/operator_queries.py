@@ -168,11 +168,11 @@ _BUILDER = """SELECT 'logs | where route == "/a\\u007cb" | where status >= "500"
  'logs | where route == "/a\\u007cb" | where status >= "500" | window 24h | summarize count() by route, window(5m) | sort count desc | limit 100' AS rendered"""
 
 
-def _batches(spark, d) -> DataFrame:
-    """Metrics of each source stream as batches of records."""
-    record = F.struct(*[F.col(f.name) for f in ingest.m.RECORD])
-    return _metrics(spark, d).groupBy("source_id", "stream_id", "sequence").agg(F.array_sort(F.collect_list(F.struct("record_index", record.alias("r"))), lambda a, b: a["record_index"] - b["record_index"]).alias("x")).select(
-        F.lit(1).alias("version"), "source_id", "stream_id", "sequence", F.lit(f"{NOW}+00:00").cast("timestamp").alias("observed_at"), F.lit("metrics").alias("signal"), F.transform("x", lambda e: e["r"]).alias("records"))
+def _batches(spark, d, observed: DataFrame | None = None, signal: str = "metrics") -> DataFrame:
+    """Rows of a signal (metrics, where none are given) as batches of records, one a source stream and number."""
+    record, observed = F.struct(*[F.col(f.name) for f in ingest.m.RECORD]), _metrics(spark, d) if observed is None else observed
+    return observed.groupBy("source_id", "stream_id", "sequence").agg(F.array_sort(F.collect_list(F.struct("record_index", record.alias("r"))), lambda a, b: a["record_index"] - b["record_index"]).alias("x")).select(
+        F.lit(1).alias("version"), "source_id", "stream_id", "sequence", F.lit(f"{NOW}+00:00").cast("timestamp").alias("observed_at"), F.lit(signal).alias("signal"), F.transform("x", lambda e: e["r"]).alias("records"))
 
 
 def flatten_batches(spark, d):

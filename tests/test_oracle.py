@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from beamlog import operator_queries, queries
+from beamlog import operator_queries, queries, streaming_queries
 from beamlog.operators.query import ranked, run
 from beamlog.oracle import query_sql
 from beamlog.plans.language import Aggregate, Filter, Query, Sort, Summary, validate
@@ -12,8 +12,8 @@ from beamlog.sources.adapters import NOW, observations
 
 from .oracle_tools import SF_DIR, database, rows_of, rows_of_sql
 
-KNOWN = queries.queries() | operator_queries.queries()
-SQL = queries.oracle_sql() | operator_queries.oracle_sql()
+KNOWN = queries.queries() | operator_queries.queries() | streaming_queries.queries()
+SQL = queries.oracle_sql() | operator_queries.oracle_sql() | streaming_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
