@@ -157,19 +157,19 @@ def with_percentiles(rows: DataFrame, by: list[str], plain: dict[int, tuple[str,
 
     Each row counts once for every ranked column, and for the plain aggregates with the first one. With ``split``, a
     group's values are never together: counts of magnitudes tell which one holds each percentile, counts of equal
-    slices of its range tell which slice does, and only that slice's values are put in order.
+    slices of its range tell which slice does, and only that slice's values are put in order. The rows are read once
+    for the percentiles and once for the plain aggregates.
     """
     ranked = sorted({c for c, _ in shares.values()})
     several = len(ranked) > 1
     first = F.col("_f") == 0 if several else F.lit(True)
-    parts, again, finals = {}, {}, {}
+    parts, finals = {}, {}
     for i, (f, c) in plain.items():
         if f in ("count", "avg"):
             parts[f"_p{i}n"] = F.count(F.when(first, F.lit(1) if f == "count" else F.col(c)))
-            again[f"_p{i}n"] = F.sum(f"_p{i}n")
         if f != "count":
             whole = {"min": F.min, "max": F.max, "sum": F.sum, "avg": F.sum}[f]
-            parts[f"_p{i}"], again[f"_p{i}"] = whole(F.when(first, F.col(c))), whole(f"_p{i}")
+            parts[f"_p{i}"] = whole(F.when(first, F.col(c)))
         finals[i] = F.sum(f"_p{i}n") if f == "count" else F.try_divide(F.sum(f"_p{i}"), F.sum(f"_p{i}n")) if f == "avg" else {"min": F.min, "max": F.max, "sum": F.sum}[f](f"_p{i}")
     used = sorted({c for _, c in plain.values() if c})
     own = [*by, "_f"] if several else by
@@ -179,20 +179,24 @@ def with_percentiles(rows: DataFrame, by: list[str], plain: dict[int, tuple[str,
     else:
         flat = rows.select(*by, *used, F.col(ranked[0]).alias("_x"))
     counted = F.when(F.col("_x").isNotNull(), F.col("_c")).otherwise(0)
-    fine = flat.groupBy(*own, "_x").agg(F.count(F.lit(1)).alias("_c"), *[p.alias(n) for n, p in parts.items()])
     of = lambda c: F.col("_f") == ranked.index(c) if several else F.lit(True)
     rank = lambda share: F.ceil(F.lit(share) * F.col("_all"))
     upto = lambda keys, order, n: F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     plains = [v.alias(f"_a{i}") for i, v in finals.items()]
     if not split:
+        fine = flat.groupBy(*own, "_x").agg(F.count(F.lit(1)).alias("_c"), *[p.alias(n) for n, p in parts.items()])
         placed = fine.withColumns({"_all": F.sum(counted).over(Window.partitionBy(*own)), "_upto": upto(own, "_x", counted)})
         reached = lambda c, share: F.min(F.when(of(c) & (F.col("_upto") >= rank(share)), F.col("_x")))
         return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *plains, *[reached(c, share).alias(f"_a{i}") for i, (c, share) in shares.items()])
-    fine = fine.withColumn("_b", magnitude(F.col("_x")))
-    coarse = fine.groupBy(*own, "_b").agg(F.sum(counted).alias("_s"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count(F.lit(1)).alias("_m"), *[v.alias(n) for n, v in again.items()])  # some ten thousand magnitudes a group at most
-    groups = coarse.groupBy(*by).agg(F.sum("_m").alias("_n"), *plains)
+    # The counts below are one shuffle, read by all that follows: no filter and no other aggregate may differ between its readers.
+    fine = flat.select(*own, "_x").groupBy(*own, "_x").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", magnitude(F.col("_x")))
+    coarse = fine.groupBy(*own, "_b").agg(F.sum(counted).alias("_s"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_c").alias("_m"))  # some ten thousand magnitudes a group at most
+    if plain:
+        groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[aggregate(f, F.col(c) if c else None).alias(f"_a{i}") for i, (f, c) in plain.items()])
+    else:
+        groups = coarse.groupBy(*by).agg(F.sum("_m").alias("_n")).where("_n > 0")  # every group; the counts are asked for, so that the shuffle stays the same
     asked = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), rank(share).alias("_rank"), of(c).alias("_own")) for i, (c, share) in shares.items()])).alias("_q")
-    placed = coarse.where("_b is not null").withColumns({"_all": F.sum("_s").over(Window.partitionBy(*own)), "_upto": upto(own, "_b", "_s")})
+    placed = coarse.withColumns({"_all": F.sum("_s").over(Window.partitionBy(*own)), "_upto": upto(own, "_b", "_s")})
     held = placed.select(*own, "_b", "_low", "_high", "_s", "_upto", asked).where("_q._own and _q._rank <= _upto and _q._rank > _upto - _s")
     held = held.select(*own, "_b", "_low", "_high", F.col("_q._i").alias("_i"), (F.col("_q._rank") - F.col("_upto") + F.col("_s")).alias("_rank"))
     near = fine.alias("l").join(held.alias("r"), _same("l", "r", [*own, "_b"])).select(*[F.col(f"l.{k}") for k in by], "l._x", "l._c", "r._i", "r._rank", "r._low", "r._high")

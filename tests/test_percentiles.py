@@ -60,3 +60,23 @@ def test_the_plan_splits_large_inputs_only(spark, monkeypatch):
     monkeypatch.setattr(q, "SPLIT_BYTES", 0)
     large = q.run(logs, parse(text), ORG, NOW).rows
     assert sorted(map(str, large.collect())) == small and "_slice" in large._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_inputs_are_read_twice_at_most(spark, monkeypatch):
+    """Once for the percentiles, whose steps share one shuffle, and once for the plain aggregates."""
+    from beamlog.plans.language import parse
+    from beamlog.queries import ORG
+    from beamlog.sources.adapters import NOW, observations
+
+    from .oracle_tools import SF_DIR
+    monkeypatch.setattr(q, "SPLIT_BYTES", 0)
+    context, logs = spark.sparkContext, observations(spark, SF_DIR, "logs")
+    for text, times in (("logs | summarize p95(duration), p50(duration) by route", 1), ("logs | summarize count(), avg(status), p50(status)", 2)):
+        tag = f"reads-{times}"
+        context.addJobTag(tag)
+        try:
+            q.run(logs, parse(text), ORG, NOW).rows.collect()
+        finally:
+            context.removeJobTag(tag)
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        assert q.read_so_far(context, tag)[0] <= times * spark.read.parquet(f"{SF_DIR}/events.parquet").count()
