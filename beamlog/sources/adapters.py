@@ -26,9 +26,13 @@ def _identity(user: Column, row: Column) -> dict[str, Column]:
     }
 
 
-def _observed(df: DataFrame, signal: str, identity: dict[str, Column], values: dict[str, Column], attributes: dict[str, Column]) -> DataFrame:
-    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in attributes.items()]), lambda e: e["v"].isNotNull())
-    every = identity | {"signal": F.lit(signal), "attributes": F.map_from_entries(entries)} | values
+def _observed(df: DataFrame, signal: str, identity: dict[str, Column], values: dict[str, Column], attributes, of: Column | None = None) -> DataFrame:
+    """``attributes`` makes the attributes of ``of``, which is worked out once a row wherever the optimizer puts the map.
+
+    A column of ``df`` that has the name of a field is given with the table's: in a function it would be the field.
+    """
+    entries = lambda x: F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in attributes(x).items()]), lambda e: e["v"].isNotNull())
+    every = identity | {"signal": F.lit(signal), "attributes": F.element_at(F.transform(F.array(F.lit(None) if of is None else of), lambda x: F.map_from_entries(entries(x))), 1)} | values
     return df.select(*[every.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in OBSERVATION])
 
 
@@ -43,37 +47,37 @@ def _k() -> Column:
 
 
 def event_logs(events: DataFrame) -> DataFrame:
-    return _observed(events, "logs", _identity(F.col("user_id"), F.col("event_id")), {
+    return _observed(events.alias("event"), "logs", _identity(F.col("user_id"), F.col("event_id")), {
         "timestamp": utc("ts"), "name": F.lit("http.server.request"),
         "severity": F.when(F.col("event_type") == "error", "error").otherwise("information"),
         "trace_id": F.lpad(F.lower(F.hex("event_id")), 32, "0"),
-    }, {
+    }, lambda k: {
         # A few rows have no route, an empty one, or a status or duration that is not a number.
-        "http.route": F.when(_k() % 10 == 7, None).when(_k() % 10 == 8, "").otherwise(F.concat(F.lit("/"), F.col("event_type"))),
-        "http.status_code": F.when(_k() == 99, "not-a-number").when(_k() == 98, "500suffix").otherwise((F.lit(200) + 4 * _k()).cast("string")),
-        "duration_ns": F.when(_k() == 97, "invalid").otherwise(F.round(F.col("value") * 1_000_000).cast("bigint").cast("string")),
+        "http.route": F.when(k % 10 == 7, None).when(k % 10 == 8, "").otherwise(F.concat(F.lit("/"), F.col("event_type"))),
+        "http.status_code": F.when(k == 99, "not-a-number").when(k == 98, "500suffix").otherwise((F.lit(200) + 4 * k).cast("string")),
+        "duration_ns": F.when(k == 97, "invalid").otherwise(F.round(F.col("event.value") * 1_000_000).cast("bigint").cast("string")),
         "user.id": F.col("user_id").cast("string"),
-        "cached": F.when(_k() % 3 == 0, "true").when(_k() % 3 == 1, "F").otherwise("yes"),
-    })
+        "cached": F.when(k % 3 == 0, "true").when(k % 3 == 1, "F").otherwise("yes"),
+    }, _k())
 
 
 def event_metrics(events: DataFrame) -> DataFrame:
     return _observed(events, "metrics", _identity(F.col("user_id"), F.col("event_id")), {
         "timestamp": utc("ts"), "name": F.concat(F.lit("events."), F.col("event_type")), "value": F.col("value"),
-    }, {"state": F.col("event_type"), "user.id": F.col("user_id").cast("string")})
+    }, lambda _: {"state": F.col("event_type"), "user.id": F.col("user_id").cast("string")})
 
 
 def lineitem_traces(lineitem: DataFrame) -> DataFrame:
     return _observed(lineitem, "traces", _identity(F.col("l_suppkey"), F.col("l_orderkey") * 8 + F.col("l_linenumber")), {
         "timestamp": utc("l_shipdate"), "name": F.lit("lineitem"), "value": F.col("l_quantity"),
         "trace_id": F.lpad(F.lower(F.hex("l_orderkey")), 32, "0"), "span_id": F.lpad(F.lower(F.hex(F.col("l_orderkey") * 8 + F.col("l_linenumber"))), 16, "0"),
-    }, {"returnflag": F.col("l_returnflag")})
+    }, lambda _: {"returnflag": F.col("l_returnflag")})
 
 
 def order_deployments(orders: DataFrame) -> DataFrame:
     return _observed(orders, "deployments", _identity(F.col("o_custkey"), F.col("o_orderkey")), {
         "timestamp": utc("o_orderdate"), "name": F.lit("deployment"), "correlation_id": F.col("o_orderkey").cast("string"),
-    }, {"deployment.outcome": F.col("o_orderstatus")})
+    }, lambda _: {"deployment.outcome": F.col("o_orderstatus")})
 
 
 def observations(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
