@@ -33,7 +33,7 @@ def flatten(batches: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     if scopes is None:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in m.SCOPE})
     else:
-        rows = rows.join(scopes.select("source_id", *m.SCOPE), "source_id")
+        rows = rows.join(F.broadcast(scopes.select("source_id", *m.SCOPE)), "source_id")  # by source alone all rows of one would meet in a task
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in m.OBSERVATION])
 
 

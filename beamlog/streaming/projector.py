@@ -244,7 +244,7 @@ class Projection:
     def catalogue(self) -> DataFrame:
         """What is known of each raw segment without its content: scope, span of time, whether it is projected, and its tier."""
         done = self.ledger().select("digest", F.lit(True).alias("projected")).distinct()
-        facts = self.segments().select(*KEY, "digest", "signal", "records", "bytes", "first_observed", "last_observed").join(self.scopes.select("source_id", "organization_id"), "source_id")
+        facts = self.segments().select(*KEY, "digest", "signal", "records", "bytes", "first_observed", "last_observed").join(F.broadcast(self.scopes.select("source_id", "organization_id")), "source_id")
         return facts.join(self.tiers().select("digest", "tier"), "digest", "left").join(done, "digest", "left").withColumns({"tier": F.coalesce("tier", F.lit("hot")), "projected": F.coalesce("projected", F.lit(False))})
 
     def cold(self, signal: str, organization: str, since: Column | None = None) -> DataFrame:
@@ -274,7 +274,7 @@ class Projection:
     def _admit(self, batches: DataFrame, epoch: int, automatic: bool, again: bool = False) -> None:
         held = [batches]
         try:
-            known = self.scopes.select("source_id", "organization_id")
+            known = F.broadcast(self.scopes.select("source_id", "organization_id"))
             heads = self.watermarks()
             ours = batches.join(known, "source_id", "left_semi")
             if automatic:
@@ -428,7 +428,7 @@ class Projection:
         """Projects the hot segments of ``ledger`` that the new version lacks."""
         have = self._read("loaded", _LOADED).where(F.col("version") == started.version).select(*KEY)
         ours = self.scopes if started.organization is None else self.scopes.where(F.col("organization_id") == started.organization)
-        todo = ledger.select(*KEY, "digest").join(ours.select("source_id"), "source_id", "left_semi").join(have, KEY, "left_anti").join(self._gone(), KEY, "left_anti").persist()
+        todo = ledger.select(*KEY, "digest").join(F.broadcast(ours.select("source_id")), "source_id", "left_semi").join(have, KEY, "left_anti").join(self._gone(), KEY, "left_anti").persist()
         try:
             batches, _ = parsed_segments(self.segments().join(todo.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
             self._project(batches, False, started.version)

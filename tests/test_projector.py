@@ -174,3 +174,18 @@ def test_streams_of_lines_and_tumbling_counts(spark, tmp_path):
 def test_byte_cut_is_whole_characters(spark, text, kept):
     from beamlog.functions.typed import cut_bytes
     assert spark.createDataFrame([(text,)], "t string").select(cut_bytes(F.col("t"), 5)).first()[0] == kept
+
+
+def test_rows_of_one_source_do_not_meet_in_a_task(spark):
+    """The scope is looked up without a shuffle by source, of which there may be one alone."""
+    from beamlog import model as m
+    scopes = spark.createDataFrame([("s", "org", "p", "e", "v")], "source_id string, organization_id string, project_id string, environment_id string, service_id string")
+    text = F.concat(F.lit('{"source_id": "s", "records": [{"name": "n"}], "sequence": '), F.col("id").cast("string"), F.lit("}"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with batches and scopes of unknown size
+    try:
+        rows = flatten(spark.range(4).select(F.from_json(text, m.BATCH).alias("b")).select("b.*"), scopes)
+        assert "hashpartitioning(source_id" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.sequence, r.organization_id) for r in rows.collect()) == [(k, "org") for k in range(4)]
