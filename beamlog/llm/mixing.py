@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, hashable, n_words, stored
+from .common import free_name, hashable, n_words, ship, stored
 
 MAX_RATE = 3.0
 TOLERANCE = 1e-9
@@ -55,45 +58,42 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, max_rate: float = MAX_R
 
     These rates are the entropy-balancing solution: nearest to one copy of everything in relative entropy,
     within the rate limit, under the token constraint of every source. The dual is convex and its Hessian is
-    diagonal over sources, so every step is one grouped sum over the (source, size) histogram; steps that
-    leave the bracket of the root fall back to its middle. Sources at their cap need no tilt (all rates are
+    diagonal over sources, so each source is solved by itself from its part of the (source, size) histogram, at most
+    one row per size, whatever the number of documents. Sources at their cap need no tilt (all rates are
     max_rate), sources without tokens keep one copy.
     """
-    hist = sizes.where("size > 0")
-    documents, g = hist.groupBy("source").agg(F.sum("n").alias("m")).alias("c"), targets.alias("g")
-    capped = F.col("target") >= max_rate * F.col("source_size") * (1 - 1e-12)
-    start = documents.join(g, F.col("c.source").eqNullSafe(F.col("g.source"))).select(
-        "c.source", "source_size", "target", (F.col("source_size") / F.col("m")).alias("mean"), F.lit(0.0).alias("tilt"),
-        F.lit(-1e3).alias("low"), F.lit(1e3).alias("high"), capped.alias("done"))
-    lam = stored(start, "tilts")
+    h, g = sizes.where("size > 0").alias("h"), targets.alias("g")
+    hist = h.join(g, F.col("h.source").eqNullSafe(F.col("g.source"))).select("h.source", F.col("h.size").cast("double").alias("size"), F.col("h.n").cast("double").alias("n"), F.col("source_size").cast("double").alias("source_size"), "target")
+    schema = T.StructType([sizes.schema["source"], T.StructField("mean", T.DoubleType()), T.StructField("tilt", T.DoubleType()), T.StructField("capped", T.BooleanType()), T.StructField("met", T.BooleanType())])
+
+    def solved(part: pa.Table) -> pa.Table:
+        size, n = (part.column(c).to_numpy() for c in ("size", "n"))
+        order = np.argsort(size)
+        of, target = (part.column(c)[0].as_py() for c in ("source_size", "target"))
+        capped, mean = target >= max_rate * of * (1 - 1e-12), of / n.sum()
+        tilt, met = (0.0, True) if capped else _tilt(size[order], n[order], mean, target, max_rate)
+        return pa.table([part.column("source").slice(0, 1), *[pa.array([x]) for x in (mean, tilt, capped, met)]], names=schema.names)
+
+    ship(sizes.sparkSession)
+    got = stored(hist.groupBy("source").applyInArrow(solved, schema), "tilts")
+    if unmet := got.where("not met").count():
+        warnings.warn(f"the tilts of {unmet} sources have not met their targets in {MAX_STEPS} steps", stacklevel=2)
+    return got.drop("met")
+
+
+def _tilt(size: np.ndarray, n: np.ndarray, mean: float, target: float, max_rate: float) -> tuple[float, bool]:
+    """The tilt of one source and whether it meets the target: Newton steps on the dual; those that leave the bracket of the root fall back to its middle."""
+    x, tokens, tilt, low, high = size / mean, size * n, 0.0, -1e3, 1e3
     for _ in range(MAX_STEPS):
-        # Explicit names keep the null source apart in the equi-join below.
-        h, t = hist.alias("h"), lam.where("not done").alias("t")
-        x = F.col("h.size") / F.col("t.mean")
-        free = F.exp(F.least(F.col("t.tilt") * x, F.lit(50.0)))
-        inside = free < max_rate
-        tokens = F.col("h.size") * F.col("h.n")
-        sums = h.join(t, F.col("h.source").eqNullSafe(F.col("t.source"))).groupBy(F.col("t.source").alias("source")).agg(
-            F.sum(tokens * F.least(free, F.lit(max_rate))).alias("got"), F.sum(F.when(inside, tokens * free * x).otherwise(0.0)).alias("slope"))
-        s = sums.alias("s")
-        lam_ = lam.alias("l")
-        gap = F.col("s.got") - F.col("l.target")
-        low = F.when(gap < 0, F.col("l.tilt")).otherwise(F.col("l.low"))
-        high = F.when(gap > 0, F.col("l.tilt")).otherwise(F.col("l.high"))
-        newton = F.col("l.tilt") - F.try_divide(gap, F.col("s.slope"))  # null where no rate can move
-        step = F.when((F.col("s.slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        met = F.col("l.done") | (F.abs(gap) <= TOLERANCE * F.col("l.target"))
-        lam = stored(
-            lam_.join(s, F.col("l.source").eqNullSafe(F.col("s.source")), "left").select(
-                F.col("l.source").alias("source"), "l.source_size", "l.target", "l.mean",
-                F.when(met, F.col("l.tilt")).otherwise(step).alias("tilt"),
-                F.when(met, F.col("l.low")).otherwise(low).alias("low"), F.when(met, F.col("l.high")).otherwise(high).alias("high"), met.alias("done"),
-            ), "tilts")
-        if not lam.where("not done").head(1):
-            break
-    else:
-        warnings.warn(f"the tilts of {lam.where('not done').count()} sources have not met their targets in {MAX_STEPS} steps", stacklevel=2)
-    return lam.select("source", "mean", "tilt", capped.alias("capped"))
+        free = np.exp(np.minimum(tilt * x, 50.0))
+        gap = (tokens * np.minimum(free, max_rate)).sum() - target
+        if abs(gap) <= TOLERANCE * target:
+            return tilt, True
+        slope = (tokens * free * x)[free < max_rate].sum()  # 0 where no rate can move
+        low, high = tilt if gap < 0 else low, tilt if gap > 0 else high
+        step = tilt - gap / slope if slope > 0 else low
+        tilt = float(step if low < step < high else (low + high) / 2)
+    return tilt, False
 
 
 def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", max_rate: float = MAX_RATE, carry: list[str] | None = None) -> DataFrame:

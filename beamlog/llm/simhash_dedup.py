@@ -159,15 +159,21 @@ def near_links(distinct: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return links
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct ``edges`` (u > v) is either a v, or the u of one edge only: then each v is the least of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("outs"), F.min("out").alias("least"))
+    return not nodes.agg(F.count_if((F.col("outs") > 1) | ((F.col("outs") > 0) & (F.col("least") == 0)))).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): alternating large-star and small-star rounds.
 
     Each round is a grouped minimum and an equi-join; a node's neighbours are never gathered in one row. It
-    ends when a round changes nothing; the number of rounds grows with the logarithm of the longest chain.
+    ends when all edges are stars around their least nodes; the number of rounds grows with the logarithm of the longest chain.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -175,10 +181,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), "small-star")
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def simhash_roots(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -14,6 +14,7 @@ import corpus_pipeline
 from beamlog.llm import language, toxicity
 from beamlog.llm.common import CHUNK_BYTES
 from beamlog.llm.decontamination import benchmark_matches, item_words
+from beamlog.llm import mixing
 from beamlog.llm.mixing import MAX_RATE, balanced_rates, mixed_documents, source_targets
 from beamlog.llm.queries import queries
 from beamlog.llm.simhash_dedup import fingerprints
@@ -64,6 +65,16 @@ def test_mix_of_repeated_rows_and_clashing_names(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
 
 
+def test_tilts_take_one_pass(spark, monkeypatch):
+    """Newton's steps are taken within a source's task: their number is no number of the driver's jobs."""
+    seen, store = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, label: (seen.append(label), store(df, label))[1])
+    sizes = spark.createDataFrame([(s, size, 3 + size % 5) for s in ("a", "b", None) for size in range(1, 40)], "source string, size long, n long")
+    targets = source_targets(sizes).cache()
+    seen.clear()
+    assert balanced_rates(sizes, targets).count() == 3 and seen == ["tilts"]
+
+
 def test_tilts_solve_the_dual(spark):
     rng = random.Random(3)
     cells = [(s, rng.randint(1, 400), rng.randint(1, 9)) for s in ("a", "b", "c", "d", None) for _ in range(30)]

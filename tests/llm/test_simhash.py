@@ -4,6 +4,7 @@ import re
 import pytest
 import xxhash
 
+from beamlog.llm import simhash_dedup
 from beamlog.llm.simhash_dedup import components, near_dedup, near_links, op2_simhash_near_dedup, simhash_components
 
 
@@ -89,3 +90,13 @@ def test_near_dedup_keeps_one_of_each_component_whatever_its_ids(spark):
     docs = [(None, t) for t in nulls] + [(7, t) for t in shared] + [(7, shared[0]), (None, twin), (9, twin + "\n")]
     kept = near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     assert len(kept) == 8 and {tuple(r) for r in kept} == {(None, t) for t in nulls} | {(7, t) for t in shared} | {(9, twin + "\n")}
+
+
+def test_star_rounds_end_when_all_edges_are_stars(spark, monkeypatch):
+    """No round follows the one that leaves stars, so few links take few jobs of the driver."""
+    seen, store = [], simhash_dedup.stored
+    monkeypatch.setattr(simhash_dedup, "stored", lambda df, label: (seen.append(label), store(df, label))[1])
+    stars = spark.createDataFrame([(1, 5), (7, 1), (9, 20), (3, 3)], "a long, b long")
+    assert {(r.node, r.root) for r in components(stars).collect()} == {(5, 1), (7, 1), (20, 9)} and seen == ["edges"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(-4, 40), (40, -9)], "a long, b long")
+    assert {(r.node, r.root) for r in components(chain).collect()} == {*((i, 0) for i in range(1, 7)), (-4, -9), (40, -9)}
