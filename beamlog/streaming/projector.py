@@ -27,7 +27,7 @@ from pyspark.sql.types import StructField, StructType, TimestampType
 from .. import model as m
 from ..functions.typed import bucket_start, utc_date
 from ..operators.lifecycle import Retention, effective, fair_pending, promoted_column, promoted_values, tiers
-from ..operators.rollups import LOG_KEYS, METRIC_KEYS, WIDTH, log_rollup, merge_log_rollups, merge_metric_rollups, metric_rollup
+from ..operators.rollups import LOG_KEYS, METRIC_KEYS, WIDTH, log_rollup, merge_log_rollups, merge_metric_rollups, metric_rollup, segment_metric_rollup
 from ..plans.fields import Descriptor, Registry
 from ..sources.ingest import admissible, admit, batch_digest, content_digest, flatten, numbered
 from ..sources.segments import cold_observations, parsed_segments, raw_segments
@@ -41,12 +41,14 @@ _NUMBER = [(f.name, f.dataType) for f in m.OBSERVATION.fields if f.name in KEY]
 LEDGER = _schema(*_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("epoch", _LONG))
 PROBLEMS = _schema(*_NUMBER, ("digest", _TEXT), ("problem", _TEXT), ("epoch", _LONG))
 #: What the projector keeps between micro-batches: stream heads, used bytes of organizations, and queued segments.
-STATE = _schema(("kind", _TEXT), *_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("organization_id", _TEXT), ("bytes", _LONG), ("signal", _TEXT), ("date", T.DateType()), ("committed_at", TimestampType()), ("queued", _LONG))
+STATE = _schema(("kind", _TEXT), *_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("organization_id", _TEXT), ("bytes", _LONG), ("signal", _TEXT), ("date", T.DateType()), ("committed_at", TimestampType()), ("queued", _LONG), ("slice", _LONG))
 _TIERS = _schema(*_NUMBER, ("digest", _TEXT), ("tier", _TEXT), ("at", _LONG))
 _EXPIRED = _schema(("organization_id", _TEXT), ("signal", _TEXT), ("day", T.DateType()), ("at", _LONG))
 _CURRENT = _schema(("organization_id", _TEXT), ("version", _TEXT), ("at", _LONG))
 _LOADED = _schema(*_NUMBER, ("version", _TEXT))
 _PROMOTED = _schema(("version", _TEXT), ("signal", _TEXT), ("field", _TEXT), ("type", _TEXT))
+#: Segments of a slice of the queue: a folder of its own, in the order in which passes take them, so that a pass reads only slices it takes from.
+SLICE = 512
 ROLLUPS = "rollups"  # the name under which the days of both rollups expire
 
 
@@ -139,7 +141,7 @@ class Projection:
 
     def backlog(self) -> DataFrame:
         """Admitted segments that are not projected yet."""
-        return self.state().where("kind = 'pending'").select(*KEY, "digest", "content_digest", "organization_id", "bytes", "signal", "date", "committed_at", "queued")
+        return self.state().where("kind = 'pending'").select(*KEY, "digest", "content_digest", "organization_id", "bytes", "signal", "date", "committed_at", "queued", "slice")
 
     def usage(self) -> DataFrame:
         """Bytes of raw segments that each organization has."""
@@ -330,8 +332,8 @@ class Projection:
             new = raw.join(self._read("segments", raw.schema).select("digest"), "digest", "left_anti") if again else raw
             self._write(new, f"{self.root}/segments")
             number = self._snapshot() + 1
-            raw.write.mode("overwrite").parquet(f"{self.root}/queue/n-{number}")  # a copy that passes read, apart from all that is there
-            facts = raw.select(*KEY, "digest", "bytes", "signal", "date", F.lit(number).cast("long").alias("queued")).join(fresh.select(*KEY, "content_digest", "organization_id"), KEY).withColumn("committed_at", F.lit(self._clock().isoformat(sep=" ") + "+00:00").cast("timestamp"))
+            placed = self._sliced(raw, number)
+            facts = placed.select(*KEY, "digest", "bytes", "signal", "date", "slice", F.lit(number).cast("long").alias("queued")).join(fresh.select(*KEY, "content_digest", "organization_id"), KEY).withColumn("committed_at", F.lit(self._clock().isoformat(sep=" ") + "+00:00").cast("timestamp"))
             fit = lambda df, kind: df.select(F.lit(kind).alias("kind"), *[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields[1:]])
             last = heads.unionByName(facts.select(*heads.columns)).groupBy(*STREAM).agg(F.max(F.struct("sequence", "digest", "content_digest")).alias("h")).select(*STREAM, "h.*")
             used = self.usage().unionByName(facts.select("organization_id", "bytes")).groupBy("organization_id").agg(F.sum("bytes").alias("bytes"))
@@ -339,6 +341,13 @@ class Projection:
         finally:
             raw.unpersist()
 
+    def _sliced(self, raw: DataFrame, number: int) -> DataFrame:
+        """A copy of the content for passes, apart from all that is there, and its facts with the slice each segment is in."""
+        owned = raw.join(F.broadcast(self.scopes.select("source_id", "organization_id")), "source_id")
+        inorder = owned.repartitionByRange(-(-raw.count() // SLICE), "organization_id", "digest").withColumn("slice", F.spark_partition_id().cast("long"))
+        inorder.select(*raw.columns, "slice").write.mode("overwrite").partitionBy("slice").parquet(f"{self.root}/queue/n-{number}")
+        return self._read(f"queue/n-{number}", StructType([*raw.schema.fields, StructField("slice", _LONG)]))
+
     # Projection
 
     def drain(self, passes: int | None = None) -> int:
@@ -356,12 +365,13 @@ class Projection:
         number = self._snapshot()
         queued = self.backlog().withColumn("projected", F.lit(False))
         picked = fair_pending(queued, self.limits.segments, self.limits.bytes).orderBy("turn", "committed_at", "digest").limit(self.limits.all_segments)
-        rows = [r.asDict() for r in picked.select(*KEY, "digest", "content_digest", "queued").collect()]  # ``all_segments`` at most
+        rows = [r.asDict() for r in picked.select(*KEY, "digest", "content_digest", "queued", "slice").collect()]  # ``all_segments`` at most
         if not rows:
             return 0
         again = not self._first_time(f"pass-{number}")
-        mine = self.spark.createDataFrame(rows, _schema(*_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("queued", _LONG)))
-        folders = [f"{self.root}/queue/n-{n}" for n in sorted({r["queued"] for r in rows})]
+        mine = self.spark.createDataFrame(rows, _schema(*_NUMBER, ("digest", _TEXT), ("content_digest", _TEXT), ("queued", _LONG), ("slice", _LONG)))
+        # A queue of an earlier state has no slices.
+        folders = sorted({f"{self.root}/queue/n-{r['queued']}" + ("" if r["slice"] is None else f"/slice={r['slice']}") for r in rows})
         content = self.spark.read.schema(raw_segments(self.spark.createDataFrame([], m.BATCH)).schema).parquet(*folders)
         batches, _ = parsed_segments(content.join(mine.select("digest"), "digest", "left_semi"))
         self._project(batches, again)
@@ -376,7 +386,8 @@ class Projection:
 
     def _project(self, batches: DataFrame, again: bool, version: str | None = None) -> None:
         """Adds the batches' rows, and the rollup parts of each of them. ``again``: parts of the way may be there already."""
-        rows = flatten(batches, self.scopes).withColumn("date", utc_date(F.col("timestamp")))
+        # A segment's rows stay together, so that its rollup parts need no shuffle.
+        rows = flatten(batches.repartition(*KEY), self.scopes).withColumn("date", utc_date(F.col("timestamp")))
         rows = (self._versioned(rows) if version is None else rows.withColumn("_version", F.lit(version))).withColumnRenamed("_version", "version").withColumns(self._promoted()).persist()
         try:
             new = rows
@@ -385,7 +396,7 @@ class Projection:
                 new = rows.join(there, ["version", *m.IDENTITY], "left_anti")
             self._write(new, f"{self.root}/observations", ["version", *PARTITIONS])
             named = rows.select(*KEY, "version").distinct()
-            for kind, made in (("log", log_rollup(rows, KEY)), ("metric", metric_rollup(rows, self.registry, KEY))):
+            for kind, made in (("log", log_rollup(rows, KEY)), ("metric", segment_metric_rollup(rows, self.registry, KEY))):
                 parts = made.withColumn("date", utc_date(F.col("bucket_start"))).join(named, KEY)
                 if again:
                     parts = parts.join(self._parts(kind).select("version", *KEY).distinct(), ["version", *KEY], "left_anti")

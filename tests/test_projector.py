@@ -189,3 +189,34 @@ def test_rows_of_one_source_do_not_meet_in_a_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((r.sequence, r.organization_id) for r in rows.collect()) == [(k, "org") for k in range(4)]
+
+
+def test_a_pass_reads_only_slices_that_it_takes_from(spark, tmp_path, monkeypatch):
+    from beamlog.streaming import projector
+    monkeypatch.setattr(projector, "SLICE", 4)
+    (tmp_path / "in.json").write_text("\n".join(json.dumps(batch("a", k + 1, [NOW], name=f"n{k}")) for k in range(40)))
+    p = Projection(spark, str(tmp_path / "out"), spark.createDataFrame([SCOPE_ROW], SCOPES), now=NOW, limits=projector.Limits(20, 1 << 40, 20))
+    p.settle(read_batches(spark, str(tmp_path / "in.json")), 0, passes=0)
+    seen, parsed = [], projector.parsed_segments
+    monkeypatch.setattr(projector, "parsed_segments", lambda segments: seen.append(len(segments.inputFiles())) or parsed(segments))
+    while p.drain(1):
+        pass
+    assert len(seen) == 2 and max(seen) <= 8 and p.observations().count() == 40 and p.ledger().count() == 40 and not p._there("queue/n-1")
+
+
+def test_rollup_parts_of_segments_equal_those_of_rows(spark, tmp_path):
+    from beamlog.sources.adapters import observations
+    key = ["source_id", "stream_id", "sequence"]
+    some = observations(spark, "/root/testdata/sf0.001", "metrics").withColumns({
+        "timestamp": F.date_trunc("minute", F.col("timestamp")), "attributes": F.when(F.pmod("record_index", F.lit(3)) == 0, F.create_map(F.lit("route"), F.lit("/a"), F.lit("status"), F.lit("2x"))).otherwise(F.col("attributes")),
+        "value": F.when(F.pmod("record_index", F.lit(7)) == 0, 0.0).otherwise(F.round("value")), "project_id": F.lit("p"), "service_id": F.lit("s"), "stream_id": F.lit("one")})
+    many = some.withColumn("timestamp", F.date_trunc("day", F.col("timestamp")))  # groups of many rows at one time: the latest position is the last value
+    for rows in (some, many):
+        old, new = rollups.metric_rollup(rows, None, key), rollups.segment_metric_rollup(rows, None, key)
+        assert old.columns == new.columns and old.dtypes == new.dtypes
+        text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect())
+        assert text(old) == text(new)
+    assert many.count() > new.count()
+    many.write.parquet(str(tmp_path / "rows"))
+    plan = rollups.segment_metric_rollup(spark.read.parquet(str(tmp_path / "rows")).repartition(*key), None, key)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
