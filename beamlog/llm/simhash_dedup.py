@@ -148,14 +148,15 @@ def near_links(distinct: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """
     variants = distinct.select(F.explode(deletion_variants(F.col("fp"))).alias("key"), "fp")
     shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = stored(variants.join(shared, "key"), "variant-groups")
+    # Spark sizes what an explode makes as what goes in, 64 times too low: neither side may be broadcast.
+    groups = stored(variants.join(shared.hint("merge"), "key"), "variant-groups")
     small = groups.where(F.col("n") <= limit).select("key", "fp")
     links = stored(map_batches(small.repartition("key").sortWithinPartitions("key"), _group_links, "a long, b long").distinct(), "links")
     members = groups.where(F.col("n") > limit).select("fp").distinct()
     if members.head(1):
         wild = stored(map_batches(members, _two_wildcards, "mask int, rest long, fp long"), "wild")
         least = wild.groupBy("mask", "rest").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        links = links.unionByName(wild.join(least, ["mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct())
+        links = links.unionByName(wild.join(least.hint("merge"), ["mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct())
     return links
 
 

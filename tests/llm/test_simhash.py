@@ -100,3 +100,18 @@ def test_star_rounds_end_when_all_edges_are_stars(spark, monkeypatch):
     assert {(r.node, r.root) for r in components(stars).collect()} == {(5, 1), (7, 1), (20, 9)} and seen == ["edges"]
     chain = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(-4, 40), (40, -9)], "a long, b long")
     assert {(r.node, r.root) for r in components(chain).collect()} == {*((i, 0) for i in range(1, 7)), (-4, -9), (40, -9)}
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Spark sizes exploded variants as the fingerprints they come from: a table of 1 MB was 64 MB as it was broadcast."""
+    plans = {}
+
+    def seen(df, label="table"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(simhash_dedup, "stored", seen)
+    fps = [random.Random(5).getrandbits(40) for _ in range(5)]
+    spark.createDataFrame([(f ^ 1 << k,) for f in fps for k in (60, 61)], "fp long").write.parquet(f"{tmp_path}/fps")
+    near_links(spark.read.parquet(f"{tmp_path}/fps"), limit=1).count()
+    assert "SortMergeJoin" in plans["variant-groups"] and "BroadcastHashJoin" not in plans["variant-groups"]
