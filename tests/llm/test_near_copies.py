@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+from beamlog.llm import near_copies
 
 
 def shingles(text):
@@ -53,3 +54,27 @@ def test_stage_has_operator_2s_links(spark, tmp_path):
     df = spark.createDataFrame([(i + 1, t, "en", "s", 0) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 5]
+
+
+def test_every_similar_pair_of_a_band_is_joined(spark, tmp_path, monkeypatch):
+    """Edits of one text, most pairs of them a little below 0.8: a similar pair need not be similar to its groups' least members."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(5, 195, 7), 3):
+            words[at] = f"x{rng.randrange(10**9)}"
+        docs.append(" ".join(words))
+    sets = [shingles(t) for t in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    monkeypatch.setattr(near_copies, "simhash_links", lambda prints: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(near_copies, "BLOCK_NODES", 16, raising=False)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label)) and 1 < len(set(label)) < 60
