@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from beamlog.llm import near_copies
 
@@ -78,3 +80,18 @@ def test_every_similar_pair_of_a_band_is_joined(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label)) and 1 < len(set(label)) < 60
+
+
+def test_members_of_bands_are_not_broadcast(spark, tmp_path, monkeypatch):
+    plans = {}
+
+    def seen(df, label="table"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(near_copies, "stored", seen)
+    spark.createDataFrame([(k, 3, [9]) for k in range(3)], "node long, n long, bands array<long>").write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    sets_of = lambda some: some.select("node", F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<long>").alias("shingles"))
+    assert near_copies.copy_links(nodes, sets_of, spark.createDataFrame([], "a long, b long")).count() == 2
+    assert "SortMergeJoin" in plans["band-members"] and "BroadcastHashJoin" not in plans["band-members"]
