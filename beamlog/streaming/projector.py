@@ -18,6 +18,7 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,8 @@ _LOADED = _schema(*_NUMBER, ("version", _TEXT))
 _PROMOTED = _schema(("version", _TEXT), ("signal", _TEXT), ("field", _TEXT), ("type", _TEXT))
 #: Segments of a slice of the queue: a folder of its own, in the order in which passes take them, so that a pass reads only slices it takes from.
 SLICE = 512
+#: Tables that have a delivery's content are kept on disk alone: several copies of it fill an executor's heap.
+CONTENT = StorageLevel.DISK_ONLY
 ROLLUPS = "rollups"  # the name under which the days of both rollups expire
 
 
@@ -270,7 +273,7 @@ class Projection:
         an exact replay is taken silently. Once a quota is reached, what follows in the micro-batch is refused too.
         """
         with self._lock:
-            self._admit(batches.select(*m.BATCH.fieldNames()).persist(), epoch, automatic)
+            self._admit(batches.select(*m.BATCH.fieldNames()).persist(CONTENT), epoch, automatic)
             self.drain(passes)
 
     def _admit(self, batches: DataFrame, epoch: int, automatic: bool, again: bool = False) -> None:
@@ -282,8 +285,9 @@ class Projection:
             if automatic:
                 ours = numbered(ours, heads).select(*m.BATCH.fieldNames())
             judged = admissible(ours.withColumns({"digest": batch_digest(), "content_digest": content_digest()}), self._clock())
-            judged = self._without_old_replays(judged, heads).persist()
-            arrivals = self._within_quota(judged.where("problem is null").join(known, "source_id"), heads).withColumn("arrived", F.col("observed_at")).persist()
+            judged = self._without_old_replays(judged, heads).persist(CONTENT)
+            # What follows is told from numbers and digests; an accepted batch's content is looked up by them.
+            arrivals = self._within_quota(judged.where("problem is null").join(known, "source_id"), heads).withColumn("arrived", F.col("observed_at")).drop("records").persist()
             settled = admit(arrivals.where("not over"), heads).persist()
             held += [judged, arrivals, settled]
             told = [batches.join(known, "source_id", "left_anti").withColumns({"digest": batch_digest(), "problem": F.lit("unknown_source")}), judged.where("problem is not null"),
@@ -292,7 +296,8 @@ class Projection:
             wrong.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{self.root}/problems")
             fresh = settled.where("outcome = 'accepted'")
             if fresh.head(1):
-                self._queue(fresh, heads, again or not self._first_time(f"admission-{self._snapshot()}"))
+                content = judged.where("problem is null").join(fresh.select(*KEY, "digest"), [*KEY, "digest"], "left_semi").dropDuplicates([*KEY, "digest"])
+                self._queue(fresh, content, heads, again or not self._first_time(f"admission-{self._snapshot()}"))
         finally:
             for df in held:
                 df.unpersist()
@@ -325,9 +330,9 @@ class Projection:
         over = F.col("quota_bytes").isNotNull() & (F.col("_size") > 0) & (F.coalesce("_used", F.lit(0)) + F.col("_upto") > F.col("quota_bytes"))
         return rows.withColumn("over", over).drop("_size", "_upto", "_used", "quota_bytes")
 
-    def _queue(self, fresh: DataFrame, heads: DataFrame, again: bool) -> None:
+    def _queue(self, fresh: DataFrame, content: DataFrame, heads: DataFrame, again: bool) -> None:
         """Raw segments, then heads, usage and backlog in one snapshot. ``again``: what a cut-off try has left is not written twice."""
-        raw = raw_segments(fresh.select(*m.BATCH.fieldNames())).persist()
+        raw = raw_segments(content.select(*m.BATCH.fieldNames())).persist(CONTENT)
         try:
             new = raw.join(self._read("segments", raw.schema).select("digest"), "digest", "left_anti") if again else raw
             self._write(new, f"{self.root}/segments")
@@ -455,7 +460,7 @@ class Projection:
             count = lost.count()
             if count:
                 batches, _ = parsed_segments(lost)
-                self._admit(batches.persist(), epoch, False, True)
+                self._admit(batches.persist(CONTENT), epoch, False, True)
                 self.drain()
             return count
 

@@ -220,3 +220,20 @@ def test_rollup_parts_of_segments_equal_those_of_rows(spark, tmp_path):
     many.write.parquet(str(tmp_path / "rows"))
     plan = rollups.segment_metric_rollup(spark.read.parquet(str(tmp_path / "rows")).repartition(*key), None, key)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+
+
+def test_a_deliverys_content_is_not_held_in_memory(spark, tmp_path, monkeypatch):
+    """At the end of admission everything that a micro-batch keeps is there; a batch that comes twice in it is taken once."""
+    held, sliced = [], Projection._sliced
+
+    def seen(self, raw, number):
+        got = sliced(self, raw, number)
+        held.append(sum(i.memSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()))
+        return got
+
+    monkeypatch.setattr(Projection, "_sliced", seen)
+    sent = [batch("a", n, [NOW] * 200, name=f"request-{n}") for n in range(1, 41)]
+    feed = Feed(spark, tmp_path).take(*sent, sent[0])
+    assert feed.projection.observations().count() == 8_000 and feed.projection.ledger().count() == 40 and not feed.problems()
+    content = feed.projection.segments().agg(F.sum("bytes")).first()[0]
+    assert len(held) == 1 and held[0] < content / 5
